@@ -11,35 +11,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Modulus of the round functions (a Mersenne prime); products of two residues fit a bigint.
 PRIME = 2147483647
 #: Feistel rounds of a permutation.
-ROUNDS = 6
+ROUNDS = 8
 
 
-def stable_hash(*cols: Column) -> Column:
-    """Non-negative 60-bit integer from the md5 of the values joined by ``|``."""
-    text = F.concat_ws("|", *[c.cast("string") for c in cols])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+def stable_hash(*cols: str) -> Column:
+    """Non-negative 60-bit integer from the md5 of the columns' text joined by ``|``."""
+    text = ", ".join(f"cast(`{c}` as string)" for c in cols)
+    return F.expr(f"cast(conv(substring(md5(concat_ws('|', {text})), 1, 15), 16, 10) as bigint)")
 
 
-def round_keys(*cols: Column) -> Column:
+def round_keys(seed: int, *cols: str) -> Column:
     """Random coefficients ``a`` and ``b`` of one linear function per round, from md5 words."""
-    text = F.concat_ws("|", *[c.cast("string") for c in cols])
-    words = []
-    for number in range(ROUNDS // 2):
-        digest = F.md5(F.concat_ws("|", text, F.lit(str(number))))
-        words += [
-            F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") % PRIME for i in range(4)
-        ]
-    pairs = zip(words[::2], words[1::2])
-    return F.array(*[F.struct(a.alias("a"), b.alias("b")) for a, b in pairs])
-
-
-def _shift(x: Column, key: Column) -> Column:
-    # refers to x once, so a filter pushed through the rounds stays short
-    return (key["a"] * x + key["b"]) % PRIME
-
-
-def _div(a: Column, b: Column) -> Column:
-    return F.call_function("div", a, b)
+    text = ", ".join(["'|'", f"'{int(seed)}'", *[f"cast(`{c}` as string)" for c in cols]])
+    digests = ", ".join(f"md5(concat_ws({text}, '{number}'))" for number in range(ROUNDS // 2))
+    word = "cast(conv(substring(d, {}, 8), 16, 10) as bigint) % " + str(PRIME)
+    pair = "struct({} as a, {} as b)"
+    pairs = [pair.format(word.format(at), word.format(at + 8)) for at in (1, 17)]
+    return F.expr(f"flatten(transform(array({digests}), d -> array({', '.join(pairs)})))")
 
 
 def with_permuted(df: DataFrame, index: str, size: str, keys: str, out: str) -> DataFrame:
@@ -55,33 +43,27 @@ def with_permuted(df: DataFrame, index: str, size: str, keys: str, out: str) ->
     members of that rest, so its length bounds the walk and the two nested loops, each of
     the square root of it, always suffice.
     """
-    side, left, right, first = "__side", "__left", "__right", "__first"
-    n, s = F.col(size), F.col(side)
     work = df.withColumn(
-        side, F.ceil(F.sqrt(n)).cast("long") + F.shiftright(n.cast("long"), 52)
-    ).withColumns({left: _div(F.col(index), s), right: F.col(index) % s})
-    for number in range(ROUNDS):
-        moved = (F.col(left) + _shift(F.col(right), F.col(keys)[number])) % s
-        work = work.withColumns({left: F.col(right), right: moved})
-    work = work.withColumn(first, F.col(left) * s + F.col(right))
-
-    def once(value: Column) -> Column:
-        return F.aggregate(
-            F.col(keys),
-            F.struct(_div(value, s).alias("l"), (value % s).alias("r")),
-            lambda pair, key: F.struct(
-                pair["r"].alias("l"), ((pair["l"] + _shift(pair["r"], key)) % s).alias("r")
-            ),
-            lambda pair: pair["l"] * s + pair["r"],
+        "__side", F.expr(f"cast(ceil(sqrt(`{size}`)) as bigint) + shiftright(`{size}`, 52)")
+    ).withColumns(
+        {"__left": F.expr(f"`{index}` div __side"), "__right": F.expr(f"`{index}` % __side")}
+    )
+    for i in range(ROUNDS):
+        # refers to the right half once, so a filter pushed through the rounds stays short
+        shift = f"(`{keys}`[{i}].a * __right + `{keys}`[{i}].b) % {PRIME}"
+        work = work.withColumns(
+            {"__left": F.col("__right"), "__right": F.expr(f"(__left + {shift}) % __side")}
         )
+    work = work.withColumn("__first", F.expr("__left * __side + __right"))
 
-    def walk(value: Column, step) -> Column:
-        steps = F.sequence(F.lit(1), F.ceil(F.sqrt(s * s - n)).cast("int"))
-        return F.aggregate(steps, value, lambda v, _: F.when(v < n, v).otherwise(step(v)))
-
-    image = F.when(F.col(first) < n, F.col(first)).otherwise(
-        walk(F.col(first), lambda v: walk(v, once))
+    once = (
+        f"aggregate(`{keys}`, struct(v div __side as l, v % __side as r), (p, k) -> "
+        f"struct(p.r as l, (p.l + (k.a * p.r + k.b) % {PRIME}) % __side as r), "
+        "p -> p.l * __side + p.r)"
     )
+    steps = f"sequence(1, cast(ceil(sqrt(__side * __side - `{size}`)) as int))"
+    inner = f"aggregate({steps}, w, (v, i) -> if(v < `{size}`, v, {once}))"
+    walked = f"aggregate({steps}, __first, (w, j) -> if(w < `{size}`, w, {inner}))"
     # never null, so that a join on the image adds no null filter below the rounds
-    image = F.coalesce(image, F.lit(-1).cast("long"))
-    return work.withColumn(out, image).drop(side, left, right, first)
+    image = f"coalesce(if(__first < `{size}`, __first, {walked}), -1L)"
+    return work.withColumn(out, F.expr(image)).drop("__side", "__left", "__right", "__first")

@@ -88,7 +88,7 @@ def draw_addresses(
         .withColumns(
             {
                 "__rank": _feature_rank(features),
-                "__bucket": F.pmod(stable_hash(F.col(code_col)), F.lit(ID_BUCKETS)),
+                "__bucket": F.pmod(stable_hash(code_col), F.lit(ID_BUCKETS)),
             }
         )
     )
@@ -96,7 +96,7 @@ def draw_addresses(
     drawn = repeat_rows(quota, "n", "__draw").withColumns(
         {
             "__slots": F.col("__places") * F.col("n"),
-            "__keys": round_keys(F.lit(seed), F.col(code_col), F.col("feature")),
+            "__keys": round_keys(seed, code_col, "feature"),
         }
     )
     drawn = with_permuted(drawn, "__draw", "__slots", "__keys", "__slot").select(
@@ -192,7 +192,7 @@ def _draw_uneven(
         .where(F.col("draws") > 0)
     )
     drawn = repeat_rows(quota, "draws", "draw").withColumn(
-        "__keys", round_keys(F.lit(seed), F.col("__code"), F.col("feature"))
+        "__keys", round_keys(seed, "__code", "feature")
     )
     drawn = (
         with_permuted(drawn, "draw", "slots", "__keys", "__slot")
@@ -314,7 +314,7 @@ def with_person_ids(
         {
             "__rank": _feature_rank(features),
             "__bucket": F.pmod(
-                stable_hash(*[F.col(c) for c in order]), F.lit(shuffle_width(persons.sparkSession))
+                stable_hash(*order), F.lit(shuffle_width(persons.sparkSession))
             ),
             "__one": F.lit(1).cast("long"),
         }

@@ -64,7 +64,7 @@ def running_totals(
             "__part",
             F.when(
                 F.col("__parts").isNotNull(),
-                F.pmod(stable_hash(*[F.col(c) for c in order]), F.col("__parts")),
+                F.pmod(stable_hash(*order), F.col("__parts")),
             ).otherwise(F.lit(0).cast("long")),
         )
         .drop(*["__hot_" + k for k in keys])
@@ -129,7 +129,7 @@ def shuffled_index(
     ``order`` fixes which row is which, so that the same seed gives the same ranks.
     """
     numbered = number_rows(df, keys, order, "__row", "__size", hot_rows).withColumn(
-        "__keys", round_keys(F.lit(seed), *[F.col(k) for k in keys])
+        "__keys", round_keys(seed, *keys)
     )
     return with_permuted(numbered, "__row", "__size", "__keys", out).select(*df.columns, out)
 
