@@ -30,8 +30,8 @@ def touches(e: str, px: str, py: str) -> str:
     """Whether the point lies on the edge."""
     cross = f"({e}.x2 - {e}.x1) * ({py} - {e}.y1) - ({e}.y2 - {e}.y1) * ({px} - {e}.x1)"
     return (
-        f"({cross} = 0 and {px} between least({e}.x1, {e}.x2) and greatest({e}.x1, {e}.x2) "
-        f"and {py} between least({e}.y1, {e}.y2) and greatest({e}.y1, {e}.y2))"
+        f"({py} between least({e}.y1, {e}.y2) and greatest({e}.y1, {e}.y2) "
+        f"and {px} between least({e}.x1, {e}.x2) and greatest({e}.x1, {e}.x2) and {cross} = 0)"
     )
 
 
@@ -51,10 +51,6 @@ def edge_distance(e: str, px: str, py: str) -> str:
     return f"sqrt({ex} * {ex} + {ey} * {ey})"
 
 
-def nearest_edge_distance(edges: str, px: str, py: str) -> str:
-    return f"array_min(transform({edges}, e -> {edge_distance('e', px, py)}))"
-
-
 def box_distances(px: str, py: str) -> tuple[str, str]:
     """Smallest and largest distance from the point to the box ``minx, miny, maxx, maxy``."""
     nx = f"greatest(minx - {px}, {px} - maxx, 0D)"

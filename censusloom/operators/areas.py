@@ -326,10 +326,9 @@ def nearest(
     )
     measured = frontier.join(
         broadcast_if(shapes, 40 * stats.edges, limit), F.col("at") == F.col("area")
-    ).select(
-        *where,
-        F.col("at").alias("index_right"),
-        F.expr(geo.nearest_edge_distance("edges", "px", "py")).alias("distance"),
+    ).select(*where, F.col("area").alias("index_right"), F.explode("edges").alias("e"))
+    measured = measured.select(
+        *where, "index_right", F.expr(geo.edge_distance("e", "px", "py")).alias("distance")
     )
     if ties == "lowest":
         best = F.min(F.struct("distance", "index_right")).alias("best")
@@ -337,6 +336,7 @@ def nearest(
             *where, "best.index_right", "best.distance"
         )
     closest = F.min("distance").over(Window.partitionBy(*where))
+    measured = measured.groupBy(*where, "index_right").agg(F.min("distance").alias("distance"))
     return measured.withColumn("least", closest).where("distance = least").drop("least")
 
 
