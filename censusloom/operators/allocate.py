@@ -307,15 +307,22 @@ def randomly_assign_census_features(
 
 
 def with_person_ids(
-    persons: DataFrame, features: Sequence[str], order: Sequence[str], index_col: str
+    persons: DataFrame,
+    features: Sequence[str],
+    order: Sequence[str],
+    index_col: str,
+    buckets: int | None = None,
 ) -> DataFrame:
-    """Gap-free ids ``0 .. N-1`` in feature order for rows that have none yet."""
+    """Gap-free ids ``0 .. N-1`` in feature order for rows that have none yet.
+
+    The rows of a feature are numbered in ``buckets`` separate parts (default: as many as
+    the session has shuffle partitions).
+    """
+    buckets = buckets or shuffle_width(persons.sparkSession)
     ready = persons.withColumns(
         {
             "__rank": _feature_rank(features),
-            "__bucket": F.pmod(
-                stable_hash(*order), F.lit(shuffle_width(persons.sparkSession))
-            ),
+            "__bucket": F.pmod(stable_hash(*order), F.lit(buckets)),
             "__one": F.lit(1).cast("long"),
         }
     )

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from censusloom.functions import geometry as geo
 from censusloom.operators.numbering import ordered_totals
-from censusloom.runtime import BROADCAST_LIMIT, broadcast_if
+from censusloom.runtime import BROADCAST_LIMIT, broadcast_if, written
 
 BOX = ("minx", "miny", "maxx", "maxy")
 AREA_COLUMNS = ("rings", *BOX, "index_right")
@@ -355,12 +355,15 @@ def join_coords_with_area(
     failed_join_strategy: str | None = None,
     ties: str = "lowest",
     limit: int = BROADCAST_LIMIT,
+    cut_lineage: bool = False,
 ) -> DataFrame:
     """Points with the columns of the area they lie in, ``index_right`` and WKT ``geometry``.
 
     A point on a boundary is outside, a point in several areas is repeated, and one in none
     keeps nulls. ``failed_join_strategy`` then says what happens to it: ``None`` leaves it,
-    ``"filter"`` drops it, ``"join_nearest"`` gives it the nearest area.
+    ``"filter"`` drops it, ``"join_nearest"`` gives it the nearest area. The last one uses
+    the containment join twice; ``cut_lineage`` writes its result to the scratch folder so
+    that it runs once.
     """
     if failed_join_strategy not in (None, "filter", "join_nearest"):
         raise ValueError(f"unknown strategy {failed_join_strategy!r}")
@@ -372,6 +375,8 @@ def join_coords_with_area(
     if failed_join_strategy == "filter":
         mapped = only_mapped(mapped)
     elif failed_join_strategy == "join_nearest":
+        if cut_lineage:
+            mapped = written(mapped, "contained-points")
         lost = mapped.where(F.col("index_right").isNull()).select("px", "py")
         found = nearest(lost, areas, ties, limit).select(
             F.col("px").alias("__px"), F.col("py").alias("__py"), F.col("index_right").alias("__near")

@@ -35,6 +35,10 @@ CRS = "EPSG:7844"
 CODE, LONG, LAT = "SA1_CODE_2021", "LONGITUDE", "LATITUDE"
 
 
+def _areas(spark: SparkSession, source: str | DataFrame, crs: str) -> DataFrame:
+    return source if isinstance(source, DataFrame) else read_shapefile(spark, source, crs)
+
+
 def map_addresses(
     geocode: DataFrame,
     detail: DataFrame,
@@ -57,14 +61,16 @@ def map_addresses(
         addresses = filter_and_join_gnaf_frames(geocode, detail, building_types, postcodes)
     if strategy != "join_nearest":
         areas = filter_sa1_regions(areas, region_codes, sa2_codes)
-    mapped = join_coords_with_area(to_geo_dataframe(addresses, crs), areas, strategy)
+    mapped = join_coords_with_area(
+        to_geo_dataframe(addresses, crs), areas, strategy, cut_lineage=True
+    )
     return filter_sa1_regions(mapped, region_codes, sa2_codes)
 
 
 def join_gnaf_with_shapefile(
     spark: SparkSession,
     gnaf_dir: str,
-    shapefile_dir: str,
+    shapefile_dir: str | DataFrame,
     crs: str = CRS,
     strategy: str | None = None,
     states: Sequence[str] = (),
@@ -72,22 +78,27 @@ def join_gnaf_with_shapefile(
 ) -> DataFrame:
     """``map_addresses`` from files."""
     geocode, detail = load_gnaf_files_by_states(spark, gnaf_dir, states)
-    return map_addresses(geocode, detail, read_shapefile(spark, shapefile_dir, crs), crs, strategy, **filters)
+    return map_addresses(geocode, detail, _areas(spark, shapefile_dir, crs), crs, strategy, **filters)
 
 
 def build_address_cache(
     spark: SparkSession,
     gnaf_dir: str,
-    shapefile_dir: str,
+    shapefile_dir: str | DataFrame,
     output: str,
     crs: str = CRS,
     strategy: str | None = None,
 ) -> None:
-    """Join all addresses, details and areas once and keep the result, partitioned by state."""
+    """Join all addresses, details and areas once and keep the result, partitioned by state.
+
+    Areas come from a shapefile folder or are an area table already.
+    """
     geocode, detail = load_gnaf_files_by_states(spark, gnaf_dir)
     addresses = filter_and_join_gnaf_frames(geocode, detail)
-    areas = read_shapefile(spark, shapefile_dir, crs)
-    mapped = join_coords_with_area(to_geo_dataframe(addresses, crs), areas, strategy)
+    areas = _areas(spark, shapefile_dir, crs)
+    mapped = join_coords_with_area(
+        to_geo_dataframe(addresses, crs), areas, strategy, cut_lineage=True
+    )
     to_parquet(mapped, output, partition_by="STATE")
 
 
@@ -125,7 +136,7 @@ def allocate(
     census_features: Sequence[str],
     cache: str | None = None,
     gnaf_dir: str | None = None,
-    shapefile_dir: str | None = None,
+    shapefile_dir: str | DataFrame | None = None,
     census_pattern: str = CENSUS_PATTERN,
     crs: str = CRS,
     strategy: str | None = None,

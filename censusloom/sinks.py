@@ -45,8 +45,8 @@ def write_csv_in_chunks(
 def pending_conversions(spark: SparkSession, input_dir: str, output_dir: str) -> DataFrame:
     """``(path, extension, target)`` of the spreadsheets that have no finished Parquet yet.
 
-    A target counts as finished by the marker Spark writes last, so a conversion that was
-    cut off is done again.
+    A target counts as finished when it holds committed files. What a cut-off conversion
+    left behind lies in a temporary folder, which is not listed, so it is done again.
     """
     relative = F.substring(F.col("path"), len(input_dir.rstrip("/")) + 2, 1 << 30)
     todo = (

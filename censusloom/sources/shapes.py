@@ -7,14 +7,19 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from censusloom.operators.areas import area_table
 
+# tasks get these functions by value, wherever the package is installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SHAPES = "file string, record long, parts array<int>, xs array<double>, ys array<double>"
 VALUES = "file string, record long, cells map<string,string>"
 BATCH = 2_000

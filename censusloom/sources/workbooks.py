@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import io
 import re
+import sys
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+# tasks get these functions by value, wherever the package is installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CELLS = "path string, sheet string, sheet_no int, row long, kinds array<string>, cells array<string>"
 #: Rows handed over at a time.
 BATCH = 5_000
