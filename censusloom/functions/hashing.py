@@ -21,13 +21,20 @@ def stable_hash(*cols: str) -> Column:
 
 
 def round_keys(seed: int, *cols: str) -> Column:
-    """Random coefficients ``a`` and ``b`` of one linear function per round, from md5 words."""
+    """Random coefficients ``a`` and ``b`` of one linear function per round, from md5 words.
+
+    Worth computing once per group, before its rows are made.
+    """
     text = ", ".join(["'|'", f"'{int(seed)}'", *[f"cast(`{c}` as string)" for c in cols]])
-    digests = ", ".join(f"md5(concat_ws({text}, '{number}'))" for number in range(ROUNDS // 2))
-    word = "cast(conv(substring(d, {}, 8), 16, 10) as bigint) % " + str(PRIME)
-    pair = "struct({} as a, {} as b)"
-    pairs = [pair.format(word.format(at), word.format(at + 8)) for at in (1, 17)]
-    return F.expr(f"flatten(transform(array({digests}), d -> array({', '.join(pairs)})))")
+    pairs = []
+    for number in range(ROUNDS // 2):
+        digest = f"md5(concat_ws({text}, '{number}'))"
+        a1, b1, a2, b2 = (
+            f"cast(conv(substring({digest}, {at}, 8), 16, 10) as bigint) % {PRIME}"
+            for at in (1, 9, 17, 25)
+        )
+        pairs += [f"struct({a1} as a, {b1} as b)", f"struct({a2} as a, {b2} as b)"]
+    return F.expr(f"array({', '.join(pairs)})")
 
 
 def with_permuted(df: DataFrame, index: str, size: str, keys: str, out: str) -> DataFrame:

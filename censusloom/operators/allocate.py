@@ -30,12 +30,17 @@ ID_BUCKETS = 64
 
 
 def repeat_rows(
-    df: DataFrame, count: str | Column, out: str = "copy", chunk: int = CHUNK
+    df: DataFrame,
+    count: str | Column,
+    out: str = "copy",
+    chunk: int = CHUNK,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """Repeat each row ``count`` times, numbering the copies ``0 .. count-1`` in ``out``.
 
     Rows whose count is null, zero or negative vanish. A large count is cut into chunks
-    that are shuffled before they are unrolled, so one row never fills one task.
+    that are shuffled before they are unrolled, so one row never fills one task. ``keys``
+    are the columns the shuffle hashes, by default all.
     """
     count = F.col(count) if isinstance(count, str) else count
     chunks = (
@@ -43,8 +48,9 @@ def repeat_rows(
         .where(F.col("__count") > 0)
         .withColumn("__from", F.explode(F.expr(f"sequence(0L, __count - 1, {chunk}L)")))
     )
-    keys = [F.xxhash64(*[F.col(c) for c in _hashable(df)]), F.col("__from")]
-    spread = chunks.repartition(shuffle_width(df.sparkSession), *keys)
+    spread = chunks.repartition(
+        shuffle_width(df.sparkSession), F.xxhash64(*(keys or _hashable(df)), "__from")
+    )
     unrolled = F.expr(f"sequence(__from, least(__from + {chunk}L, __count) - 1)")
     return spread.select(*df.columns, F.explode(unrolled).alias(out))
 
@@ -93,15 +99,18 @@ def draw_addresses(
         )
     )
     quota = ordered_totals(quota, ["__rank", "__bucket"], [code_col], "n", "__base")
-    drawn = repeat_rows(quota, "n", "__draw").withColumns(
-        {
-            "__slots": F.col("__places") * F.col("n"),
-            "__keys": round_keys(seed, code_col, "feature"),
-        }
+    quota = quota.select(
+        F.col(code_col).alias("__code"),
+        "feature",
+        "n",
+        "__base",
+        (F.col("__places") * F.col("n")).alias("__slots"),
+        round_keys(seed, code_col, "feature").alias("__keys"),
     )
+    drawn = repeat_rows(quota, "n", "__draw", keys=["__code", "feature"])
     drawn = with_permuted(drawn, "__draw", "__slots", "__keys", "__slot").select(
         (F.col("__base") + F.col("__draw")).alias(index_col),
-        F.col(code_col).alias("__code"),
+        "__code",
         F.coalesce(F.expr("__slot div n"), F.lit(0)).alias("__place"),
         "feature",
     )
@@ -191,9 +200,8 @@ def _draw_uneven(
         .select("__code", "q.*")
         .where(F.col("draws") > 0)
     )
-    drawn = repeat_rows(quota, "draws", "draw").withColumn(
-        "__keys", round_keys(seed, "__code", "feature")
-    )
+    quota = quota.withColumn("__keys", round_keys(seed, "__code", "feature"))
+    drawn = repeat_rows(quota, "draws", "draw", keys=["__code", "feature"])
     drawn = (
         with_permuted(drawn, "draw", "slots", "__keys", "__slot")
         .withColumn(

@@ -202,14 +202,19 @@ def _index(areas: DataFrame, grid: _Grid) -> tuple[DataFrame, DataFrame]:
     return index, fineness
 
 
-def within(points: DataFrame, areas: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
+def within(
+    points: DataFrame,
+    areas: DataFrame,
+    limit: int = BROADCAST_LIMIT,
+    stats: AreaStats | None = None,
+) -> DataFrame:
     """Left join of points to the areas they lie in: the columns of ``points`` and ``index_right``.
 
     Every point has one cell, so this is one equi-join on the cell with the exact test in
     its condition. A small index is broadcast and the points are not moved. Otherwise both
     sides are shuffled by cell, and a crowded cell is split by Spark's skew join.
     """
-    stats = area_stats(areas)
+    stats = stats or area_stats(areas)
     if not stats.areas:
         return points.withColumn("index_right", F.lit(None).cast("long"))
     grid = _Grid(stats)
@@ -270,6 +275,7 @@ def nearest(
     areas: DataFrame,
     ties: str = "lowest",
     limit: int = BROADCAST_LIMIT,
+    stats: AreaStats | None = None,
 ) -> DataFrame:
     """Nearest area of each distinct ``(px, py)``: ``(px, py, index_right, distance)``.
 
@@ -283,7 +289,7 @@ def nearest(
         raise ValueError(f"ties must be 'lowest' or 'all', not {ties!r}")
     where = ["px", "py"]
     asked = points.select(*where).where("px is not null and py is not null").distinct()
-    stats = area_stats(areas)
+    stats = stats or area_stats(areas)
     if not stats.areas:
         return asked.where("false").selectExpr(*where, "0L as index_right", "0D as distance")
     leaves = _ranked(areas, stats)
@@ -371,14 +377,15 @@ def join_coords_with_area(
     if left and right and left != right:
         raise ValueError(f"points are in {left} but areas in {right}")
     coords, areas = _suffixed(coords, area_polygons)
-    mapped = within(coords, areas, limit)
+    stats = area_stats(areas)
+    mapped = within(coords, areas, limit, stats)
     if failed_join_strategy == "filter":
         mapped = only_mapped(mapped)
     elif failed_join_strategy == "join_nearest":
         if cut_lineage:
             mapped = written(mapped, "contained-points")
         lost = mapped.where(F.col("index_right").isNull()).select("px", "py")
-        found = nearest(lost, areas, ties, limit).select(
+        found = nearest(lost, areas, ties, limit, stats).select(
             F.col("px").alias("__px"), F.col("py").alias("__py"), F.col("index_right").alias("__near")
         )
         on = (

@@ -38,8 +38,9 @@ def running_totals(
     order: Sequence[str],
     values: dict[str, Column],
     hot_rows: int = HOT_ROWS,
+    with_totals: bool = True,
 ) -> DataFrame:
-    """Add ``<name>_before`` and ``<name>_total`` for every named value.
+    """Add ``<name>_before`` and, if asked for, ``<name>_total`` for every named value.
 
     ``_before`` is the sum of the value over the rows of the group that come earlier in a
     fixed order, ``_total`` the sum over the whole group. Null keys form a group.
@@ -87,7 +88,7 @@ def running_totals(
     so_far = in_part.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = split.withColumns(
         {f"{name}_before": F.sum(f"__v_{name}").over(so_far) for name in values}
-        | {f"{name}_total": F.sum(f"__v_{name}").over(in_part) for name in values}
+        | {f"{name}_total": F.sum(f"__v_{name}").over(in_part) for name in values if with_totals}
     )
     joined = numbered.join(F.broadcast(starts), _same([*keys, "__part"], "__at_"), "left")
     return joined.select(
@@ -98,7 +99,11 @@ def running_totals(
             ).alias(f"{name}_before")
             for name in values
         ],
-        *[F.coalesce(f"__t_{name}", f"{name}_total").alias(f"{name}_total") for name in values],
+        *[
+            F.coalesce(f"__t_{name}", f"{name}_total").alias(f"{name}_total")
+            for name in values
+            if with_totals
+        ],
     )
 
 
@@ -111,7 +116,8 @@ def number_rows(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Number the rows of each group ``0 .. K-1``; ``size`` names a column for K itself."""
-    totals = running_totals(df, keys, order, {"__row": F.lit(1).cast("long")}, hot_rows)
+    one = {"__row": F.lit(1).cast("long")}
+    totals = running_totals(df, keys, order, one, hot_rows, with_totals=size is not None)
     size_col = [F.col("__row_total").alias(size)] if size else []
     return totals.select(*df.columns, F.col("__row_before").alias(out), *size_col)
 
