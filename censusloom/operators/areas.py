@@ -181,7 +181,12 @@ def _index(areas: DataFrame, grid: _Grid) -> tuple[DataFrame, DataFrame]:
     (x_low, x_high), (y_low, y_high) = span("x"), span("y")
     met = f"fy between {y_low} and {y_high} and {x_high} >= fx - 1"
     near = f"fx between {x_low} - 1 and {x_high} + 1"
-    shapes = areas.select("index_right", *BOX, F.expr(geo.area_edges("rings")).alias("all_edges"))
+    shapes = areas.select(
+        "index_right",
+        *BOX,
+        F.expr(geo.area_edges("rings")).alias("all_edges"),
+        F.struct("index_right", *attributes(areas)).alias("area"),
+    )
     cells = (
         in_coarse_cells(shapes)
         .join(F.broadcast(fineness), "coarse")
@@ -195,7 +200,7 @@ def _index(areas: DataFrame, grid: _Grid) -> tuple[DataFrame, DataFrame]:
         ~F.col("full") | F.expr(geo.inside("edges", grid.middle("fx", "x"), grid.middle("fy", "y")))
     ).select(
         F.expr(grid.fine_key("coarse", "fx", "fy")).alias("cell"),
-        "index_right",
+        "area",
         "full",
         F.expr("if(full, null, edges)").alias("edges"),
     )
@@ -208,18 +213,21 @@ def within(
     limit: int = BROADCAST_LIMIT,
     stats: AreaStats | None = None,
 ) -> DataFrame:
-    """Left join of points to the areas they lie in: the columns of ``points`` and ``index_right``.
+    """Left join of points to the areas they lie in, adding ``index_right`` and the attributes.
 
     Every point has one cell, so this is one equi-join on the cell with the exact test in
     its condition. A small index is broadcast and the points are not moved. Otherwise both
-    sides are shuffled by cell, and a crowded cell is split by Spark's skew join.
+    sides are shuffled by cell, and a crowded cell is split by Spark's skew join. Attributes
+    travel in the index, so that no second join of the points is needed for them.
     """
     stats = stats or area_stats(areas)
+    named = attributes(areas)
     if not stats.areas:
-        return points.withColumn("index_right", F.lit(None).cast("long"))
+        nothing = [F.lit(None).cast(areas.schema[c].dataType).alias(c) for c in named]
+        return points.select("*", F.lit(None).cast("long").alias("index_right"), *nothing)
     grid = _Grid(stats)
     index, fineness = _index(areas, grid)
-    bytes_per_edge, bytes_per_row = 40, 64
+    bytes_per_edge, bytes_per_row = 40, 64 * (1 + len(named))
     # no area has more entries than both budgets multiplied, whichever its size
     size = (bytes_per_edge * stats.edges + bytes_per_row * stats.areas) * CELLS_PER_AREA**2
     if size > limit:
@@ -231,16 +239,18 @@ def within(
         f"and py between {stats.miny!r}D and {stats.maxy!r}D"
     )
     coarse = grid.coarse_key(grid.coarse("px", "x"), grid.coarse("py", "y"))
-    cell = grid.fine_key("__coarse", grid.fine("px", "x"), grid.fine("py", "y"))
+    cell = grid.fine_key("coarse", grid.fine("px", "x"), grid.fine("py", "y"))
+    # points with no cell get keys nothing has, so that they do not meet in one partition
+    spread = f"-1L - pmod(xxhash64(px, py), {1 << 40}L)"
     located = (
         points.withColumn("__coarse", F.expr(f"if({covered}, {coarse}, null)"))
         .join(F.broadcast(fineness), F.col("__coarse") == F.col("coarse"), "left")
-        .select(*points.columns, F.expr(cell).alias("__cell"))
+        .select(*points.columns, F.expr(f"coalesce({cell}, {spread})").alias("__cell"))
     )
-    hits = index.select("cell", F.col("index_right").alias("__area"), "full", "edges")
+    hits = index.select("cell", F.col("area").alias("__area"), "full", "edges")
     on = (F.col("__cell") == F.col("cell")) & F.expr(f"(full or {geo.inside('edges', 'px', 'py')})")
     joined = located.join(broadcast_if(hits, size, limit), on, "left")
-    return joined.select(*points.columns, F.col("__area").alias("index_right"))
+    return joined.select(*points.columns, *[F.col("__area")[c].alias(c) for c in ["index_right", *named]])
 
 
 def _morton(x: str, y: str) -> str:
@@ -384,19 +394,43 @@ def join_coords_with_area(
     elif failed_join_strategy == "join_nearest":
         if cut_lineage:
             mapped = written(mapped, "contained-points")
-        lost = mapped.where(F.col("index_right").isNull()).select("px", "py")
-        found = nearest(lost, areas, ties, limit, stats).select(
-            F.col("px").alias("__px"), F.col("py").alias("__py"), F.col("index_right").alias("__near")
-        )
-        on = (
-            F.col("index_right").isNull()
-            & (F.col("px") == F.col("__px"))
-            & (F.col("py") == F.col("__py"))
-        )
-        mapped = mapped.join(found, on, "left").select(
-            *coords.columns, F.coalesce("index_right", "__near").alias("index_right")
+        mapped = _with_nearest(mapped, areas, ties, limit, stats)
+    return mapped.select(
+        *[c for c in coords.columns if c not in ("px", "py")],
+        geo.point_wkt("px", "py").alias("geometry"),
+        "index_right",
+        *attributes(areas),
+    )
+
+
+def _with_nearest(
+    mapped: DataFrame, areas: DataFrame, ties: str, limit: int, stats: AreaStats
+) -> DataFrame:
+    """Give the rows without an area the nearest one."""
+    gained = ["index_right", *attributes(areas)]
+    lost = mapped.where(F.col("index_right").isNull()).select("px", "py")
+    found = (
+        nearest(lost, areas, ties, limit, stats)
+        .join(areas.select(*gained), "index_right")
+        .select(
+            F.col("px").alias("__px"),
+            F.col("py").alias("__py"),
+            F.struct(*gained).alias("__near"),
         )
-    return with_area_columns(mapped, areas, limit)
+    )
+    on = (
+        F.col("index_right").isNull()
+        & (F.col("px") == F.col("__px"))
+        & (F.col("py") == F.col("__py"))
+    )
+    kept = [c for c in mapped.columns if c not in gained]
+    return mapped.join(found, on, "left").select(
+        *kept,
+        *[
+            F.when(F.col("index_right").isNull(), F.col("__near")[c]).otherwise(F.col(c)).alias(c)
+            for c in gained
+        ],
+    )
 
 
 def only_mapped(mapped: DataFrame) -> DataFrame:
@@ -404,18 +438,6 @@ def only_mapped(mapped: DataFrame) -> DataFrame:
     return mapped.where(F.col("index_right").isNotNull())
 
 
-def with_area_columns(mapped: DataFrame, areas: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Swap ``px, py`` for WKT and look up the attributes of ``index_right``."""
-    own = [c for c in mapped.columns if c not in ("px", "py", "index_right")]
-    named = attributes(areas)
-    joined = mapped
-    if named:
-        # Spark broadcasts this side if its own estimate allows; a crowded area is a skew join
-        joined = mapped.join(areas.select("index_right", *named), "index_right", "left")
-    wkt = geo.point_wkt("px", "py").alias("geometry")
-    return joined.select(*own, wkt, "index_right", *named)
-
-
 def unmapped_count(mapped: DataFrame) -> int:
     """How many rows have no area."""
     return mapped.where(F.col("index_right").isNull()).count()
