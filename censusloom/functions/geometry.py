@@ -52,12 +52,23 @@ def edge_distance(e: str, px: str, py: str) -> str:
 
 
 def box_distances(px: str, py: str) -> tuple[str, str]:
-    """Smallest and largest distance from the point to the box ``minx, miny, maxx, maxy``."""
-    nx = f"greatest(minx - {px}, {px} - maxx, 0D)"
-    ny = f"greatest(miny - {py}, {py} - maxy, 0D)"
-    fx = f"greatest(abs({px} - minx), abs({px} - maxx))"
-    fy = f"greatest(abs({py} - miny), abs({py} - maxy))"
-    return f"sqrt({nx} * {nx} + {ny} * {ny})", f"sqrt({fx} * {fx} + {fy} * {fy})"
+    """Bounds on the distance from the point to what the box ``minx, miny, maxx, maxy`` fits.
+
+    The lower bound is the distance to the box. For the upper one: something touches each
+    side of a tight box, so it is as near as the far end of the nearest side.
+    """
+    gap_x = f"greatest(minx - {px}, {px} - maxx, 0D)"
+    gap_y = f"greatest(miny - {py}, {py} - maxy, 0D)"
+    near_x = f"least(abs({px} - minx), abs({px} - maxx))"
+    near_y = f"least(abs({py} - miny), abs({py} - maxy))"
+    far_x = f"greatest(abs({px} - minx), abs({px} - maxx))"
+    far_y = f"greatest(abs({py} - miny), abs({py} - maxy))"
+    low = f"sqrt({gap_x} * {gap_x} + {gap_y} * {gap_y})"
+    high = (
+        f"sqrt(least({near_x} * {near_x} + {far_y} * {far_y}, "
+        f"{near_y} * {near_y} + {far_x} * {far_x}))"
+    )
+    return low, high
 
 
 def _plain_number(value: str) -> str:

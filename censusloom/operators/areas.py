@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from censusloom.functions import geometry as geo
 from censusloom.operators.numbering import ordered_totals
-from censusloom.runtime import BROADCAST_LIMIT, broadcast_if, written
+from censusloom.runtime import BROADCAST_LIMIT, broadcast_if, shuffle_width, written
 
 BOX = ("minx", "miny", "maxx", "maxy")
 AREA_COLUMNS = ("rings", *BOX, "index_right")
@@ -298,7 +298,10 @@ def nearest(
     if ties not in ("lowest", "all"):
         raise ValueError(f"ties must be 'lowest' or 'all', not {ties!r}")
     where = ["px", "py"]
+    # spread by number of partitions: the search costs far more than the size of its input says
+    width = shuffle_width(points.sparkSession)
     asked = points.select(*where).where("px is not null and py is not null").distinct()
+    asked = asked.repartition(width, *where)
     stats = stats or area_stats(areas)
     if not stats.areas:
         return asked.where("false").selectExpr(*where, "0L as index_right", "0D as distance")
@@ -317,14 +320,17 @@ def nearest(
         return grouped.selectExpr(f"node div {FANOUT}L as parent", "node", *BOX)
 
     low, high = geo.box_distances("px", "py")
+    near_enough = f"low <= bound * {1 + SLACK!r}D + {SLACK!r}D"
 
     def kept(frontier: DataFrame) -> DataFrame:
-        bounded = frontier.selectExpr(*where, "node", f"{low} as low", f"{high} as high")
-        bound = F.min("high").over(Window.partitionBy(*where))
+        """Drop nodes beyond the bound known so far, then tighten it and drop again."""
+        measured = frontier.selectExpr(*where, "node", "bound", f"{low} as low", f"{high} as high")
+        tightest = F.least("bound", F.min("high").over(Window.partitionBy(*where)))
         return (
-            bounded.withColumn("bound", bound)
-            .where(f"low <= bound * {1 + SLACK!r}D + {SLACK!r}D")
-            .select(*where, F.col("node").alias("at"))
+            measured.where(near_enough)
+            .withColumn("bound", tightest)
+            .where(near_enough)
+            .select(*where, "bound", F.col("node").alias("at"))
         )
 
     # the top of the tree has at most FANOUT nodes and becomes a literal
@@ -332,7 +338,8 @@ def nearest(
         f"struct({row.node}L as node, " + ", ".join(f"{row[c]!r}D as {c}" for c in BOX) + ")"
         for row in boxes_at(levels).collect()
     ]
-    frontier = kept(asked.selectExpr(*where, f"inline(array({', '.join(top)}))"))
+    unbounded = "double('infinity') as bound"
+    frontier = kept(asked.selectExpr(*where, unbounded, f"inline(array({', '.join(top)}))"))
     for level in reversed(range(levels)):
         children = broadcast_if(boxes_at(level), 64 * stats.areas / FANOUT**level, limit)
         frontier = kept(frontier.join(children, F.col("at") == F.col("parent")))
