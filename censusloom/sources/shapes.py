@@ -175,17 +175,16 @@ def check_crs(spark: SparkSession, path: str, crs: str) -> None:
 
 def read_shapefile(spark: SparkSession, shapefile_dir: str, crs: str) -> DataFrame:
     """Area table from the polygon shapefiles in a folder, or from one ``.shp`` with its parts."""
-    folder = shapefile_dir
-    glob = "*"
+    folder, glob = shapefile_dir, "*"
     if shapefile_dir.lower().endswith(".shp"):
         folder, name = shapefile_dir.rsplit("/", 1)
-        glob = _stem(name) + ".*"
+        glob = re.sub(r"[][{}*?\\]", "?", _stem(name))
     check_crs(spark, folder, crs)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
+        # by name while listing, so that nothing else in the folder is read
+        .option("pathGlobFilter", glob + ".[sdSD][hbHB][pfPF]")
         .load(folder)
-        .where(F.lower("path").rlike(r"\.(shp|dbf)$"))
     )
     return areas_from_files(files, crs)
