@@ -1,9 +1,8 @@
 import csv
 
-from pyspark.sql import functions as F
 
 from censusloom.plans import jobs
-from tests.test_sources import feeds, put, shapefile
+from tests.test_sources import put, shapefile
 
 AGES = ["Age_0_4_yr_M", "Age_0_4_yr_F"]
 

@@ -1,6 +1,5 @@
 import pyarrow.parquet
 import pytest
-from pyspark.sql import functions as F
 
 from censusloom import (
     capture_placeholders, convert_to_parquet, get_spreadsheet_reader, list_files, load,
