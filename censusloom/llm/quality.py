@@ -1,8 +1,9 @@
-"""Quality rules on text statistics, judged by an isolation forest calibrated on labelled rows.
+"""Quality rules on text statistics, judged by isolation forests calibrated on labelled rows.
 
-Statistics are taken from every whole text. Trees split a bounded sample of labelled documents at
-random; how soon a document is alone tells how odd it is. The cut between odd and usual is the one
-that rejects most documents labelled bad while it keeps nearly all labelled good.
+Statistics are taken from every whole text. Each rule has a forest over its statistics: trees split a
+bounded sample of labelled documents at random, and how soon a document is alone tells how odd it is.
+A rule's cut between odd and usual is the one that rejects most documents labelled bad while it keeps
+nearly all labelled good. One forest over all statistics would hide what is odd in a single one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ SYMBOLS = b"#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: What the forest splits on, each a ratio so that long documents are no odder than short ones.
 RATIOS = ("symbols", "word_length", "dup_lines", "repeats", "upper", "cries", "digits")
+#: The statistics each rule's forest looks at.
+RULES = {"symbols": ("symbols",), "words": ("word_length",), "repeats": ("dup_lines", "repeats"), "shouting": ("upper", "cries"), "digits": ("digits",)}
 FIELDS = {"doc_id": "long"} | dict.fromkeys(BASE, "long") | dict.fromkeys(RATIOS, "double")
 FEWEST_WORDS, MOST_REPEATS = 50, 50
 #: Bound of the sample of labelled rows.
@@ -163,13 +166,25 @@ def calibrated(forest: Forest, x: np.ndarray, good: np.ndarray, loss: float) ->
     return forest
 
 
+@dataclass
+class Rules:
+    """A calibrated forest for each rule."""
+
+    forests: dict[str, Forest]
+
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        """How far the oddest rule of each row lies above its cut; below 0 if all rules pass."""
+        each = [f.scores(x[:, [RATIOS.index(c) for c in RULES[name]]]) - f.cut for name, f in self.forests.items()]
+        return np.max(each, axis=0)
+
+
 def fit(
-    measured: DataFrame, labels: DataFrame, rows: int = LABELLED, trees: int = 200, sample: int = 256, loss: float = 0.005, seed: int = 7,
-) -> Forest | None:
-    """A calibrated forest from at most ``rows`` labelled documents, picked by a hash of their ids.
+    measured: DataFrame, labels: DataFrame, rows: int = LABELLED, trees: int = 100, sample: int = 256, loss: float = 0.001, seed: int = 7,
+) -> Rules | None:
+    """Calibrated forests from at most ``rows`` labelled documents, picked by a hash of their ids.
 
     Documents that fail the base rules are left out. A document with several labels has the lowest.
-    None if no labelled row is left.
+    Documents like those kept are kept: a cut lies between two scores. None if no labelled row is left.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     own = own.dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -181,23 +196,28 @@ def fit(
         return None
     x = found[list(RATIOS)].to_numpy(float)
     good = found["quality"].to_numpy() > 0
-    return calibrated(grow(x, trees, sample, seed), x, good, loss)
+    forests, left = {}, np.ones(len(x), bool)
+    for name, columns in RULES.items():
+        own = x[:, [RATIOS.index(c) for c in columns]]
+        forests[name] = calibrated(grow(own, trees, sample, seed), own[left], good[left], loss)
+        left &= good | (forests[name].scores(own) < forests[name].cut)  # a later rule need not catch these again
+    return Rules(forests)
 
 
-def judge(measured: DataFrame, forest: Forest | None) -> DataFrame:
-    """``(doc_id, base counts, base_failed, kept, oddness)``; without a forest the base rules decide alone."""
+def judge(measured: DataFrame, rules: Rules | None) -> DataFrame:
+    """``(doc_id, base counts, base_failed, kept, margin)``; without forests the base rules decide alone."""
 
     def make():
         def step(rows):
             failed = [base_failed(n, r) for n, r in zip(rows["n_words"], rows["n_repeat_words"])]
             x = np.array([rows[k] for k in RATIOS], float).T
-            odd = forest.scores(x) if forest and len(x) else np.zeros(len(failed))
-            kept = [not f and o < (forest.cut if forest else 2) for f, o in zip(failed, odd)]
-            return {k: rows[k] for k in ("doc_id", *BASE)} | {"base_failed": failed, "kept": kept, "oddness": odd}
+            margin = rules.margin(x) if rules and len(x) else np.full(len(failed), -1.0)
+            kept = [not f and m < 0 for f, m in zip(failed, margin)]
+            return {k: rows[k] for k in ("doc_id", *BASE)} | {"base_failed": failed, "kept": kept, "margin": margin}
 
         return step
 
-    fields = {"doc_id": "long"} | dict.fromkeys(BASE, "long") | {"base_failed": "boolean", "kept": "boolean", "oddness": "double"}
+    fields = {"doc_id": "long"} | dict.fromkeys(BASE, "long") | {"base_failed": "boolean", "kept": "boolean", "margin": "double"}
     return mapped(measured, make, fields, size=4096)
 
 
@@ -208,7 +228,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
     picked = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    forest = fit(measure(texts(docs).join(F.broadcast(picked), "doc_id", "left_semi")), labels)
+    rules = fit(measure(texts(docs).join(F.broadcast(picked), "doc_id", "left_semi")), labels)
 
     @F.pandas_udf("boolean")
     def passes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -216,8 +236,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             out = []
             for at in range(0, len(batch), SLICE):
                 both = [statistics(t) for t in batch.iloc[at : at + SLICE]]
-                odd = forest.scores(np.array([b[1] for b in both], float)) if forest else np.zeros(len(both))
-                out += [not base_failed(b[0][0], b[0][4]) and o < (forest.cut if forest else 2) for b, o in zip(both, odd)]
+                margin = rules.margin(np.array([b[1] for b in both], float)) if rules else np.full(len(both), -1.0)
+                out += [not base_failed(b[0][0], b[0][4]) and bool(m < 0) for b, m in zip(both, margin)]
             yield pd.Series(out, dtype=bool)
 
     return docs.where(passes(F.col("text")))
