@@ -53,11 +53,12 @@ def mapped(df: DataFrame, make: Callable[[], Callable[[dict], dict]], fields: di
 
 def runs(
     df: DataFrame, keys: list[str], make: Callable[[], Callable[[tuple, pa.Table], dict]], fields: dict[str, str],
-    order: tuple[str, ...] = (), flush: int = 20_000,
+    order: tuple[str, ...] = (), least: int = 1, flush: int = 20_000,
 ) -> DataFrame:
     """Apply a function to every group of rows with equal keys; a task holds one group at a time.
 
-    Groups must be small by construction: callers split large ones into blocks first.
+    Groups must be small by construction: callers split large ones into blocks first. Groups of fewer
+    than ``least`` rows are passed over.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,15 +75,16 @@ def runs(
             cuts = [i for i in range(1, len(here)) if here[i] != here[i - 1]]
             for end in [*cuts, len(here)]:
                 if held and here[begin] != last:
-                    out.append(done(last))
-                    count += out[-1].num_rows
+                    if sum(part.num_rows for part in held) >= least:
+                        out.append(done(last))
+                        count += out[-1].num_rows
                     held.clear()
                     if count >= flush:
                         yield from pa.Table.from_batches(out).combine_chunks().to_batches()
                         out, count = [], 0
                 held.append(batch.slice(begin, end - begin))
                 last, begin = here[begin], end
-        if held:
+        if sum(part.num_rows for part in held) >= least:
             out.append(done(last))
         if out:
             yield from pa.Table.from_batches(out).combine_chunks().to_batches()
@@ -109,6 +111,17 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFr
     return broadcast_if(df, df.count() * row_bytes, limit)
 
 
+def in_blocks(df: DataFrame, blocks: str, key: Column) -> DataFrame:
+    """Deal the rows of large groups to pairs of blocks, so that any two rows meet in one of them.
+
+    ``blocks`` is the column with the number of blocks of a row's group. Rows get ``block`` and the pair
+    ``lo <= hi``; a group of one block is the pair (0, 0).
+    """
+    placed = df.withColumn("block", F.pmod(key, F.col(blocks)).cast("long"))
+    other = placed.withColumn("_other", F.explode(F.expr(f"sequence(0L, cast({blocks} as bigint) - 1L)")))
+    return other.withColumn("lo", F.least("block", "_other")).withColumn("hi", F.greatest("block", "_other")).drop("_other", blocks)
+
+
 class Forest:
     """Union by smallest index over ``0 .. n-1``."""
 
