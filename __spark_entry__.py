@@ -874,9 +874,22 @@ def entry(spark: SparkSession) -> DataFrame:
     return l3(spark, "/root/testdata/sf0.001")
 
 
+def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries of the optional folder for training corpora, and their SQL."""
+    try:
+        import corpus_pipeline
+        from censusloom.llm import queries as corpus
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "censusloom.llm"):
+            raise
+        return {}, {}
+    sqls = corpus.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return corpus.QUERIES | {"pipeline": corpus_pipeline.run}, sqls
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | _corpus()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | _corpus()[1]
