@@ -2,11 +2,12 @@
 
 A window is a number of consecutive words. Each window is represented by the least hash of the short
 word runs inside it, which equal windows share; consecutive windows with the same least hash are a
-segment. Segments whose hash comes only once can't hold a repeated window, so only the others are cut
-out of the texts. Their windows are counted, and those that come again are confirmed phrases, each with
-its first place. Phrases and segments are dealt to shards by the least hash; each shard compiles its
-phrases into an Aho-Corasick automaton over words and streams its segments through it, which gives
-every place of every phrase, word for word. All places but the first are removed.
+segment. Segments whose hash comes only once can't hold a repeated window. Equal segments are put
+together: all but the first repeat it whole. The different ones are cut out of the texts; their windows
+are counted, and those that come again are confirmed phrases, each with its first place. Phrases and
+segments are dealt to shards by the least hash; each shard compiles its phrases into an Aho-Corasick
+automaton over words and streams its segments through it, which gives every place of every phrase,
+word for word. All places but the first are removed.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from censusloom.llm.common import cut, mapped, runs, small, table, texts
-from censusloom.llm.words import bounds, hashes, sequences, utf8
+from censusloom.llm.words import bounds, hashes, inside, sequences, stretches, utf8
 
 WINDOW, RUN = 20, 6
 #: Segments in a shard, and the most that one task streams through a shard's automaton.
@@ -64,7 +65,10 @@ def _document_words(text: str | None) -> np.ndarray:
 
 
 def repeated_segments(keyed: DataFrame, window: int, run: int) -> DataFrame:
-    """``(id, version, key, first, words)`` of the segments that may hold a repeated window."""
+    """``(id, version, first, many, key, own)`` of the segments that may hold a repeated window.
+
+    ``own`` is a hash of all words of the segment; together with ``key`` it tells segments apart.
+    """
 
     def count():
         def step(rows):
@@ -80,66 +84,72 @@ def repeated_segments(keyed: DataFrame, window: int, run: int) -> DataFrame:
 
     def place():
         def step(rows):
-            found = [segments(_document_words(t), window, run) for t in rows["text"]]
-            many = [len(f[0]) for f in found]
-            return {
-                "id": np.repeat(np.array(rows["id"], np.int64), many), "version": np.repeat(np.array(rows["version"], np.int64), many),
-                "key": np.concatenate([f[0] for f in found]).astype(np.int64), "first": np.concatenate([f[1] for f in found]).astype(np.int64),
-            }
+            found, owns = [], []
+            for text in rows["text"]:
+                words = _document_words(text)
+                found.append(segments(words, window, run))
+                _, first, many, _ = found[-1]
+                owns.append(stretches(words, first, first + many + window - 1).view(np.int64))
+            count = [len(f[0]) for f in found]
+            return {k: np.repeat(np.array(rows[k], np.int64), count) for k in ("id", "version")} | {
+                k: np.concatenate([f[i] for f in found]).astype(np.int64) for k, i in (("first", 1), ("many", 2), ("key", 0))
+            } | {"own": np.concatenate(owns).astype(np.int64)}
 
         return step
 
     counted = mapped(keyed.select("text"), count, {"key": "long", "n": "long"})
     again = cut(counted.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "runs")
-    placed = mapped(keyed, place, {"id": "long", "version": "long", "key": "long", "first": "long"})
-    wanted = placed.join(small(again, 24), "key").groupBy("id", "version").agg(F.collect_set(F.col("first").cast("int")).alias("firsts"))
-    wanted = cut(wanted, "places")
-    size = wanted.agg(F.sum(F.size("firsts"))).first()[0] or 0
+    placed = mapped(keyed, place, dict.fromkeys(("id", "version", "first", "many", "key", "own"), "long"))
+    return placed.join(small(again, 24), "key").select("id", "version", "first", "many", "key", "own")
 
-    def slice_():
+
+def with_words(keyed: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
+    """``(id, version, first, key, words)``: the words of chosen segments ``(id, version, first, many, key)``."""
+    wanted = chosen.groupBy("id", "version").agg(F.collect_set(F.struct("first", "many", "key")).alias("s"))
+    wanted = cut(wanted.select("id", "version", F.col("s.first").alias("firsts"), F.col("s.many").alias("many"), F.col("s.key").alias("keys")), "wanted")
+
+    def make():
         def step(rows):
             out = {name: [] for name in fields}
-            for id_, version, text, firsts in zip(rows["id"], rows["version"], rows["text"], rows["firsts"]):
+            for id_, version, text, *chosen in zip(*(rows[k] for k in ("id", "version", "text", "firsts", "many", "keys"))):
                 data = utf8(text)
                 starts, ends = bounds(data)
-                key, first, many, _ = segments(hashes(data, starts, ends), window, run)
-                for i in np.flatnonzero(np.isin(first, firsts)).tolist():
-                    at, to = int(first[i]), int(first[i] + many[i]) + window - 1
-                    own = b" ".join(data[starts[w] : ends[w]] for w in range(at, to))
-                    for name, value in zip(fields, (id_, version, int(key[i]), at, own.decode("utf-8", "surrogatepass"))):
+                for first, many, key in zip(*chosen):
+                    own = b" ".join(data[starts[w] : ends[w]] for w in range(first, first + many + window - 1))
+                    for name, value in zip(fields, (id_, version, first, key, own.decode("utf-8", "surrogatepass"))):
                         out[name].append(value)
             return out
 
         return step
 
-    fields = {"id": "long", "version": "long", "key": "long", "first": "long", "words": "string"}
-    # every document has at most as many places as words; what is broadcast is checked by their number
-    limited = small(wanted, 64 + 4 * max(1, size // max(1, wanted.count())), limit=32 << 20)
-    return mapped(keyed.join(limited, ["id", "version"]), slice_, fields)
+    fields = {"id": "long", "version": "long", "first": "long", "key": "long", "words": "string"}
+    size = wanted.agg(F.sum(64 + 24 * F.size("firsts"))).first()[0] or 0
+    limited = small(wanted, -(-size // max(1, wanted.count())), limit=32 << 20)
+    return mapped(keyed.join(limited, ["id", "version"]), make, fields)
 
 
 def confirmed_phrases(found: DataFrame, window: int) -> DataFrame:
-    """``(id, first, key, starts)``: the windows that come again, at their first place, by segment."""
+    """``(id, version, first, starts)``: the windows that come again, at their first place, by segment."""
 
     def make():
         def step(rows):
-            hashed = [sequences(_document_words(t), window) for t in rows["words"]]
-            many = [len(h) for h in hashed]
-            first = np.array(rows["first"], np.int64)
-            inside = np.concatenate([np.arange(n) for n in many])
-            return {
-                "hash": np.concatenate(hashed).view(np.int64), "key": np.repeat(np.array(rows["key"], np.int64), many),
-                "id": np.repeat(np.array(rows["id"], np.int64), many), "first": np.repeat(first, many), "start": np.repeat(first, many) + inside,
-            }
+            if not rows["id"]:
+                return {name: [] for name in fields}
+            words = np.array([t.count(" ") + 1 for t in rows["words"]])
+            data = utf8(" ".join(rows["words"]))
+            hashed, many = sequences(hashes(data, *bounds(data)), window), words - window + 1
+            step_in, place = inside(many), np.repeat(np.cumsum(words) - words, many)
+            out = {k: np.repeat(np.array(rows[k], np.int64), many) for k in ("id", "version", "first")}
+            return out | {"hash": hashed[place + step_in].view(np.int64), "start": out["first"] + step_in}
 
         return step
 
-    fields = {"hash": "long", "key": "long", "id": "long", "first": "long", "start": "long"}
-    windows = mapped(found.select("id", "key", "first", "words"), make, fields)
-    place = F.struct("id", "start", "first").alias("place")
-    counted = windows.select("hash", "key", place).groupBy("hash", "key").agg(F.min("place").alias("p"), F.count(F.lit(1)).alias("n"))
-    again = counted.where("n > 1").select("key", "p.id", "p.start", "p.first")
-    return again.groupBy("id", "first", "key").agg(F.collect_list("start").alias("starts"))
+    fields = dict.fromkeys(("id", "version", "first", "hash", "start"), "long")
+    windows = mapped(found.select("id", "version", "first", "words"), make, fields, size=2048)
+    place = F.struct("id", "start", "first", "version").alias("place")
+    counted = windows.select("hash", place).groupBy("hash").agg(F.min("place").alias("p"), F.count(F.lit(1)).alias("n"))
+    again = counted.where("n > 1").select("p.id", "p.version", "p.start", "p.first")
+    return again.groupBy("id", "version", "first").agg(F.collect_list("start").alias("starts"))
 
 
 def _locate(window: int):
@@ -190,7 +200,11 @@ def removed_words(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Data
     same place.
     """
     keyed = _keyed(docs)
-    found = cut(repeated_segments(keyed, window, run), "segments")
+    places = cut(repeated_segments(keyed, window, run), "places")
+    place = F.struct("id", "first", "version", "many").alias("p")
+    different = places.select("key", "own", place).groupBy("key", "own").agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("n"))
+    different = cut(different.select("key", "own", "p.*", "n"), "different")
+    found = cut(with_words(keyed, different, window), "segments")
     phrases = cut(confirmed_phrases(found, window), "phrases")
     shards = max(1, -(-found.count() // SHARD))
     shard = F.pmod("key", F.lit(shards)).alias("shard")
@@ -201,12 +215,16 @@ def removed_words(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Data
         "shard", F.pmod(F.xxhash64("id", "version", "first"), several).alias("stream"), "id", "version", "first", "words",
         F.lit(None).cast("array<long>").alias("starts"),
     )
-    spoken = found.dropDuplicates(["id", "first", "key"]).join(phrases, ["id", "first", "key"]).withColumn("shard", shard)
+    spoken = found.join(phrases, ["id", "version", "first"]).withColumn("shard", shard)
     spoken = spoken.join(busy, "shard", "left").select(
         "shard", F.explode(F.sequence(F.lit(0).cast("long"), several - 1)).alias("stream"), "id", "version", "first", "words", "starts",
     )
     fields = {"id": "long", "version": "long", "begin": "long", "end": "long"}
-    ranges = runs(stream.unionByName(spoken), ["shard", "stream"], _locate(window), fields, least=2).distinct()
+    ranges = runs(stream.unionByName(spoken), ["shard", "stream"], _locate(window), fields, least=2)
+    first = different.where("n > 1").select("key", "own", F.col("id").alias("_id"), F.col("first").alias("_first"))
+    again = places.join(first, ["key", "own"]).where("id <> _id or first <> _first")
+    again = again.select("id", "version", F.col("first").alias("begin"), (F.col("first") + F.col("many") + window - 1).alias("end"))
+    ranges = ranges.unionByName(again).distinct()
     return ranges.groupBy("id", "version").agg(F.collect_list(F.struct("begin", "end")).alias("r")).select(
         "id", "version", F.col("r.begin").alias("begins"), F.col("r.end").alias("ends")
     )

@@ -89,3 +89,17 @@ def whole(words: np.ndarray) -> int:
     up, _ = _power_table(len(words))
     total = (mixed(words) * up[: len(words)]).sum(dtype=np.uint64) + np.uint64(len(words))
     return int(mixed(np.array([total]))[0])
+
+
+def stretches(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the words ``first .. end - 1`` for each pair of places."""
+    up, down = _power_table(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(mixed(words) * up[: len(words)], out=sums[1:])
+    return mixed((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
+
+
+def inside(many: np.ndarray) -> np.ndarray:
+    """0, 1, 2 ... for each count, one after another."""
+    total = np.cumsum(many)
+    return np.arange(total[-1] if len(many) else 0) - np.repeat(total - many, many)
