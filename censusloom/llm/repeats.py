@@ -100,7 +100,7 @@ def repeated_segments(keyed: DataFrame, window: int, run: int) -> DataFrame:
     counted = mapped(keyed.select("text"), count, {"key": "long", "n": "long"})
     again = cut(counted.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "runs")
     placed = mapped(keyed, place, dict.fromkeys(("id", "version", "first", "many", "key", "own"), "long"))
-    return placed.join(small(again, 24), "key").select("id", "version", "first", "many", "key", "own")
+    return placed.join(again, "key").select("id", "version", "first", "many", "key", "own")
 
 
 def with_words(keyed: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
@@ -123,9 +123,7 @@ def with_words(keyed: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
         return step
 
     fields = {"id": "long", "version": "long", "first": "long", "key": "long", "words": "string"}
-    size = wanted.agg(F.sum(64 + 24 * F.size("firsts"))).first()[0] or 0
-    limited = small(wanted, -(-size // max(1, wanted.count())), limit=32 << 20)
-    return mapped(keyed.join(limited, ["id", "version"]), make, fields)
+    return mapped(keyed.join(wanted, ["id", "version"]), make, fields)
 
 
 def confirmed_phrases(found: DataFrame, window: int) -> DataFrame:
@@ -240,10 +238,7 @@ def _kept(n: int, begins, ends) -> np.ndarray:
 def _with_ranges(docs: DataFrame, window: int, run: int) -> DataFrame:
     """All rows and columns, with the ranges of each as ``_begins`` and ``_ends``."""
     ranges = cut(removed_words(docs, window, run), "ranges")
-    size = ranges.agg(F.sum(64 + 16 * F.size("begins"))).first()[0] or 0
-    many = max(1, ranges.count())
-    ranges = small(ranges.select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("begins").alias("_begins"), F.col("ends").alias("_ends")),
-                   -(-size // many), limit=32 << 20)
+    ranges = ranges.select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("begins").alias("_begins"), F.col("ends").alias("_ends"))
     own = (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_version"))
     return docs.join(ranges, own, "left").drop("_id", "_version")
 
