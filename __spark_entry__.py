@@ -231,13 +231,13 @@ def _draw_sql(census: str, address: str, long_counts: str = _LONG_SQL) -> str:
     return f"""
       census as ({census}),
       address as ({address}),
-      numbered as (select *, row_number() over (partition by code order by "LONGITUDE", "LATITUDE") - 1
+      numbered as (select *, row_number() over (partition by code order by {_hash_sql('"LONGITUDE"', '"LATITUDE"')}, "LONGITUDE", "LATITUDE") - 1
                    as number from address where code is not null),
       size as (select code, count(*) as places from numbered group by code),
       quota as (select l.*, places,
-                       sum(n) over (order by rank, bucket, code
+                       sum(n) over (order by rank, hash, code
                                     rows between unbounded preceding and current row) - n as base
-                from (select *, {_hash_sql('code')} % 64 as bucket from ({long_counts}) where n > 0) l
+                from (select *, {_hash_sql('code')} as hash from ({long_counts}) where n > 0) l
                 join size using (code)),
       draw as (select *, unnest(range(n)) as i, places * n as s from quota),
       {_permute_sql('draw', 'code,feature')},
@@ -253,7 +253,7 @@ def _uneven_sql(n: str) -> str:
     """CTE ``drawn``: general draw where rows of a code may differ in their counts."""
     return f"""
       flat as (select code, "LONGITUDE", "LATITUDE", {n} as n from (select *, pid as c_custkey from ({_ADDRESS_SQL}))),
-      run as (select *, sum(n) over (partition by code order by "LONGITUDE", "LATITUDE", n
+      run as (select *, sum(n) over (partition by code order by {_hash_sql('"LONGITUDE"', '"LATITUDE"')}, "LONGITUDE", "LATITUDE", n
                                      rows between unbounded preceding and current row) - n as start
               from flat),
       quota as (select code, 'f' as feature, cast(sum(n) as bigint) as s, max(n) as draws
@@ -724,33 +724,28 @@ _W1_SQL = f"""with recursive
    {_permute_sql('draw', 'code')} select o_orderkey, code, v as rank from image"""
 
 
-@query("w1_shuffled_index", _W1_SQL.replace("{order}", "o_orderkey"))
+_W1_SQL = _W1_SQL.replace("{order}", f"{_hash_sql('o_orderkey')}, o_orderkey")
+
+
+@query("w1_shuffled_index", _W1_SQL)
 def w1(spark, sf):
     orders = table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderpriority as code")
     return numbering.shuffled_index(orders, ["code"], ["o_orderkey"], "rank", SEED)
 
 
-@query(
-    "w1_split_groups",
-    "select o_orderpriority as code, count(*) as n, min(rank) as low, max(rank) as high, count(distinct rank) as ranks "
-    "from (select *, row_number() over (partition by o_orderpriority order by o_orderkey) - 1 as rank from orders) group by 1",
-)
+@query("w1_split_groups", _W1_SQL)
 def w1_split(spark, sf):
     orders = table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderpriority as code")
-    ranked = numbering.shuffled_index(orders, ["code"], ["o_orderkey"], "rank", SEED, hot_rows=100)
-    return ranked.groupBy("code").agg(
-        F.count(F.lit(1)).alias("n"), F.min("rank").alias("low"), F.max("rank").alias("high"),
-        F.countDistinct("rank").alias("ranks"),
-    )
+    return numbering.shuffled_index(orders, ["code"], ["o_orderkey"], "rank", SEED, hot_rows=100)
 
 
 @query(
     "w2_person_ids",
-    f"select o_orderkey, o_orderstatus as feature, row_number() over (order by case o_orderstatus when 'F' then 1 when 'O' then 2 else 3 end, {_hash_sql('o_orderkey')} % 8, o_orderkey) - 1 as id from orders",
+    f"select o_orderkey, o_orderstatus as feature, row_number() over (order by case o_orderstatus when 'F' then 1 when 'O' then 2 else 3 end, {_hash_sql('o_orderkey')}, o_orderkey) - 1 as id from orders",
 )
 def w2(spark, sf):
     rows = table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderstatus as feature")
-    return allocate.with_person_ids(rows, ["F", "O", "P"], ["o_orderkey"], "id", buckets=8)
+    return allocate.with_person_ids(rows, ["F", "O", "P"], ["o_orderkey"], "id")
 
 
 @query(

@@ -11,15 +11,18 @@ LONGEST_IN_LIST = 1000
 
 
 def keep_in(df: DataFrame, column: str, values: Sequence) -> DataFrame:
-    """Keep rows whose value is listed; an empty list keeps all. Null is never listed."""
+    """Keep rows whose value is listed; an empty list keeps all. Null is never listed.
+
+    Listed values take the column's type first; one that has no such value matches nothing.
+    """
     if not values:
         return df
+    kind = df.schema[column].dataType
     if len(values) <= LONGEST_IN_LIST:
-        return df.where(F.col(column).isin(list(values)))
-    listed = df.sparkSession.createDataFrame(
-        [(v,) for v in values], f"`{column}` {df.schema[column].dataType.simpleString()}"
-    )
-    return df.join(listed, column, "left_semi").select(*df.columns)
+        return df.where(F.col(f"`{column}`").isin([F.lit(str(v)).try_cast(kind) for v in values]))
+    listed = df.sparkSession.createDataFrame([(str(v),) for v in values], "v string")
+    listed = listed.select(F.col("v").try_cast(kind).alias(column))
+    return df.join(listed, column, "left_semi").select(*[f"`{c}`" for c in df.columns])
 
 
 def rename_clashes(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

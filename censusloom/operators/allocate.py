@@ -17,6 +17,7 @@ from censusloom.functions.hashing import round_keys, stable_hash, with_permuted
 from censusloom.operators.numbering import (
     HOT_ROWS,
     group_sizes,
+    hash_range,
     number_rows,
     ordered_totals,
     running_totals,
@@ -94,11 +95,12 @@ def draw_addresses(
         .withColumns(
             {
                 "__rank": _feature_rank(features),
-                "__bucket": F.pmod(stable_hash(code_col), F.lit(ID_BUCKETS)),
+                "__hash": stable_hash(code_col),
             }
         )
+        .withColumn("__bucket", hash_range("__hash", F.lit(ID_BUCKETS)))
     )
-    quota = ordered_totals(quota, ["__rank", "__bucket"], [code_col], "n", "__base")
+    quota = ordered_totals(quota, ["__rank", "__bucket"], ["__hash", code_col], "n", "__base")
     quota = quota.select(
         F.col(code_col).alias("__code"),
         "feature",
@@ -149,7 +151,7 @@ def _draw_uneven(
         f"{n}_rows": (F.col(n) > 0).cast("long") for n in names.values()
     }
     order = ["__long", "__lat", *names.values()]
-    placed = running_totals(flat, ["__code"], order, values, hot_rows)
+    placed = running_totals(flat, ["__code"], order, values, hot_rows, hashed=["__long", "__lat"])
     block = lambda total, rows: F.ceil(F.col(total) / F.col(rows)).cast("long")
 
     runs = placed.select(
@@ -323,19 +325,20 @@ def with_person_ids(
 ) -> DataFrame:
     """Gap-free ids ``0 .. N-1`` in feature order for rows that have none yet.
 
-    The rows of a feature are numbered in ``buckets`` separate parts (default: as many as
-    the session has shuffle partitions).
+    The rows of a feature are numbered in ``buckets`` ranges of the hash that orders them
+    (default: as many as the session has shuffle partitions); their number changes no id.
     """
     buckets = buckets or shuffle_width(persons.sparkSession)
     ready = persons.withColumns(
         {
             "__rank": _feature_rank(features),
-            "__bucket": F.pmod(stable_hash(*order), F.lit(buckets)),
+            "__hash": stable_hash(*order),
             "__one": F.lit(1).cast("long"),
         }
     )
-    numbered = ordered_totals(ready, ["__rank", "__bucket"], list(order), "__one", index_col)
-    return numbered.drop("__rank", "__bucket", "__one")
+    ready = ready.withColumn("__bucket", hash_range("__hash", F.lit(buckets)))
+    numbered = ordered_totals(ready, ["__rank", "__bucket"], ["__hash", *order], "__one", index_col)
+    return numbered.drop("__rank", "__hash", "__bucket", "__one")
 
 
 def reconcile(

@@ -1,9 +1,11 @@
 """Running totals, row numbers and random ranks inside groups of any size.
 
-A plain ``row_number() over (partition by key)`` puts a whole group in one task. Here a
-group above ``hot_rows`` is split into parts by a hash of its order columns, each part is
-numbered on its own, and the part's start is added. Only the list of such groups and the
-starts of their parts are broadcast; both are bounded by the constants below.
+A plain ``row_number() over (partition by key)`` puts a whole group in one task. Rows of a
+group are ordered by a hash of the order columns, then by these. A group above ``hot_rows``
+is split into ranges of that hash, as many as its own size asks for; each range is numbered
+on its own and its start is added. As ranges follow the order, the answer is the same
+whether and how far a group is split. Only split groups and their ranges are broadcast, at
+most two entries for every ``hot_rows`` rows of the table.
 """
 
 from __future__ import annotations
@@ -17,16 +19,19 @@ from censusloom.functions.hashing import round_keys, stable_hash, with_permuted
 
 #: Groups with more rows than this are split.
 HOT_ROWS = 1_000_000
-#: At most this many groups are split. Every other group holds under 1/1024 of the rows.
-MAX_HOT_GROUPS = 1024
-#: Bounds the number of parts: at most this many plus one per hot group.
-MAX_HOT_PARTS = 4096
+#: Width of ``stable_hash``.
+HASHES = 1 << 60
 
 
 def _same(keys: Sequence[str], prefix: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
 
 
+def hash_range(column: str, parts: Column) -> Column:
+    """Which of ``parts`` equal ranges of ``stable_hash`` a hash lies in; grows with the hash."""
+    return F.floor(F.col(column) / F.ceil(F.lit(HASHES) / parts)).cast("long")
+
+
 def group_sizes(df: DataFrame, keys: Sequence[str], out: str = "__rows") -> DataFrame:
     """Rows per group, combined before the shuffle."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
@@ -39,33 +44,29 @@ def running_totals(
     values: dict[str, Column],
     hot_rows: int = HOT_ROWS,
     with_totals: bool = True,
+    hashed: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ``<name>_before`` and, if asked for, ``<name>_total`` for every named value.
 
     ``_before`` is the sum of the value over the rows of the group that come earlier in a
-    fixed order, ``_total`` the sum over the whole group. Null keys form a group.
+    fixed order, ``_total`` the sum over the whole group. Null keys form a group. Rows come in
+    the order of ``stable_hash(*hashed)``, then of ``order``; ``hashed`` is ``order`` if not given.
     """
     sizes = group_sizes(df, keys)
-    of_all_hot = F.sum("__rows").over(Window.partitionBy())  # at most MAX_HOT_GROUPS rows
-    hot = (
-        sizes.where(F.col("__rows") > hot_rows)
-        .orderBy(F.desc("__rows"), *keys)
-        .limit(MAX_HOT_GROUPS)
-        .select(
-            *[F.col(k).alias("__hot_" + k) for k in keys],
-            F.ceil(
-                F.col("__rows") / F.greatest(F.lit(float(hot_rows)), of_all_hot / MAX_HOT_PARTS)
-            ).alias("__parts"),
-        )
+    hot = sizes.where(F.col("__rows") > hot_rows).select(
+        *[F.col(k).alias("__hot_" + k) for k in keys],
+        F.ceil(F.col("__rows") / F.lit(hot_rows)).alias("__parts"),
+    )
+    named = df.withColumns(
+        {f"__v_{name}": value for name, value in values.items()} | {"__hash": stable_hash(*(hashed or order))}
     )
-    named = df.withColumns({f"__v_{name}": value for name, value in values.items()})
     split = (
         named.join(F.broadcast(hot), _same(keys, "__hot_"), "left")
         .withColumn(
             "__part",
             F.when(
                 F.col("__parts").isNotNull(),
-                F.pmod(stable_hash(*order), F.col("__parts")),
+                hash_range("__hash", F.col("__parts")),
             ).otherwise(F.lit(0).cast("long")),
         )
         .drop(*["__hot_" + k for k in keys])
@@ -85,7 +86,7 @@ def running_totals(
     )
 
     in_part = Window.partitionBy(*keys, "__part")
-    so_far = in_part.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = in_part.orderBy("__hash", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = split.withColumns(
         {f"{name}_before": F.sum(f"__v_{name}").over(so_far) for name in values}
         | {f"{name}_total": F.sum(f"__v_{name}").over(in_part) for name in values if with_totals}

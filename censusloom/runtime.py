@@ -24,13 +24,16 @@ def broadcast_if(df: DataFrame, size_in_bytes: float, limit: int = BROADCAST_LIM
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder path all executors can reach.
 
-    It lies under ``spark.checkpoint.dir`` when the session names one. A machine-local
-    folder is taken only when it does not, as in a local test session.
+    It lies under ``spark.checkpoint.dir``. A session without that setting gets a
+    machine-local folder if it runs on one machine, and an error otherwise.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if shared is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="censusloom-")
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import logging
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from censusloom.sources.folders import list_files
+from censusloom.sources.folders import list_files, qualified
 from censusloom.sources.tables import get_spreadsheet_reader
 
 log = logging.getLogger(__name__)
@@ -39,15 +40,20 @@ def write_csv_in_chunks(
     df: DataFrame, output_path: str, chunk_size: int = 50_000, mode: str = "overwrite"
 ) -> None:
     """Write a folder of CSV files with headers, each of at most ``chunk_size`` rows."""
-    df.write.mode(mode).option("header", True).option("maxRecordsPerFile", chunk_size).csv(output_path)
+    df.write.mode(mode).options(
+        header=True, maxRecordsPerFile=chunk_size, quote='"', escape='"',
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(output_path)
 
 
 def pending_conversions(spark: SparkSession, input_dir: str, output_dir: str) -> DataFrame:
     """``(path, extension, target)`` of the spreadsheets that have no finished Parquet yet.
 
     A target counts as finished when it holds committed files. What a cut-off conversion
-    left behind lies in a temporary folder, which is not listed, so it is done again.
+    left behind lies in a temporary folder, which is not listed, so it is done again. Two
+    inputs with the same target are an error.
     """
+    input_dir, output_dir = qualified(spark, input_dir), qualified(spark, output_dir)
     relative = F.substring(F.col("path"), len(input_dir.rstrip("/")) + 2, 1 << 30)
     todo = (
         list_files(spark, input_dir)
@@ -62,6 +68,9 @@ def pending_conversions(spark: SparkSession, input_dir: str, output_dir: str) ->
             ).alias("target"),
         )
     )
+    clash = todo.groupBy("target").agg(F.min("path"), F.max("path"), F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    if clash:
+        raise ValueError(f"{clash[1]} and {clash[2]} would both become {clash[0]}")
     return todo.join(_finished(spark, output_dir), "target", "left_anti").select(
         "path", "extension", "target"
     )
@@ -91,7 +100,7 @@ def convert_to_parquet(spark: SparkSession, input_dir: str, output_dir: str) ->
                 raise ValueError("unreadable")
             df.write.mode("overwrite").parquet(row.target)
             return row.path, row.target
-        except (ValueError, PySparkException) as error:
+        except (ValueError, PySparkException, Py4JError) as error:
             log.error("cannot convert %s: %s", row.path, error)
             return None
 

@@ -22,6 +22,13 @@ log = logging.getLogger(__name__)
 STATES = ("NSW", "ACT", "VIC", "QLD", "SA", "WA", "TAS", "NT", "OT")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path in the form in which ``list_files`` gives it: absolute, local ones without a scheme."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    return re.sub("^file:/+", "/", whole).rstrip("/") or "/"
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """``(path, length, modificationTime)`` of all files under a folder.
 
@@ -116,7 +123,9 @@ def scan_folder(
     if extension == "parquet":
         rows = reader.parquet(folder)
     else:
-        rows = reader.option("header", True).option("sep", "|" if extension == "psv" else ",").csv(folder)
+        rows = reader.options(
+            header=True, sep="|" if extension == "psv" else ",", quote='"', escape='"'
+        ).csv(folder)
     path = F.regexp_replace(file_path(), "^file:/+", "/")
     root = F.regexp_extract(path, rf"^(.*?\.{re.escape(extension)})(/.*)?$", 1)
     rows = rows.where(F.col("_metadata.file_path").rlike(rf"\.{re.escape(extension)}(/|$)"))

@@ -29,9 +29,9 @@ DETAIL_SCHEMA = T.StructType(
 
 
 def _delimited(
-    spark: SparkSession, path: str | list[str], separator: str, schema: T.StructType | None
+    spark: SparkSession, path: str | list[str], separator: str, schema: T.StructType | None, multi_line: bool
 ) -> DataFrame | None:
-    reader = spark.read.option("header", True).option("sep", separator)
+    reader = spark.read.options(header=True, sep=separator, quote='"', escape='"', multiLine=multi_line)
     try:
         if schema is None:
             found = reader.option("inferSchema", True).csv(path).schema
@@ -50,17 +50,23 @@ def _delimited(
         return None
 
 
-def read_psv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+def read_psv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False
+) -> DataFrame | None:
     """Pipe-separated text with a header; ``None`` if it cannot be read.
 
-    Without a schema the types are inferred, which reads the file twice.
+    Without a schema the types are inferred, which reads the file twice. A quote inside a
+    quoted field is doubled. ``multi_line`` allows line breaks in quoted fields; such files
+    are not split among tasks.
     """
-    return _delimited(spark, path, "|", schema)
+    return _delimited(spark, path, "|", schema, multi_line)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False
+) -> DataFrame | None:
     """Comma-separated text with a header; ``None`` if it cannot be read."""
-    return _delimited(spark, path, ",", schema)
+    return _delimited(spark, path, ",", schema, multi_line)
 
 
 def read_parquet(

@@ -107,3 +107,11 @@ def test_long_list_equals_short_list(spark, rows):
     df = spark.range(5000).selectExpr("id as k", "id % 7 as v")
     some = list(range(0, 5000, 3))
     assert rows(keep_in(df, "k", some)) == rows(df.where("k % 3 = 0"))
+
+
+@pytest.mark.parametrize("many", [1000, 1001])
+def test_text_list_on_a_number_column(spark, many):
+    from censusloom.operators.addresses import keep_in
+
+    codes = spark.range(5).selectExpr("id as code")
+    assert keep_in(codes, "code", [str(i) for i in range(2, many + 1)] + ["none"]).count() == 3

@@ -201,3 +201,19 @@ def test_join_census_with_coords(spark, codes, expected):
     joined = join_census_with_coords(census, coords, "CODE_2021", "CODE21")
     assert joined.columns == ["CODE_2021", "feature1", "longitude", "latitude"]
     assert sorted(tuple(r) for r in joined.collect()) == expected
+
+
+def test_ids_do_not_depend_on_the_number_of_ranges(spark):
+    from censusloom.operators.allocate import with_person_ids
+
+    people = spark.range(200).selectExpr("id as row", "if(id % 3 = 0, 'a', 'b') as feature")
+    found = [sorted(with_person_ids(people, ["a", "b"], ["row"], "id", buckets=n).collect()) for n in (1, 3, 8)]
+    assert found[0] == found[1] == found[2]
+
+
+def test_numbers_do_not_depend_on_splitting(spark):
+    from censusloom.operators.numbering import number_rows
+
+    df = spark.range(300).selectExpr("id", "id % 2 as k")
+    found = [sorted(number_rows(df, ["k"], ["id"], "i", "n", hot_rows=hot).collect()) for hot in (7, 40, 1000)]
+    assert found[0] == found[1] == found[2]

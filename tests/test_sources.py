@@ -246,3 +246,37 @@ def test_convert_folder(spark, tmp_path, rows):
     again = convert_to_parquet(spark, str(source), str(target))
     assert [p.removeprefix(str(source)) for p in again] == ["/d.csv"]
     assert sorted(read_spreadsheets(spark, str(target), "parquet")) == ["a.parquet", "b.parquet", "c.parquet", "d.parquet"]
+
+
+def test_delimited_text_round_trip(spark, tmp_path, rows):
+    from censusloom import sinks
+    from censusloom.sources import tables
+
+    made = spark.createDataFrame(
+        [(1, 'say "hi", x'), (2, "  pad  "), (3, "a|b"), (4, None), (5, "two\nlines")], "id long, note string"
+    )
+    sinks.write_csv_in_chunks(made, f"{tmp_path}/out", 2)
+    back = tables.read_csv(spark, f"{tmp_path}/out", made.schema, multi_line=True)
+    assert rows(back) == rows(made)
+
+
+def test_conversion_of_a_relative_folder_and_equal_targets(spark, tmp_path, monkeypatch):
+    import os
+
+    from censusloom import sinks
+
+    monkeypatch.chdir(tmp_path)
+    os.makedirs("in/sub")
+    for name in ("in/sub/a.csv", "in/b.csv"):
+        with open(name, "w") as file:
+            file.write('id,note\n1,"x ""y"""\n')
+    here = os.path.relpath(str(tmp_path), os.getcwd())
+    base = str(tmp_path) if here == "." else here
+    done = sinks.convert_to_parquet(spark, f"file://{tmp_path}/in", f"{base}/out")
+    assert sorted(done.values()) == [f"{tmp_path}/out/b.parquet", f"{tmp_path}/out/sub/a.parquet"]
+    assert spark.read.parquet(f"{tmp_path}/out/sub/a.parquet").collect()[0].note == 'x "y"'
+    assert sinks.convert_to_parquet(spark, f"{tmp_path}/in", f"{tmp_path}/out") == {}
+    with open("in/b.psv", "w") as file:
+        file.write("id|note\n1|x\n")
+    with pytest.raises(ValueError, match="both become"):
+        sinks.convert_to_parquet(spark, f"{tmp_path}/in", f"{tmp_path}/other")
