@@ -194,9 +194,10 @@ def site_templates(pages: DataFrame, share: float = 0.05, least: int = 5) -> Dat
         return step
 
     seen = mapped(pages.select("host", "html"), make, {"host": "string", "article": "long", "keys": "array<long>"})
-    seen = cut(seen.groupBy("host", "article").agg(F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys")), "articles")
-    sizes = seen.groupBy("host").agg(F.count(F.lit(1)).alias("articles"))
-    counts = seen.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    seen = cut(seen, "articles")
+    sizes = seen.select("host", "article").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("articles"))
+    each = seen.select("host", "article", F.explode("keys").alias("key")).distinct()
+    counts = each.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
     often = counts.where(F.col("n") >= least).join(sizes, "host").where(F.col("n") >= share * F.col("articles"))
     return often.groupBy("host").agg(F.collect_list("key").alias("templates"))
 
