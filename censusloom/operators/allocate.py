@@ -143,7 +143,7 @@ def _draw_uneven(
         F.col(long_col).alias("__long"),
         F.col(lat_col).alias("__lat"),
         *[
-            F.greatest(F.coalesce(F.col(f).cast("long"), F.lit(0)), F.lit(0)).alias(n)
+            F.greatest(F.coalesce(F.col(f"`{f}`").cast("long"), F.lit(0)), F.lit(0)).alias(n)
             for f, n in names.items()
         ],
     )
@@ -263,8 +263,8 @@ def _uneven(census: DataFrame, code_col: str, features: Sequence[str]) -> bool:
         reduce(
             lambda a, b: a | b,
             [
-                F.min(F.coalesce(F.col(f).cast("long"), F.lit(0)))
-                != F.max(F.coalesce(F.col(f).cast("long"), F.lit(0)))
+                F.min(F.coalesce(F.col(f"`{f}`").cast("long"), F.lit(0)))
+                != F.max(F.coalesce(F.col(f"`{f}`").cast("long"), F.lit(0)))
                 for f in features
             ],
         ).alias("differs")
@@ -303,8 +303,8 @@ def randomly_assign_census_features(
     if even_counts:
         counts = (
             census.groupBy(code_col)
-            .agg(*[F.max(F.col(f).cast("long")).alias(f) for f in features])
-            .unpivot([code_col], features, "feature", "n")
+            .agg(*[F.max(F.col(f"`{f}`").cast("long")).alias(f) for f in features])
+            .unpivot([code_col], [F.col(f"`{f}`") for f in features], "feature", "n")
         )
         persons = draw_addresses(
             census, counts, code_col, long_col, lat_col, features, index_col, seed,
@@ -347,8 +347,8 @@ def reconcile(
     """``(code, feature, wanted, placed)`` for a one-hot person table and its long counts."""
     placed = (
         persons.groupBy(code_col)
-        .agg(*[F.count_if(F.col(f)).alias(f) for f in features])
-        .unpivot([code_col], list(features), "feature", "placed")
+        .agg(*[F.count_if(F.col(f"`{f}`")).alias(f) for f in features])
+        .unpivot([code_col], [F.col(f"`{f}`") for f in features], "feature", "placed")
         .where(F.col("placed") > 0)
     )
     wanted = (

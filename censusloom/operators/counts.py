@@ -105,7 +105,7 @@ def census_long(
         if own:
             picked = df.select(join_col, *[F.col(f"`{f}`").cast("long").alias(f) for f in own])
             parts.append(
-                picked.unpivot([join_col], own, "feature", "n").withColumn("table", F.lit(name))
+                picked.unpivot([join_col], [F.col(f"`{f}`") for f in own], "feature", "n").withColumn("table", F.lit(name))
             )
     stacked = reduce(DataFrame.unionByName, parts).where("n > 0")
     return stacked.select("table", join_col, "feature", "n")

@@ -108,16 +108,38 @@ def _fields(header: bytes) -> list[tuple[str, str]]:
     return found
 
 
+def _columns(dbf: DataFrame) -> list[tuple[str, str]]:
+    """Each column name once with its type, in the order of the first file that has it."""
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [
+                (path, i, *column)
+                for path, head in zip(batch["path"], batch["head"])
+                for i, column in enumerate(_fields(bytes(head)))
+            ]
+            yield pd.DataFrame(found, columns=["path", "place", "name", "kind"])
+
+    # a head has at most as many bytes as its two-byte length can say
+    head = dbf.select("path", F.substring("content", 1, 65535).alias("head"))
+    found = head.mapInPandas(heads, "path string, place int, name string, kind string")
+    first = found.groupBy("name", "kind").agg(F.min(F.struct("path", "place")).alias("at")).orderBy("at")
+    columns: dict[str, str] = {}
+    for row in first.select("name", "kind").collect():
+        same = columns.setdefault(row["name"], row["kind"]) == row["kind"]
+        columns[row["name"]] = row["kind"] if same else "string"
+    return list(columns.items())
+
+
 def areas_from_files(files: DataFrame, crs: str) -> DataFrame:
     """Area table from ``(path, content)`` rows of ``.shp`` and ``.dbf`` files.
 
-    ``index_right`` counts the records through the files in path order. Only the first
-    bytes of the attribute files, which hold the column names, reach the driver.
+    ``index_right`` counts the records through the files in path order. A column that files
+    have with different types is text. Only the distinct column names and types reach the driver.
     """
     files = files.select("path", "content")
     shp, dbf = (files.where(F.lower("path").endswith(end)) for end in (".shp", ".dbf"))
-    heads = dbf.select(F.substring("content", 1, 8225).alias("head")).distinct().collect()
-    columns = list(dict.fromkeys(c for row in heads for c in _fields(bytes(row["head"]))))
+    columns = _columns(dbf)
 
     shapes = shp.mapInPandas(
         _unpacker(_polygons, ["file", "record", "parts", "xs", "ys"]), SHAPES

@@ -93,3 +93,16 @@ def test_stack_and_join_sampled(spark, rows):
     assert rows(join_sampled_features(a, b)) == [
         *[("A", True, True)] * 4, ("B", True, False), ("C", False, True),
     ]
+
+
+def test_features_of_tables_named_like_files(spark, frames, rows):
+    from censusloom.operators.allocate import randomly_assign_census_features, reconcile
+
+    tables = {f"{name}.parquet": df for name, df in frames.items()}
+    again = "a__G03.parquet"
+    assert rows(census_long(tables, [again])) == [("G03.parquet", 3, again, 1), ("G03.parquet", None, again, 9)]
+    homes = spark.createDataFrame([(3, 1.0, 2.0, 2), (3, 3.0, 4.0, 2)], f"{KEY} long, x double, y double, `{again}` long")
+    persons = randomly_assign_census_features(homes, KEY, "x", "y", [again])
+    assert persons.count() == 2 and persons.columns[-1] == again
+    wanted = spark.createDataFrame([(3, again, 2)], f"{KEY} long, feature string, n long")
+    assert rows(reconcile(persons, wanted, KEY, [again])) == [(3, again, 2, 2)]

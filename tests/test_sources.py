@@ -222,6 +222,15 @@ def test_read_shapefile(spark, tmp_path):
     assert [r.SA1_CODE21 for r in one.collect()] == [103]
 
 
+def test_attribute_columns_once_by_name(spark, tmp_path):
+    put(tmp_path / "a.shp", shp_bytes(RINGS[:1]))
+    put(tmp_path / "a.dbf", dbf_bytes([("SA1", "N", 5), ("ONLY", "C", 3)], [[7, "x"]]))
+    put(tmp_path / "b.shp", shp_bytes(RINGS[:1]))
+    put(tmp_path / "b.dbf", dbf_bytes([("SA1", "C", 5)], [["8A"]]))
+    areas = read_shapefile(spark, str(tmp_path), "EPSG:7844").orderBy("index_right")
+    assert [(r.SA1, r.ONLY) for r in areas.select("SA1", "ONLY").collect()] == [("7", "x"), ("8A", None)]
+
+
 def test_shapefile_in_another_crs(spark, tmp_path):
     shapefile(tmp_path, "a", RINGS[:1], [[101, "Here"]], "GDA94")
     with pytest.raises(ValueError, match="GDA94"):
