@@ -4,9 +4,11 @@ A document is its set of distinct word shingles. Documents with equal sets are o
 each set the minima under many keyed permutations are taken: bands of whole minima find candidates,
 and the low bits of all minima, packed, estimate the similarity of two sets from the count of equal
 ones, corrected for those that are equal by chance. Sets that share a band key, directly or through
-others, are a family; families are worked on in pairs of blocks, so no group is ever held whole.
-Within a pair of blocks, sets whose estimate could reach the threshold and that are not linked already
-are compared as full sets. A pair of blocks gives a spanning forest of its links, not the pairs.
+others, are a family. Sets whose estimate could reach the threshold and that are not linked already are
+compared as full sets, in blocks, so no group is ever held whole. A family of several blocks is dealt to
+random blocks twice and linked inside them, which grows with its size and joins what has many copies;
+after that only the sets outside its largest component meet the rest, in pairs of blocks. A pair of
+blocks gives a spanning forest of its new links, not the pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from censusloom.llm.common import Forest, components, cut, in_blocks, mapped, runs, small, table, texts
+from censusloom.llm.common import Forest, components, cut, mapped, runs, small, table, texts
 from censusloom.llm.words import bounds, hashes, mixed, sequences, utf8
 
 #: Documents of a family in a block.
@@ -146,6 +148,9 @@ def _links(like: Likeness):
             size = np.array([len(s) for s in sets])
             signs = np.array([signer.low_bits(signer.minima(s)) for s in sets])
             forest, a, b = Forest(len(sets)), [], []
+            first: dict[int, int] = {}
+            for i, known in enumerate(group["known"].to_numpy()[order].tolist()):
+                forest.join(first.setdefault(known, i), i)
             for i in range(len(sets)):
                 rest = np.arange(i + 1, len(sets))
                 if lo != hi:
@@ -170,6 +175,28 @@ def _links(like: Likeness):
     return make
 
 
+def _dealt(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """Members in pairs of blocks ``lo <= hi`` in which all pairs meet, but those inside a family's largest component.
+
+    ``linked (node, component)`` are the links found so far; families it does not name are one block.
+    """
+    nodes = members.select("node", "family", "blocks").join(linked, "node", "left")
+    nodes = cut(nodes.select("node", "family", F.coalesce("component", "node").alias("known"), (F.col("blocks") > 1).alias("several")), "known")
+    parts = nodes.where("several").groupBy("family", "known").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy("family").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.max("n").alias("in_main"), F.sum("n").alias("n"))
+    ceil = lambda n: F.ceil(n / BLOCK).cast("long")
+    largest = largest.select("family", "main", ceil(F.col("in_main")).alias("mains"), ceil(F.col("n") - F.col("in_main")).alias("others"))
+    placed = nodes.join(largest, "family", "left").select(
+        "node", "known", F.coalesce(F.col("known") == F.col("main"), F.lit(False)).alias("inner"),
+        F.coalesce("mains", F.lit(0).cast("long")).alias("mains"), F.coalesce("others", F.lit(1).cast("long")).alias("others"),
+    ).where("not inner or others > 0")
+    block = F.expr("if(inner, pmod(xxhash64(node), mains), mains + pmod(xxhash64(node), others))").alias("block")
+    placed = placed.select("node", "known", block, F.expr("if(inner, mains, 0L)").alias("from"), (F.col("mains") + F.col("others") - 1).alias("to"))
+    dealt = members.select("node", "family", "shingles").join(placed, "node")
+    dealt = dealt.withColumn("_other", F.explode(F.sequence("from", "to"))).drop("from", "to")
+    return dealt.withColumn("lo", F.least("block", "_other")).withColumn("hi", F.greatest("block", "_other")).drop("_other")
+
+
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every document.
 
@@ -194,8 +221,16 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
         }
 
     members = mapped(members, make, {"node": "long", "family": "long", "blocks": "long", "shingles": "binary"})
-    dealt = in_blocks(members, "blocks", F.xxhash64("node"))
-    edges = runs(dealt, ["family", "lo", "hi"], _links(like), {"a": "long", "b": "long"}, least=2)
+    members = cut(members, "members")
+    fields = {"a": "long", "b": "long"}
+    inside = []
+    for turn in (1, 2):
+        own = F.pmod(F.xxhash64("node", F.lit(turn)), "blocks")
+        dealt = members.where("blocks > 1").withColumns({"known": F.col("node"), "block": own, "lo": own, "hi": own}).drop("blocks")
+        inside.append(cut(runs(dealt, ["family", "lo", "hi"], _links(like), fields, least=2), "inside"))
+    inside = inside[0].unionByName(inside[1])
+    dealt = _dealt(members, components(inside, "inside"))
+    edges = cut(runs(dealt, ["family", "lo", "hi"], _links(like), fields, least=2), "edges").unionByName(inside)
     linked = components(edges, "links")
     labels = sets.join(linked, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = found.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")

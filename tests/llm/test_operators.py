@@ -1,3 +1,4 @@
+import random
 import hashlib
 import math
 
@@ -231,3 +232,19 @@ def test_vectors(spark):
     for i, r in found.items():
         assert r.n_links == sum(a == i for a, _ in links) and r.component_id == root.get(i) and r.kept == (i is None or root[i] == i)
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
+
+
+def test_near_duplicates_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(3)
+    first = [f"w{rng.randrange(10_000)}" for _ in range(120)]
+    made = []
+    for i in range(120):
+        words = list(first)
+        for _ in range(i % 9):
+            words[rng.randrange(120)] = f"x{rng.randrange(10_000)}"
+        made.append((i, " ".join(words)))
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    root = plain.alike(made, 3, 85)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == {i: root[i] for i, _ in made} and len(set(got.values())) > 1
