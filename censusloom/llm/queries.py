@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from censusloom.llm import bpe, minhash, packing, pages, personal, quality, repeats, secrets, tokenfiles, vectors
+from censusloom.llm import (
+    bpe, languages, middles, minhash, packing, pages, periods, personal, quality, repeats, secrets, tokenfiles, vectors,
+)
 
 QUERIES = {
     f.__name__: f
     for f in (
         vectors.op1_collision_counting, minhash.op2_minhash, packing.op3_pack, quality.op4_quality_rules, secrets.op5_secret_scan,
         personal.op6_personal_data, pages.op7_page_text, repeats.op8_repeated_passages, tokenfiles.op9_token_files, bpe.op10_byte_bpe,
+        periods.op11_periodic_runs, middles.op12_fill_in_middle, languages.op13_language_id,
     )
 }
 
@@ -62,5 +65,27 @@ kept as (
 select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(len(w.w) - coalesce(k.n, 0) as bigint) as n_removed,
   sha256(coalesce(k.t, '')) as kept_sha256
 from w left join kept k on k.doc_id = w.doc_id
+""",
+    "op12_fill_in_middle": r"""
+with t as (
+  select doc_id, coalesce(text, '') as x, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as d,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as w from documents
+), h as (
+  select *, len(w) as n, cast('0x' || d[1:8] as bigint) as h1, cast('0x' || d[9:16] as bigint) as h2,
+    cast('0x' || d[17:24] as bigint) as h3, cast('0x' || d[25:32] as bigint) as h4 from t
+), c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when x = '' or contains(x, '<P>') or contains(x, '<S>') or contains(x, '<M>') or h3 % 100 >= 50 then 'plain'
+         when h4 % 100 < 80 then 'spm' else 'psm' end as form from h
+), p as (
+  select *, array_to_string(w[1:a], '') as pre, array_to_string(w[a + 1:b], '') as mid, array_to_string(w[b + 1:n], '') as suf from c
+)
+select doc_id, cast(n as bigint) as n, form,
+  case when form <> 'plain' then cast(length(pre) as bigint) end as prefix_chars,
+  case when form <> 'plain' then cast(length(mid) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then x when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+              else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(x) as restored_sha256
+from p
 """,
 }
