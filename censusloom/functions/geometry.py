@@ -10,14 +10,14 @@ from pyspark.sql import Column, functions as F
 
 
 def area_edges(rings: str) -> str:
-    """All edges of an area. A ring whose ends differ is closed."""
+    """All edges of an area. A ring whose ends differ is closed; an empty one has no edges."""
     ends = (
         "concat(slice(r, 2, size(r)), "
         "if(element_at(r, -1) = r[0], slice(r, 1, 0), slice(r, 1, 1)))"
     )
     edge = "struct(a.x as x1, a.y as y1, b.x as x2, b.y as y2)"
     edges = f"zip_with(slice(r, 1, size({ends})), {ends}, (a, b) -> {edge})"
-    return f"flatten(transform({rings}, r -> {edges}))"
+    return f"flatten(transform(filter({rings}, r -> size(r) > 0), r -> {edges}))"
 
 
 def crosses(e: str, px: str, py: str) -> str:

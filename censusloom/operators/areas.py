@@ -8,20 +8,15 @@ metadata and must agree on both sides.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from censusloom.functions import geometry as geo
+from censusloom.operators.cells import BOX, BYTES_PER_CELL, BYTES_PER_EDGE, AreaStats, Grid, area_index, area_stats, holds
 from censusloom.operators.numbering import ordered_totals
 from censusloom.runtime import BROADCAST_LIMIT, broadcast_if, shuffle_width, written
 
-BOX = ("minx", "miny", "maxx", "maxy")
 AREA_COLUMNS = ("rings", *BOX, "index_right")
-#: The index may hold this many times as many cells as there are areas, at each of its levels.
-CELLS_PER_AREA = 8
-#: The coarse grid has at most 2**9 cells a side, a coarse cell at most 2**8 fine cells a side.
-COARSE_DEPTH, FINE_DEPTH = 9, 8
 #: Children of a node of the search tree.
 FANOUT = 16
 #: Guards bounds on distances against rounding.
@@ -62,151 +57,6 @@ def _crs(df: DataFrame, column: str) -> str | None:
     return df.schema[column].metadata.get("crs")
 
 
-class AreaStats(NamedTuple):
-    """One row of facts about an area table."""
-
-    areas: int
-    edges: int
-    minx: float
-    miny: float
-    maxx: float
-    maxy: float
-    width: float
-    height: float
-    surface: float
-
-    @property
-    def reach(self) -> float:
-        """Side of the square laid over the extent, never zero."""
-        return max(self.maxx - self.minx, self.maxy - self.miny, 1e-9) * (1 + 1e-9)
-
-    def depth(self) -> int:
-        """Depth of the finest coarse grid that keeps to the budget of cells."""
-        best = 0
-        for depth in range(COARSE_DEPTH + 1):
-            scale = 2**depth / self.reach
-            cells = self.surface * scale**2 + (self.width + self.height) * scale + self.areas
-            if cells <= CELLS_PER_AREA * self.areas:
-                best = depth
-        return best
-
-
-def area_stats(areas: DataFrame) -> AreaStats:
-    """Facts that size the index: one aggregation over the area table, one row back."""
-    facts = [
-        "count(1)",
-        "sum(aggregate(rings, 0, (n, r) -> n + size(r)))",
-        *["min(minx)", "min(miny)", "max(maxx)", "max(maxy)"],
-        *["sum(maxx - minx)", "sum(maxy - miny)", "sum((maxx - minx) * (maxy - miny))"],
-    ]
-    row = areas.agg(*[F.expr(fact) for fact in facts]).first()
-    return AreaStats(*[0.0 if value is None else value for value in row])
-
-
-class _Grid:
-    """Coarse square cells over the extent, each cut into its own number of fine cells.
-
-    Its methods give SQL text. A cell number never falls as the coordinate grows, and
-    scaling by a power of two is exact, so coarse and fine numbers always agree.
-    """
-
-    def __init__(self, stats: AreaStats):
-        self.side = 2 ** stats.depth()
-        self.scale = self.side / stats.reach
-        self.origin = {"x": stats.minx, "y": stats.miny}
-
-    def unit(self, value: str, axis: str) -> str:
-        """Coordinate in units of coarse cells."""
-        return f"(({value}) - {self.origin[axis]!r}D) * {self.scale!r}D"
-
-    def coarse(self, value: str, axis: str) -> str:
-        return f"least(floor({self.unit(value, axis)}), {self.side - 1}L)"
-
-    def fine(self, value: str, axis: str) -> str:
-        return f"floor({self.unit(value, axis)} * per_side)"
-
-    def middle(self, cell: str, axis: str) -> str:
-        return f"({self.origin[axis]!r}D + ({cell} + 0.5D) / per_side / {self.scale!r}D)"
-
-    def coarse_key(self, gx: str, gy: str) -> str:
-        return f"({gy}) * {self.side}L + {gx}"
-
-    def fine_key(self, coarse: str, fx: str, fy: str) -> str:
-        """One bigint for a fine cell, from its coarse cell and its place in there."""
-        span = 2**FINE_DEPTH
-        return f"(({coarse}) * {span}L + ({fy}) % per_side) * {span}L + ({fx}) % per_side"
-
-
-def _index(areas: DataFrame, grid: _Grid) -> tuple[DataFrame, DataFrame]:
-    """Cell index of an area table, and the number of fine cells a side of each coarse cell.
-
-    Per area and cell the index holds only the edges a ray from the cell can meet. A cell no
-    edge comes near is wholly inside, and needs no edges at all, or wholly outside, and is
-    left out. Fineness is chosen from sums per coarse cell so that each has at most
-    ``CELLS_PER_AREA`` times as many entries as areas; the coarse grid is bounded by constants.
-    """
-
-    def covered(axis: str) -> str:
-        return f"sequence({grid.coarse('min' + axis, axis)}, {grid.coarse('max' + axis, axis)})"
-
-    def part(axis: str) -> str:
-        low, high = grid.unit("min" + axis, axis), grid.unit("max" + axis, axis)
-        return f"greatest(least({high}, g{axis} + 1D) - greatest({low}, g{axis} + 0D), 0D)"
-
-    def in_coarse_cells(df: DataFrame) -> DataFrame:
-        spread = df.withColumn("gx", F.expr(f"explode({covered('x')})"))
-        spread = spread.withColumn("gy", F.expr(f"explode({covered('y')})"))
-        return spread.withColumn("coarse", F.expr(grid.coarse_key("gx", "gy")))
-
-    sums = in_coarse_cells(areas.select(*BOX)).groupBy("coarse").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.expr(f"sum({part('x')} + {part('y')})").alias("sides"),
-        F.expr(f"sum({part('x')} * {part('y')})").alias("surface"),
-    )
-    sizes = ", ".join(f"{2 ** depth}L" for depth in range(FINE_DEPTH + 1))
-    fits = f"c -> surface * c * c + sides * c + n <= {CELLS_PER_AREA} * n"
-    fineness = sums.select(
-        "coarse", F.expr(f"coalesce(array_max(filter(array({sizes}), {fits})), 1L)").alias("per_side")
-    )
-
-    def fine_cells(axis: str) -> str:
-        first = f"greatest({grid.fine('min' + axis, axis)}, g{axis} * per_side)"
-        last = f"least({grid.fine('max' + axis, axis)}, (g{axis} + 1) * per_side - 1)"
-        return f"sequence(least({first}, {last}), {last})"
-
-    def span(axis: str) -> tuple[str, str]:
-        ends = f"e.{axis}1, e.{axis}2"
-        return grid.fine(f"least({ends})", axis), grid.fine(f"greatest({ends})", axis)
-
-    (x_low, x_high), (y_low, y_high) = span("x"), span("y")
-    met = f"fy between {y_low} and {y_high} and {x_high} >= fx - 1"
-    near = f"fx between {x_low} - 1 and {x_high} + 1"
-    shapes = areas.select(
-        "index_right",
-        *BOX,
-        F.expr(geo.area_edges("rings")).alias("all_edges"),
-        F.struct("index_right", *attributes(areas)).alias("area"),
-    )
-    cells = (
-        in_coarse_cells(shapes)
-        .join(F.broadcast(fineness), "coarse")
-        .withColumn("fx", F.expr(f"explode({fine_cells('x')})"))
-        .withColumn("fy", F.expr(f"explode({fine_cells('y')})"))
-        # exploding one element keeps the filters below from repeating the edge filter
-        .withColumn("edges", F.expr(f"explode(array(filter(all_edges, e -> {met})))"))
-        .withColumn("full", F.expr(f"not exists(edges, e -> {near})"))
-    )
-    index = cells.where(
-        ~F.col("full") | F.expr(geo.inside("edges", grid.middle("fx", "x"), grid.middle("fy", "y")))
-    ).select(
-        F.expr(grid.fine_key("coarse", "fx", "fy")).alias("cell"),
-        "area",
-        "full",
-        F.expr("if(full, null, edges)").alias("edges"),
-    )
-    return index, fineness
-
-
 def within(
     points: DataFrame,
     areas: DataFrame,
@@ -225,21 +75,24 @@ def within(
     if not stats.areas:
         nothing = [F.lit(None).cast(areas.schema[c].dataType).alias(c) for c in named]
         return points.select("*", F.lit(None).cast("long").alias("index_right"), *nothing)
-    grid = _Grid(stats)
-    index, fineness = _index(areas, grid)
-    bytes_per_edge, bytes_per_row = 40, 64 * (1 + len(named))
-    # no area has more entries than both budgets multiplied, whichever its size
-    size = (bytes_per_edge * stats.edges + bytes_per_row * stats.areas) * CELLS_PER_AREA**2
+    grid = Grid(stats)
+    index, fineness = area_index(areas, grid)
+    size = stats.most_bytes()
     if size > limit:
-        rows, edges = index.agg(F.count(F.lit(1)), F.expr("sum(coalesce(size(edges), 0))")).first()
-        size = bytes_per_row * rows + bytes_per_edge * (edges or 0)
+        index = written(index, "area-cells")  # built once, to be measured and to be used
+        rows, edges = index.agg(F.count(F.lit(1)), F.expr("sum(size(edges))")).first()
+        size = BYTES_PER_CELL * rows + BYTES_PER_EDGE * (edges or 0)
+    if named:
+        row_bytes = BYTES_PER_CELL * len(named)
+        index = index.join(broadcast_if(areas.select("index_right", *named), row_bytes * stats.areas, limit), "index_right")
+        size += size / BYTES_PER_CELL * row_bytes
 
     covered = (
         f"px between {stats.minx!r}D and {stats.maxx!r}D "
         f"and py between {stats.miny!r}D and {stats.maxy!r}D"
     )
     coarse = grid.coarse_key(grid.coarse("px", "x"), grid.coarse("py", "y"))
-    cell = grid.fine_key("coarse", grid.fine("px", "x"), grid.fine("py", "y"))
+    cell = grid.fine_key("coarse", grid.cell("px", "x", "per_side"), grid.cell("py", "y", "per_side"))
     # points with no cell get keys nothing has, so that they do not meet in one partition
     spread = f"-1L - pmod(xxhash64(px, py), {1 << 40}L)"
     located = (
@@ -247,10 +100,11 @@ def within(
         .join(F.broadcast(fineness), F.col("__coarse") == F.col("coarse"), "left")
         .select(*points.columns, F.expr(f"coalesce({cell}, {spread})").alias("__cell"))
     )
-    hits = index.select("cell", F.col("area").alias("__area"), "full", "edges")
-    on = (F.col("__cell") == F.col("cell")) & F.expr(f"(full or {geo.inside('edges', 'px', 'py')})")
+    gained = ["index_right", *named]
+    hits = index.select("cell", F.struct(*gained).alias("__area"), "full", "edges", "turns", "base")
+    on = (F.col("__cell") == F.col("cell")) & F.expr(holds("px", "py"))
     joined = located.join(broadcast_if(hits, size, limit), on, "left")
-    return joined.select(*points.columns, *[F.col("__area")[c].alias(c) for c in ["index_right", *named]])
+    return joined.select(*points.columns, *[F.col("__area")[c].alias(c) for c in gained])
 
 
 def _morton(x: str, y: str) -> str:
@@ -378,15 +232,15 @@ def join_coords_with_area(
     failed_join_strategy: str | None = None,
     ties: str = "lowest",
     limit: int = BROADCAST_LIMIT,
-    cut_lineage: bool = False,
+    cut_lineage: bool = True,
 ) -> DataFrame:
     """Points with the columns of the area they lie in, ``index_right`` and WKT ``geometry``.
 
     A point on a boundary is outside, a point in several areas is repeated, and one in none
     keeps nulls. ``failed_join_strategy`` then says what happens to it: ``None`` leaves it,
-    ``"filter"`` drops it, ``"join_nearest"`` gives it the nearest area. The last one uses
-    the containment join twice; ``cut_lineage`` writes its result to the scratch folder so
-    that it runs once.
+    ``"filter"`` drops it, ``"join_nearest"`` gives it the nearest area. The last one reads the
+    result of the containment join three times, so it is written to the scratch folder first,
+    unless ``cut_lineage`` is false.
     """
     if failed_join_strategy not in (None, "filter", "join_nearest"):
         raise ValueError(f"unknown strategy {failed_join_strategy!r}")
@@ -413,31 +267,22 @@ def join_coords_with_area(
 def _with_nearest(
     mapped: DataFrame, areas: DataFrame, ties: str, limit: int, stats: AreaStats
 ) -> DataFrame:
-    """Give the rows without an area the nearest one."""
+    """Give the rows without an area the nearest one.
+
+    Rows that have an area pass by. Only the distinct places of the others go down the tree, and
+    only these rows are joined with what it found.
+    """
     gained = ["index_right", *attributes(areas)]
-    lost = mapped.where(F.col("index_right").isNull()).select("px", "py")
+    kept = [c for c in mapped.columns if c not in gained]
+    lost = mapped.where(F.col("index_right").isNull()).select(*kept)
     found = (
-        nearest(lost, areas, ties, limit, stats)
+        nearest(lost.select("px", "py"), areas, ties, limit, stats)
         .join(areas.select(*gained), "index_right")
-        .select(
-            F.col("px").alias("__px"),
-            F.col("py").alias("__py"),
-            F.struct(*gained).alias("__near"),
-        )
-    )
-    on = (
-        F.col("index_right").isNull()
-        & (F.col("px") == F.col("__px"))
-        & (F.col("py") == F.col("__py"))
-    )
-    kept = [c for c in mapped.columns if c not in gained]
-    return mapped.join(found, on, "left").select(
-        *kept,
-        *[
-            F.when(F.col("index_right").isNull(), F.col("__near")[c]).otherwise(F.col(c)).alias(c)
-            for c in gained
-        ],
+        .select(F.col("px").alias("__px"), F.col("py").alias("__py"), F.struct(*gained).alias("__near"))
     )
+    given = lost.join(found, (F.col("px") == F.col("__px")) & (F.col("py") == F.col("__py")), "left")
+    given = given.select(*kept, *[F.col("__near")[c].alias(c) for c in gained])
+    return only_mapped(mapped).select(*kept, *gained).unionByName(given)
 
 
 def only_mapped(mapped: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def map_addresses(
     if strategy != "join_nearest":
         areas = filter_sa1_regions(areas, region_codes, sa2_codes)
     mapped = join_coords_with_area(
-        to_geo_dataframe(addresses, crs), areas, strategy, cut_lineage=True
+        to_geo_dataframe(addresses, crs), areas, strategy
     )
     return filter_sa1_regions(mapped, region_codes, sa2_codes)
 
@@ -97,7 +97,7 @@ def build_address_cache(
     addresses = filter_and_join_gnaf_frames(geocode, detail)
     areas = _areas(spark, shapefile_dir, crs)
     mapped = join_coords_with_area(
-        to_geo_dataframe(addresses, crs), areas, strategy, cut_lineage=True
+        to_geo_dataframe(addresses, crs), areas, strategy
     )
     to_parquet(mapped, output, partition_by="STATE")
 

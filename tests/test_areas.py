@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from censusloom import area_table, join_coords_with_area, to_geo_dataframe
 from censusloom.functions.geometry import point_wkt
 from censusloom.operators.areas import nearest, within
+from censusloom.operators.cells import Grid, area_index, area_stats
 
 CRS = "EPSG:4326"
 
@@ -48,11 +49,72 @@ def test_nearest_strategy(spark):
     got = join_coords_with_area(points(spark, (30, 30), (20, 20)), areas(spark, square(0, 3)), "join_nearest")
     assert found(got) == [(20, 20, 0), (30, 30, 0)]
     got = join_coords_with_area(
-        points(spark, (30, 30), (1, 1)), areas(spark, square(0, 3)), "join_nearest", cut_lineage=True
+        points(spark, (30, 30), (1, 1)), areas(spark, square(0, 3)), "join_nearest", cut_lineage=False
     )
     assert found(got) == [(1, 1, 0), (30, 30, 0)]
 
 
+def test_mapped_points_pass_by_the_search(spark):
+    """Only points outside all areas are shuffled to be given the nearest one."""
+    at = points(spark, (30, 30), (1, 1), (30, 30), (2, 1)).withColumn("id", F.monotonically_increasing_id())
+    got = join_coords_with_area(at, areas(spark, square(0, 3)), "join_nearest")
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    union = plan[plan.index("Union") :].splitlines()
+    depth = union[1].index(":-")
+    passed = [union[1]] + [line for line in union[2:] if line[depth : depth + 1] == ":"]
+    assert any("isnotnull(index_right" in line for line in passed)
+    assert not any("Exchange" in line or "Join" in line for line in passed)
+    assert found(got) == [(1, 1, 0), (2, 1, 0), (30, 30, 0), (30, 30, 0)]
+
+
+def ring(centre, reach, corners, wave=0.0):
+    turn = np.linspace(0, 2 * np.pi, corners, endpoint=False)
+    out = reach * (1 + wave * np.sin(9 * turn))
+    return np.stack([centre[0] + out * np.cos(turn), centre[1] + out * np.sin(turn)], 1)
+
+
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_large_area_among_small_ones(spark, limit):
+    """Corners on the lines of the grid, long edges, and an area with most of all edges."""
+    shapes = [np.array(square(i % 16, i % 16 + 1), float) + [0, i // 16] for i in range(256)]
+    shapes += [ring((8.0, 8.0), 7.5, 3000, 0.2), ring((4.0, 11.0), 9.0, 5), np.array([(-1, 5), (18, 5), (18, 5.25), (-1, 5.25)])]
+    rng = np.random.default_rng(3)
+    at = np.concatenate([rng.uniform(-2, 19, (400, 2)), rng.integers(-4, 76, (300, 2)) / 4, shapes[256][::100], shapes[257]])
+    table, asked = areas(spark, *[[tuple(c) for c in s.tolist()] for s in shapes]), points(spark, *at.tolist())
+    expected = []
+    for px, py in at:
+        expected += [(px, py, i) for i in [i for i, s in enumerate(shapes) if contains(s, px, py)] or [None]]
+    key = lambda r: (r[0], r[1], r[2] is None, r[2] or 0)
+    got = [(r.LONGITUDE, r.LATITUDE, r.index_right) for r in within(asked, table, limit).collect()]
+    assert sorted(got, key=key) == sorted(expected, key=key)
+
+
+def test_index_of_a_large_area_is_made_by_many_tasks(spark):
+    shapes = [ring((8.0, 8.0), 7.5, 4000, 0.2)] + [np.array(square(0.0, 0.5)) + [i % 16, i // 16] for i in range(256)]
+    table = areas(spark, *[[tuple(c) for c in s.tolist()] for s in shapes])
+    index, _ = area_index(table, Grid(area_stats(table)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = index.where("index_right = 0").groupBy(F.spark_partition_id()).agg(F.count("cell"), F.max(F.size("edges"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    counts = sorted(r[1] for r in tasks)
+    assert len(counts) == 8 and counts[-1] < 3 * counts[0] and max(r[2] for r in tasks) < 400
+
+
+def test_areas_of_odd_shapes(spark):
+    """Repeated corners, closed and open rings, no rings, rings of one or two corners, two parts, one extent of zero."""
+    parts = [
+        [[(0, 0), (0, 0), (0, 2), (2, 2), (2, 2), (2, 0), (0, 0)]], [[(5, 5)]], [[(6, 6), (7, 7)]],
+        [[(10, 0), (10, 1), (11, 1), (11, 0)], [(12, 0), (12, 1), (13, 1), (13, 0)]], [],
+    ]
+    table = areas(spark, *[[*p] if p else [[]] for p in parts])
+    at = [(1, 1), (0, 0), (2, 1), (5, 5), (6.5, 6.5), (10.5, 0.5), (11.5, 0.5), (12.5, 0.5)]
+    want = [(1, 1, 0), (10.5, 0.5, 3), (12.5, 0.5, 3)]
+    for limit in (1 << 26, 0):
+        assert [r for r in found(within(points(spark, *at), table, limit).where("index_right is not null"))] == want
+
+
 def test_filter_strategy(spark):
     got = join_coords_with_area(
         points(spark, (1, 1), (30, 30), (20, 20)), areas(spark, square(0, 3)), "filter"
