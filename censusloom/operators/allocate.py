@@ -14,50 +14,36 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from censusloom.functions.hashing import round_keys, stable_hash, with_permuted
-from censusloom.operators.numbering import (
-    HOT_ROWS,
-    group_sizes,
-    hash_range,
-    number_rows,
-    ordered_totals,
-    running_totals,
-)
-from censusloom.runtime import shuffle_width
-
-#: Rows one task makes from one count; larger counts are spread over tasks.
-CHUNK = 100_000
+from censusloom.operators.numbering import HOT_ROWS, hash_range, ordered_totals, repeat_rows, running_totals
+from censusloom.runtime import shuffle_width, written
+
+__all__ = ["draw_addresses", "randomly_assign_census_features", "reconcile", "repeat_rows", "sample_census_feature"]
+
 #: Buckets of codes per feature when person ids are laid out.
 ID_BUCKETS = 64
+#: Longest block of slots by which the owner of a slot is found.
+LONGEST_BLOCK = 1024
 
 
-def repeat_rows(
-    df: DataFrame,
-    count: str | Column,
-    out: str = "copy",
-    chunk: int = CHUNK,
-    keys: Sequence[str] | None = None,
-) -> DataFrame:
-    """Repeat each row ``count`` times, numbering the copies ``0 .. count-1`` in ``out``.
+def _runs(rows: DataFrame) -> DataFrame:
+    """Equal rows as one with a multiplicity ``__times``, written once: everything else is read from there.
 
-    Rows whose count is null, zero or negative vanish. A large count is cut into chunks
-    that are shuffled before they are unrolled, so one row never fills one task. ``keys``
-    are the columns the shuffle hashes, by default all.
+    Combined before the shuffle, so a place that holds most rows of a code costs one row a task.
     """
-    count = F.col(count) if isinstance(count, str) else count
-    chunks = (
-        df.withColumn("__count", count.cast("long"))
-        .where(F.col("__count") > 0)
-        .withColumn("__from", F.explode(F.expr(f"sequence(0L, __count - 1, {chunk}L)")))
-    )
-    spread = chunks.repartition(
-        shuffle_width(df.sparkSession), F.xxhash64(*(keys or _hashable(df)), "__from")
-    )
-    unrolled = F.expr(f"sequence(__from, least(__from + {chunk}L, __count) - 1)")
-    return spread.select(*df.columns, F.explode(unrolled).alias(out))
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    return written(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__times")), "places")
 
 
-def _hashable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if f.dataType.typeName() != "map"]
+def _block(total: str, runs: str) -> Column:
+    """Length of the blocks of a code: as long as its mean run, so that runs cover few and blocks hold few."""
+    return F.greatest(F.least(F.ceil(F.col(total) / F.col(runs)).cast("long"), F.lit(LONGEST_BLOCK)), F.lit(1)).cast("long")
+
+
+def _in_blocks(runs: DataFrame, start: str, length: str, block: str, out: str) -> DataFrame:
+    """Each run once for every block it covers; a long run is cut up and dealt over tasks."""
+    first = f"{start} div {block}"
+    covered = repeat_rows(runs, F.expr(f"({start} + {length} - 1) div {block} - {first} + 1"), "__nth", keys=["__run_code", start])
+    return covered.withColumn(out, F.expr(f"{first} + __nth")).drop("__nth")
 
 
 def _feature_rank(features: Sequence[str]) -> Column:
@@ -87,17 +73,34 @@ def draw_addresses(
     places = addresses.select(
         *dict.fromkeys([code_col, long_col, lat_col, *order])
     ).where(F.col(code_col).isNotNull())
+    drawn = _draw_even(_runs(places), counts, code_col, long_col, lat_col, features, index_col, seed, order, hot_rows)
+    return drawn.select(index_col, code_col, long_col, lat_col, "feature")
+
+
+def _draw_even(
+    runs: DataFrame,
+    counts: DataFrame,
+    code_col: str,
+    long_col: str,
+    lat_col: str,
+    features: Sequence[str],
+    index_col: str,
+    seed: int,
+    order: Sequence[str],
+    hot_rows: int,
+) -> DataFrame:
+    """``draw_addresses`` from places with multiplicities ``__times``.
+
+    The addresses of a code have numbers, a place those from its start on. A drawn number finds its place by an
+    equi-join on blocks of numbers.
+    """
     wanted = counts.select(code_col, "feature", F.col("n").cast("long").alias("n")).where(
         (F.col("n") > 0) & F.col("feature").isin(list(features))
     )
+    sizes = runs.groupBy(code_col).agg(F.sum("__times").alias("__places"), F.count(F.lit(1)).alias("__runs"))
     quota = (
-        wanted.join(group_sizes(places, [code_col], "__places"), code_col)
-        .withColumns(
-            {
-                "__rank": _feature_rank(features),
-                "__hash": stable_hash(code_col),
-            }
-        )
+        wanted.join(sizes, code_col)
+        .withColumns({"__rank": _feature_rank(features), "__hash": stable_hash(code_col)})
         .withColumn("__bucket", hash_range("__hash", F.lit(ID_BUCKETS)))
     )
     quota = ordered_totals(quota, ["__rank", "__bucket"], ["__hash", code_col], "n", "__base")
@@ -106,6 +109,7 @@ def draw_addresses(
         "feature",
         "n",
         "__base",
+        _block("__places", "__runs").alias("__block"),
         (F.col("__places") * F.col("n")).alias("__slots"),
         round_keys(seed, code_col, "feature").alias("__keys"),
     )
@@ -113,16 +117,33 @@ def draw_addresses(
     drawn = with_permuted(drawn, "__draw", "__slots", "__keys", "__slot").select(
         (F.col("__base") + F.col("__draw")).alias(index_col),
         "__code",
-        F.coalesce(F.expr("__slot div n"), F.lit(0)).alias("__place"),
+        F.coalesce(F.expr("__slot div n"), F.lit(0)).alias("__number"),
+        F.coalesce(F.expr("__slot div n div __block"), F.lit(0)).alias("__in_block"),
         "feature",
     )
-    numbered = number_rows(places, [code_col], order, "__number", hot_rows=hot_rows)
-    on = (F.col("__code") == F.col(code_col)) & (F.col("__place") == F.col("__number"))
-    return drawn.join(numbered, on).select(index_col, code_col, long_col, lat_col, "feature")
+    # a code's totals give the same blocks as above
+    values = {"__row": F.col("__times"), "__run": F.lit(1).cast("long")}
+    numbered = running_totals(runs, [code_col], order, values, hot_rows).withColumns(
+        {"__run_code": F.col(code_col), "__block": _block("__row_total", "__run_total")}
+    )
+    found = _in_blocks(numbered, "__row_before", "__times", "__block", "__of_block").drop("__block")
+    on = (
+        (F.col("__code") == F.col("__run_code"))
+        & (F.col("__in_block") == F.col("__of_block"))
+        & (F.col("__number") >= F.col("__row_before"))
+        & (F.col("__number") < F.col("__row_before") + F.col("__times"))
+    )
+    return drawn.join(found, on)
+
+
+def _clean_counts(census: DataFrame, places: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """Places and counts alone; a null or negative count is 0. Equal rows become one with ``__times``."""
+    count = lambda f: F.greatest(F.coalesce(F.col(f"`{f}`").cast("long"), F.lit(0)), F.lit(0))
+    return _runs(census.select(*places, *[count(f).alias(f"n{i}") for i, f in enumerate(features)]))
 
 
 def _draw_uneven(
-    census: DataFrame,
+    runs: DataFrame,
     code_col: str,
     long_col: str,
     lat_col: str,
@@ -132,59 +153,45 @@ def _draw_uneven(
 ) -> DataFrame:
     """Draws ``[code, long, lat, feature, draw]`` when rows of a code may carry different counts.
 
-    Each row owns a run of slots as long as its count. The draws of a code are the images of
-    ``0 .. max(n)-1`` and the i-th is kept where i is below the count of the row it hits. A
-    row is found by the blocks its run covers; a block is as long as the code's mean count,
-    so rows cover few blocks and blocks hold few rows.
+    ``runs`` comes from ``_clean_counts``. Each row owns as many slots as its count, equal rows those of all of
+    them. The draws of a code are the images of ``0 .. max(n)-1`` and the i-th is kept where i is below the count
+    of the row it hits, which is found by blocks of slots.
     """
     names = {f: f"n{i}" for i, f in enumerate(features)}
-    flat = census.select(
-        F.col(code_col).alias("__code"),
-        F.col(long_col).alias("__long"),
-        F.col(lat_col).alias("__lat"),
-        *[
-            F.greatest(F.coalesce(F.col(f"`{f}`").cast("long"), F.lit(0)), F.lit(0)).alias(n)
-            for f, n in names.items()
-        ],
+    flat = runs.select(
+        F.col(code_col).alias("__run_code"), F.col(long_col).alias("__long"), F.col(lat_col).alias("__lat"), *names.values(), "__times"
     )
-    values = {n: F.col(n) for n in names.values()} | {
-        f"{n}_rows": (F.col(n) > 0).cast("long") for n in names.values()
+    values = {n: F.col(n) * F.col("__times") for n in names.values()} | {
+        f"{n}_runs": (F.col(n) > 0).cast("long") for n in names.values()
     }
     order = ["__long", "__lat", *names.values()]
-    placed = running_totals(flat, ["__code"], order, values, hot_rows, hashed=["__long", "__lat"])
-    block = lambda total, rows: F.ceil(F.col(total) / F.col(rows)).cast("long")
-
-    runs = placed.select(
-        "__code",
+    placed = running_totals(flat, ["__run_code"], order, values, hot_rows, hashed=["__long", "__lat"])
+    owned = placed.select(
+        "__run_code",
         "__long",
         "__lat",
         F.explode(
             F.array(
                 *[
                     F.struct(
-                        F.lit(f).alias("feature"),
+                        F.lit(f).alias("__run_feature"),
                         F.col(n).alias("n"),
+                        (F.col(n) * F.col("__times")).alias("length"),
                         F.col(f"{n}_before").alias("start"),
-                        F.when(F.col(n) > 0, block(f"{n}_total", f"{n}_rows_total")).alias("block"),
+                        F.when(F.col(n) > 0, _block(f"{n}_total", f"{n}_runs_total")).alias("block"),
                     )
                     for f, n in names.items()
                 ]
             )
         ).alias("run"),
-    ).select("__code", "__long", "__lat", "run.*").where(F.col("n") > 0)
-    runs = runs.withColumn(
-        "__block",
-        F.explode(F.expr("sequence(start div block, (start + n - 1) div block)")),
-    ).select(
-        F.col("__code").alias("__run_code"), "__long", "__lat",
-        F.col("feature").alias("__run_feature"), "n", "start", F.col("__block").alias("__run_block"),
-    )
+    ).select("__run_code", "__long", "__lat", "run.*").where(F.col("n") > 0)
+    owned = _in_blocks(owned, "start", "length", "block", "__run_block").drop("block")
 
-    per_code = flat.groupBy("__code").agg(
+    per_code = flat.groupBy(F.col("__run_code").alias("__code")).agg(
         *[
             F.struct(
-                F.sum(n).alias("slots"),
-                F.sum((F.col(n) > 0).cast("long")).alias("rows"),
+                F.sum(F.col(n) * F.col("__times")).alias("slots"),
+                F.sum((F.col(n) > 0).cast("long")).alias("runs"),
                 F.max(n).alias("draws"),
             ).alias(n)
             for n in names.values()
@@ -202,25 +209,22 @@ def _draw_uneven(
         .select("__code", "q.*")
         .where(F.col("draws") > 0)
     )
-    quota = quota.withColumn("__keys", round_keys(seed, "__code", "feature"))
+    quota = quota.withColumns({"__keys": round_keys(seed, "__code", "feature"), "__block": _block("slots", "runs")})
     drawn = repeat_rows(quota, "draws", "draw", keys=["__code", "feature"])
     drawn = (
         with_permuted(drawn, "draw", "slots", "__keys", "__slot")
-        .withColumn(
-            "__block",
-            F.coalesce(F.expr("__slot div cast(ceil(slots / rows) as bigint)"), F.lit(0)),
-        )
-        .drop("__keys", "slots", "rows", "draws")
+        .withColumn("__in_block", F.coalesce(F.expr("__slot div __block"), F.lit(0)))
+        .drop("__keys", "slots", "runs", "draws", "__block")
     )
     hit = (
         F.col("__code").eqNullSafe(F.col("__run_code"))
         & (F.col("feature") == F.col("__run_feature"))
-        & (F.col("__block") == F.col("__run_block"))
+        & (F.col("__in_block") == F.col("__run_block"))
         & (F.col("__slot") >= F.col("start"))
-        & (F.col("__slot") < F.col("start") + F.col("n"))
+        & (F.col("__slot") < F.col("start") + F.col("length"))
         & (F.col("draw") < F.col("n"))
     )
-    return drawn.join(runs, hit).select(
+    return drawn.join(owned, hit).select(
         F.col("__code").alias(code_col),
         F.col("__long").alias(long_col),
         F.col("__lat").alias(lat_col),
@@ -243,7 +247,8 @@ def sample_census_feature(
     Every row can be drawn up to its own count. A code whose rows agree on a count n gets
     exactly n rows; in general a draw is kept where its rank is below its row's count.
     """
-    drawn = _draw_uneven(census, code_col, long_col, lat_col, [feature_col], seed, hot_rows)
+    runs = _clean_counts(census, [code_col, long_col, lat_col], [feature_col])
+    drawn = _draw_uneven(runs, code_col, long_col, lat_col, [feature_col], seed, hot_rows)
     return drawn.select(code_col, long_col, lat_col, F.lit(True).alias(feature_col))
 
 
@@ -257,19 +262,10 @@ def drop_by_prefix(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith(prefix)])
 
 
-def _uneven(census: DataFrame, code_col: str, features: Sequence[str]) -> bool:
+def _uneven(runs: DataFrame, code_col: str, counts: Sequence[str]) -> bool:
     """Whether some code has rows with different counts. One aggregation, one row back."""
-    spread = census.groupBy(code_col).agg(
-        reduce(
-            lambda a, b: a | b,
-            [
-                F.min(F.coalesce(F.col(f"`{f}`").cast("long"), F.lit(0)))
-                != F.max(F.coalesce(F.col(f"`{f}`").cast("long"), F.lit(0)))
-                for f in features
-            ],
-        ).alias("differs")
-    )
-    return bool(spread.agg(F.max("differs")).first()[0])
+    differs = reduce(lambda a, b: a | b, [F.min(n) != F.max(n) for n in counts])
+    return bool(runs.groupBy(code_col).agg(differs.alias("differs")).agg(F.max("differs")).first()[0])
 
 
 def randomly_assign_census_features(
@@ -298,20 +294,20 @@ def randomly_assign_census_features(
         if totals:
             raise ValueError(f"features {totals} start with {total_prefix!r}, which is ignored")
         census = drop_by_prefix(census, total_prefix)
+    places = [code_col, long_col, lat_col]
+    runs = _clean_counts(census, places, features)
+    names = {f"n{i}": f for i, f in enumerate(features)}
     if even_counts is None:
-        even_counts = not _uneven(census, code_col, features)
+        even_counts = not _uneven(runs, code_col, list(names))
     if even_counts:
-        counts = (
-            census.groupBy(code_col)
-            .agg(*[F.max(F.col(f"`{f}`").cast("long")).alias(f) for f in features])
-            .unpivot([code_col], [F.col(f"`{f}`") for f in features], "feature", "n")
-        )
-        persons = draw_addresses(
-            census, counts, code_col, long_col, lat_col, features, index_col, seed,
-            hot_rows=hot_rows,
+        largest = runs.groupBy(code_col).agg(*[F.max(n).alias(f) for n, f in names.items()])
+        counts = largest.unpivot([code_col], [F.col(f"`{f}`") for f in features], "feature", "n")
+        known = runs.where(F.col(code_col).isNotNull()).select(*places, "__times")
+        persons = _draw_even(
+            known, counts, code_col, long_col, lat_col, features, index_col, seed, [long_col, lat_col], hot_rows
         )
     else:
-        drawn = _draw_uneven(census, code_col, long_col, lat_col, features, seed, hot_rows)
+        drawn = _draw_uneven(runs, code_col, long_col, lat_col, features, seed, hot_rows)
         persons = with_person_ids(drawn, features, [code_col, "draw"], index_col)
     return one_hot(persons, features, [index_col, code_col, long_col, lat_col])
 

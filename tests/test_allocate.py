@@ -170,6 +170,67 @@ def test_numbering_and_totals_with_split_groups(spark):
             assert at == sum(r.v for r in groups[key]) == next(r.v_total for r in sums if r.k == key)
 
 
+def crowded(spark):
+    """A code with most rows on one place, some of these equal in all columns, and null codes and places."""
+    return spark.range(20_000).selectExpr(
+        "if(id < 17000, 'hot', if(id % 50 = 0, null, cast(id % 3 as string))) as code",
+        "if(id < 15000, 1.5D, if(id % 70 = 0, null, id % 90 / 8D)) as x", "if(id < 15000, 2.5D, 0D) as y",
+        "if(id < 4000, 7, id) as pid", "'s' as state",
+    )
+
+
+def test_run_of_equal_places_is_split(spark):
+    """More rows on one place than a task may number: several tasks, all numbers once, places where they were."""
+    df = crowded(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for columns in (df.columns, ["code", "x", "y"]):
+            one = df.select(*columns)
+            whole = number_rows(one, ["code"], ["x", "y"], "i", "n").groupBy("code", "x", "y", "n").agg(F.sort_array(F.collect_list("i")))
+            split = number_rows(one, ["code"], ["x", "y"], "i", "n", hot_rows=1000)
+            assert split.columns == [*columns, "i", "n"]
+            tasks = split.where("x = 1.5").groupBy(F.spark_partition_id()).count().collect()
+            again = split.groupBy("code", "x", "y", "n").agg(F.sort_array(F.collect_list("i")))
+            assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, again.collect()), key=str)
+            assert len(tasks) > 4 and max(r["count"] for r in tasks) < 5000
+            assert split.drop("i", "n").exceptAll(one).count() == 0 and split.count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_draws_on_equal_places(spark):
+    """Equal places are one run with a multiplicity, and get the draws that their rows would get."""
+    homes = crowded(spark).where("x is not null").withColumnsRenamed({"code": "code_col", "x": "long_col", "y": "lat_col"})
+    counts = spark.createDataFrame([("hot", "f", 9000), ("hot", "g", 3), ("1", "f", 40)], "code_col string, feature string, n long")
+    found = []
+    for order, hot in ((None, 10**6), (None, 2), (["long_col", "lat_col", "pid"], 10**6)):
+        persons = draw_addresses(homes, counts, "code_col", "long_col", "lat_col", ["f", "g"], order=order, hot_rows=hot)
+        found.append(sorted(tuple(r)[1:] for r in persons.collect()))
+    assert found[0] == found[1] and [len(f) for f in found] == [9043] * 3
+    on_one = [sum(r[1] == 1.5 for r in f) for f in found]
+    assert all(abs(n - 9003 * 15 / 17) < 200 for n in on_one)
+    wide = homes.withColumn("f", F.when(F.col("code_col") == "hot", 5).otherwise(F.col("pid") % 4))
+    drawn = [
+        sorted(map(tuple, sample_census_feature(wide, "code_col", "long_col", "lat_col", "f", hot_rows=hot).collect()), key=str)
+        for hot in (10**6, 3)
+    ]
+    assert drawn[0] == drawn[1] and sum(r[0] == "hot" for r in drawn[0]) == 5
+
+
+def test_census_is_read_once(spark):
+    """Counts, sizes and numbers all come from the written places."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    census = assign_4(spark)
+    counted = census.mapInArrow(seen, census.schema)
+    assert assign(counted).count() == 37 and reads.value == 4
+
+
 def test_shuffled_index_is_a_permutation_per_group(spark):
     df = spark.range(500).selectExpr("id % 3 as k", "id")
     for hot in (20, 10**6):
