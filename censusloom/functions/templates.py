@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -47,3 +48,8 @@ def file_path() -> Column:
     The metadata column is percent-encoded; a plus sign in it means itself.
     """
     return F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+
+
+def plain_path(file: str) -> str:
+    """Path of a file by its metadata column, in the form in which files are listed."""
+    return re.sub("^file:/+", "/", unquote(file))

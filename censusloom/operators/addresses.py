@@ -3,13 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Longer lists become a semi-join, which Spark broadcasts if its estimate of the list allows.
 LONGEST_IN_LIST = 1000
 
 
+def _listed(value: Column, sample: object, kind: T.DataType) -> Column:
+    """A listed value as the column's type, or null if it has no such value.
+
+    Text is read as the type. A number must keep its value, so 800.0 is the whole number 800 and
+    800.5 is none; other values are compared by their text where the types differ.
+    """
+    if isinstance(sample, str):
+        return value.try_cast(kind)
+    if isinstance(sample, (int, float, Decimal)) and not isinstance(sample, bool):
+        if isinstance(kind, T.NumericType):
+            near = value.try_cast(kind)
+            return F.when(near.eqNullSafe(value), near)
+        if not isinstance(kind, T.StringType):
+            return F.lit(None).cast(kind)
+    return value.cast("string").try_cast(kind)
+
+
 def keep_in(df: DataFrame, column: str, values: Sequence) -> DataFrame:
     """Keep rows whose value is listed; an empty list keeps all. Null is never listed.
 
@@ -18,11 +37,17 @@ def keep_in(df: DataFrame, column: str, values: Sequence) -> DataFrame:
     if not values:
         return df
     kind = df.schema[column].dataType
+    values = [v for v in values if v is not None]
     if len(values) <= LONGEST_IN_LIST:
-        return df.where(F.col(f"`{column}`").isin([F.lit(str(v)).try_cast(kind) for v in values]))
-    listed = df.sparkSession.createDataFrame([(str(v),) for v in values], "v string")
-    listed = listed.select(F.col("v").try_cast(kind).alias(column))
-    return df.join(listed, column, "left_semi").select(*[f"`{c}`" for c in df.columns])
+        return df.where(F.col(f"`{column}`").isin([_listed(F.lit(v), v, kind) for v in values]))
+    by_type: dict[type, list] = {}
+    for v in values:
+        by_type.setdefault(type(v), []).append(v)
+    parts = []
+    for some in by_type.values():
+        listed = df.sparkSession.createDataFrame([(v,) for v in some], ["v"])
+        parts.append(listed.select(_listed(F.col("v"), some[0], kind).alias(column)))
+    return df.join(reduce(DataFrame.unionByName, parts), column, "left_semi").select(*[f"`{c}`" for c in df.columns])
 
 
 def rename_clashes(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

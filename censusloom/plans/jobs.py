@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from censusloom.operators.addresses import (
     filter_and_join_gnaf_frames,
@@ -172,6 +173,8 @@ def allocate(
     write_csv_in_chunks(place_census(mapped, census, census_features, seed), output_path, chunk_size)
 
 
-def spreadsheets_to_parquet(spark: SparkSession, input_dir: str, output_dir: str) -> dict[str, str]:
-    """Convert a folder of spreadsheets to Parquet."""
-    return convert_to_parquet(spark, input_dir, output_dir)
+def spreadsheets_to_parquet(
+    spark: SparkSession, input_dir: str, output_dir: str, schema: StructType | None = None
+) -> dict[str, str]:
+    """Convert a folder of spreadsheets to Parquet; ``schema`` fixes the types of the columns it names."""
+    return convert_to_parquet(spark, input_dir, output_dir, schema)

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import logging
-from concurrent.futures import ThreadPoolExecutor
+import uuid
+from collections.abc import Sequence
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from censusloom.functions.templates import plain_path
+from censusloom.runtime import broadcast_if, written
+from censusloom.sources import records
 from censusloom.sources.folders import list_files, qualified
-from censusloom.sources.tables import get_spreadsheet_reader
+from censusloom.sources.workbooks import CELL_KIND, workbook_cells
 
 log = logging.getLogger(__name__)
 
 #: Spark's own ``lz4`` uses another framing that few Parquet readers know.
 CODECS = {"gzip": "gzip", "lz4": "lz4_raw", "zstd": "zstd"}
-#: Conversions under way at the same time; each is a Spark job of its own.
-CONVERSIONS = 8
 
 
 def to_parquet(
@@ -85,25 +87,161 @@ def _finished(spark: SparkSession, output_dir: str) -> DataFrame:
     return list_files(spark, output_dir).select(root.alias("target")).where("target != ''").distinct()
 
 
-def convert_to_parquet(spark: SparkSession, input_dir: str, output_dir: str) -> dict[str, str]:
+def convert_to_parquet(
+    spark: SparkSession, input_dir: str, output_dir: str, schema: T.StructType | None = None
+) -> dict[str, str]:
     """Convert every spreadsheet under a folder to Parquet at the mirrored path.
 
-    Finished targets are skipped, and a file that cannot be read is logged and passed over.
-    Returns what was converted, target by source. Only file names reach the driver; each
-    conversion is a distributed read and write.
-    """
+    Finished targets are skipped, and a file that cannot be read is logged and passed over. Columns that
+    ``schema`` names get its types, the others those of their values, file by file. Line breaks in quoted
+    fields are kept. Returns what was converted, target by source.
 
-    def convert(row) -> tuple[str, str] | None:
-        try:
-            df = get_spreadsheet_reader(row.extension)(spark, row.path)
-            if df is None:
-                raise ValueError("unreadable")
-            df.write.mode("overwrite").parquet(row.target)
-            return row.path, row.target
-        except (ValueError, PySparkException, Py4JError) as error:
-            log.error("cannot convert %s: %s", row.path, error)
-            return None
-
-    work = pending_conversions(spark, input_dir, output_dir).toLocalIterator()
-    with ThreadPoolExecutor(CONVERSIONS) as pool:
-        return dict(done for done in pool.map(convert, work) if done)
+    Files of a format are read together: once for their headers and quotes, once for the kinds of their
+    values, and once for each group of files with the same columns, which is one write. A group is written
+    by file to a staging folder beside the targets, and a file's folder is moved to its target when the group
+    is complete. Names, headers and kinds of files reach the driver, their rows do not.
+    """
+    rows = pending_conversions(spark, input_dir, output_dir).toLocalIterator()
+    work: dict[str, dict[str, str]] = {}
+    for row in rows:
+        work.setdefault(row.extension, {})[row.path] = row.target
+    for path in work.pop(".xls", {}):
+        log.error("cannot convert %s: no reader for .xls", path)
+    given = {f.name.lower(): f.dataType.simpleString() for f in schema or []}
+    staging = f"{qualified(spark, output_dir)}/_converting-{uuid.uuid4().hex}"
+    done: dict[str, str] = {}
+    try:
+        for extension, targets in sorted(work.items()):
+            kind = _Workbooks if extension == ".xlsx" else _Texts
+            done |= _converted(kind(spark, list(targets), extension), targets, given, staging)
+    finally:
+        _delete(spark, staging)
+    return done
+
+
+class _Texts:
+    """Delimited files to convert: headers, kinds, and the rows of a group of them."""
+
+    def __init__(self, spark: SparkSession, paths: list[str], extension: str):
+        self.spark, self.separator = spark, records.SEPARATORS[extension]
+        self.quotes = records.Quotes(spark, paths)
+        self.files = {plain_path(file): file for file in self.quotes.heads}
+        heads = {plain_path(file): head for file, head in self.quotes.heads.items() if file not in self.quotes.unclosed}
+        long = [path for path, head in heads.items() if head.count('"') % 2]
+        if long:
+            found = records.records(spark, long, self.quotes).where("first").select("file", "record")
+            heads |= {plain_path(r.file): r.record for r in found.toLocalIterator()}
+        self.names = {path: tuple(records.header_names(head, self.separator)) for path, head in heads.items()}
+        self.names = {path: names for path, names in self.names.items() if names}
+
+    def rows(self, paths: list[str], width: int) -> DataFrame:
+        found = records.records(self.spark, paths, self.quotes).where("not first")
+        path = F.regexp_replace(F.url_decode(F.regexp_replace("file", r"\+", "%2B")), "^file:/+", "/")
+        return records.cells(found, self.separator, width).select(path.alias("path"), "cells")
+
+    def kinds(self) -> dict[str, list[int]]:
+        if not self.names:
+            return {}
+        width = max(map(len, self.names.values()))
+        rows = records.kinds(self.rows(list(self.names), width), ["path"], width)
+        return {r.path: r.kinds for r in rows.toLocalIterator()}
+
+
+class _Workbooks:
+    """The first sheets of workbooks: unpacked once, written, and read from there."""
+
+    def __init__(self, spark: SparkSession, paths: list[str], extension: str):
+        files = spark.read.format("binaryFile").load(paths).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+        self.cells = written(workbook_cells(files).where("sheet_no = 1"), "workbook-cells")
+        heads = self.cells.groupBy("path").agg(F.min("row").alias("head"), F.min_by("cells", "row").alias("names"))
+        found = {r.path: r for r in heads.toLocalIterator()}
+        self.names = {path: tuple(n or f"column_{i + 1}" for i, n in enumerate(r.names)) for path, r in found.items()}
+        self.heads = heads.select("path", "head")
+
+    def rows(self, paths: list[str], width: int) -> DataFrame:
+        cells = self.cells.join(self.heads, "path").where("row > head")
+        return cells.select("path", F.slice("cells", 1, width).alias("cells"), F.slice("kinds", 1, width).alias("kinds"))
+
+    def kinds(self) -> dict[str, list[int]]:
+        if not self.names:
+            return {}
+        width = max(map(len, self.names.values()))
+        rows = self.rows([], width).select("path", F.arrays_zip("cells", "kinds").alias("cells"))
+        return {r.path: r.kinds for r in records.kinds(rows, ["path"], width, CELL_KIND).toLocalIterator()}
+
+
+def _converted(source: _Texts | _Workbooks, targets: dict[str, str], given: dict[str, str], staging: str) -> dict[str, str]:
+    """Convert the files of one format, those with the same columns together."""
+    kinds, groups = source.kinds(), {}
+    for path in targets:
+        if path not in source.names:
+            log.error("cannot convert %s: unreadable", path)
+            continue
+        names = source.names[path]
+        bits = kinds.get(path) or [0] * len(names)
+        types = tuple(given.get(n.lower(), records.kind_type(b)) for n, b in zip(names, bits))
+        groups.setdefault((names, types), []).append(path)
+    done: dict[str, str] = {}
+    for (names, types), paths in groups.items():
+        todo = [paths]
+        while todo:
+            some = todo.pop()
+            try:
+                _write_group(source, names, types, {p: targets[p] for p in some}, f"{staging}/{uuid.uuid4().hex}")
+                done |= {p: targets[p] for p in some}
+            except (PySparkException, Py4JError) as error:
+                if len(some) == 1:
+                    log.error("cannot convert %s: %s", some[0], error)
+                else:  # the others of the group are converted without the one that can't be
+                    todo += [some[: len(some) // 2], some[len(some) // 2 :]]
+    return done
+
+
+def _write_group(
+    source: _Texts | _Workbooks, names: Sequence[str], types: Sequence[str], targets: dict[str, str], staging: str
+) -> None:
+    """One scan and one write for files with the same columns; then every file's folder goes to its target."""
+    spark = source.spark if isinstance(source, _Texts) else source.cells.sparkSession
+    order = sorted(targets)
+    numbers = spark.createDataFrame(list(zip(order, range(len(order)))), "path string, __file int")
+    numbers = broadcast_if(numbers, sum(map(len, order)) + 64 * len(order))
+    rows = source.rows(order, len(names)).join(numbers, "path")
+    columns = records.typed(rows, names, types, "get(cells, {0})")
+    rows.select("__file", *columns).write.partitionBy("__file").parquet(staging)
+    with_rows = {name.split("=")[1] for name in _children(spark, staging) if name.startswith("__file=")}
+    if len(with_rows) < len(order):
+        none = spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in zip(names, types)])
+        none.write.parquet(f"{staging}/empty")
+    for number, path in enumerate(order):
+        if str(number) in with_rows:
+            _move(spark, f"{staging}/__file={number}", targets[path])
+        else:
+            _move(spark, f"{staging}/empty", targets[path], copy=True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _children(spark: SparkSession, folder: str) -> list[str]:
+    path, system = _hadoop(spark, folder)
+    return [status.getPath().getName() for status in system.listStatus(path)]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path, system = _hadoop(spark, folder)
+    system.delete(path, True)
+
+
+def _move(spark: SparkSession, folder: str, target: str, copy: bool = False) -> None:
+    """Put a finished folder in the place of what a cut-off conversion may have left there."""
+    source, system = _hadoop(spark, folder)
+    path, _ = _hadoop(spark, target)
+    system.delete(path, True)
+    system.mkdirs(path.getParent())
+    if copy:
+        conf = spark._jsc.hadoopConfiguration()
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(system, source, system, path, False, conf)
+    elif not system.rename(source, path):
+        raise PySparkException(f"cannot move {folder} to {target}")

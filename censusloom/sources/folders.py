@@ -13,6 +13,7 @@ from censusloom.sources.tables import (
     DETAIL_SCHEMA,
     GEOCODE_SCHEMA,
     get_spreadsheet_reader,
+    load,
     read_parquet,
 )
 
@@ -29,12 +30,15 @@ def qualified(spark: SparkSession, path: str) -> str:
     return re.sub("^file:/+", "/", whole).rstrip("/") or "/"
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
+def list_files(spark: SparkSession, path: str, list_hidden: bool = False) -> DataFrame:
     """``(path, length, modificationTime)`` of all files under a folder.
 
     Spark does the listing and leaves out names that start with a dot or underscore, and
-    what lies in such folders. Contents are not read.
+    what lies in such folders. Contents are not read. ``list_hidden`` lists these too, by the file
+    system's own recursive listing on the driver, which Spark's sources do not offer.
     """
+    if list_hidden:
+        return _list_all(spark, path)
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -43,6 +47,18 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _list_all(spark: SparkSession, path: str) -> DataFrame:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, files = [], system.listFiles(hadoop, True)
+    while files.hasNext():
+        status = files.next()
+        when = status.getModificationTime()
+        found.append((re.sub("^file:/+", "/", status.getPath().toString()), status.getLen(), when))
+    rows = spark.createDataFrame(found, "path string, length long, ms long")
+    return rows.select("path", "length", F.timestamp_millis("ms").alias("modificationTime"))
+
+
 def list_tables(
     spark: SparkSession, path: str, extension: str, filter_regex: str | None = None
 ) -> DataFrame:
@@ -72,6 +88,7 @@ def keyed_paths(
     spark: SparkSession, pattern: str, extension: str, filter_regex: str | None = None
 ) -> dict[str, str]:
     """Table paths by key. File names are what reaches the driver; two equal keys are an error."""
+    pattern = _absolute(spark, pattern)
     tables = list_tables(spark, folder_of(pattern), extension, filter_regex)
     rows = tables.select(_key(pattern, F.col("path")).alias("key"), "path").where("key is not null")
     found: dict[str, str] = {}
@@ -79,23 +96,36 @@ def keyed_paths(
         if key in found:
             raise ValueError(f"{found[key]} and {path} have the same key {key!r}")
         found[key] = path
+    if not found and not tables.isEmpty():
+        raise ValueError(f"no {extension} table under {folder_of(pattern)} matches {pattern!r}")
     return found
 
 
+def _absolute(spark: SparkSession, pattern: str) -> str:
+    """The pattern with its folder in the form in which ``list_files`` gives paths."""
+    folder = folder_of(pattern)
+    rest = pattern[len(folder) :] if pattern.startswith(folder) else "/" + pattern
+    return qualified(spark, folder).rstrip("/") + rest if rest.strip("/") else qualified(spark, folder)
+
+
 def read_spreadsheets(
     spark: SparkSession,
     file_dir_pattern: str,
     extension: str,
     filter_regex: str | None = None,
+    schema: T.StructType | None = None,
+    multi_line: bool = False,
 ) -> dict[str, DataFrame]:
     """Every table under a folder, by file name or by the ``{key}`` in the pattern.
 
-    ``filter_regex`` may match anywhere in the path. A table that cannot be read is left
-    out with a warning. For many tables of one schema ``scan_folder`` is a single scan.
+    The pattern may be relative or have a scheme. ``filter_regex`` may match anywhere in the path. A table
+    that cannot be read is left out with a warning; tables none of which matches the pattern are an
+    error. ``schema`` and ``multi_line`` are as in ``load``. For many tables of one schema
+    ``scan_folder`` is a single scan.
     """
-    reader = get_spreadsheet_reader("." + extension)
+    get_spreadsheet_reader("." + extension)
     paths = keyed_paths(spark, file_dir_pattern, extension, filter_regex)
-    frames = {key: reader(spark, path) for key, path in paths.items()}
+    frames = {key: load(spark, path, extension, schema, multi_line) for key, path in paths.items()}
     failed = [key for key, frame in frames.items() if frame is None]
     if failed:
         log.warning("could not read %s", failed)
@@ -111,9 +141,10 @@ def scan_folder(
 ) -> DataFrame:
     """All tables of one schema under a folder in one scan, with a ``key`` column.
 
-    The path filter is on file metadata, so files it excludes are not opened. Corrupt files
-    are skipped.
+    The pattern may be relative or have a scheme. The path filter is on file metadata, so files it
+    excludes are not opened. Corrupt files are skipped. Tables none of which matches are an error.
     """
+    file_dir_pattern = _absolute(spark, file_dir_pattern)
     reader = (
         spark.read.schema(schema)
         .option("recursiveFileLookup", True)
@@ -131,6 +162,10 @@ def scan_folder(
     rows = rows.where(F.col("_metadata.file_path").rlike(rf"\.{re.escape(extension)}(/|$)"))
     if filter_regex:
         rows = rows.where(path.rlike(filter_regex))
+    tables = list_tables(spark, folder, extension, filter_regex)
+    facts = tables.agg(F.count("path"), F.count(_key(file_dir_pattern, F.col("path")))).first()
+    if facts[0] and not facts[1]:
+        raise ValueError(f"no {extension} table under {folder} matches {file_dir_pattern!r}")
     return rows.withColumn("key", _key(file_dir_pattern, root)).where("key is not null")
 
 

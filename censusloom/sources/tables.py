@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from censusloom.sources.records import read_broken
+
 log = logging.getLogger(__name__)
 
 #: Columns of the two address feeds the library relies on.
@@ -31,8 +33,13 @@ DETAIL_SCHEMA = T.StructType(
 def _delimited(
     spark: SparkSession, path: str | list[str], separator: str, schema: T.StructType | None, multi_line: bool
 ) -> DataFrame | None:
-    reader = spark.read.options(header=True, sep=separator, quote='"', escape='"', multiLine=multi_line)
+    reader = spark.read.options(header=True, sep=separator, quote='"', escape='"', multiLine=False)
     try:
+        if multi_line:
+            split = read_broken(spark, path, separator, schema)
+            if split is not None:
+                return split
+            reader = reader.option("multiLine", True)
         if schema is None:
             found = reader.option("inferSchema", True).csv(path).schema
             # dates and times stay text, as they are written
@@ -56,8 +63,8 @@ def read_psv(
     """Pipe-separated text with a header; ``None`` if it cannot be read.
 
     Without a schema the types are inferred, which reads the file twice. A quote inside a
-    quoted field is doubled. ``multi_line`` allows line breaks in quoted fields; such files
-    are not split among tasks.
+    quoted field is doubled. ``multi_line`` allows line breaks in quoted fields; such files are
+    split among tasks too, see ``sources.records``.
     """
     return _delimited(spark, path, "|", schema, multi_line)
 
@@ -91,7 +98,13 @@ def get_spreadsheet_reader(extension: str) -> Callable[..., DataFrame | dict | N
     return readers[extension]
 
 
-def load(spark: SparkSession, path: str, fmt: str, schema: T.StructType | None = None):
-    """Read a file or folder in the named format (``"csv"``, ``"psv"``, ``"xlsx"``, ``"parquet"``)."""
-    reader = get_spreadsheet_reader("." + fmt.lstrip("."))
-    return reader(spark, path) if schema is None else reader(spark, path, schema=schema)
+def load(spark: SparkSession, path: str, fmt: str, schema: T.StructType | None = None, multi_line: bool = False):
+    """Read a file or folder in the named format (``"csv"``, ``"psv"``, ``"xlsx"``, ``"parquet"``).
+
+    ``multi_line`` is for line breaks in quoted fields and means nothing for the last two formats.
+    """
+    fmt = fmt.lstrip(".")
+    options = {} if schema is None else {"schema": schema}
+    if multi_line and fmt in ("csv", "psv"):
+        options["multi_line"] = True
+    return get_spreadsheet_reader("." + fmt)(spark, path, **options)

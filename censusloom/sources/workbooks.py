@@ -1,4 +1,8 @@
-"""Workbooks (.xlsx) as a Spark source: a scan of files, unpacked row by row in the tasks."""
+"""Workbooks (.xlsx) as a Spark source: a scan of files, unpacked row by row in the tasks.
+
+A workbook is unpacked once, to a table of cells with their kinds; sheets, headers, types and rows are taken from
+that. A number is a date or a time of a day if the format of its cell says so.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +11,16 @@ import re
 import sys
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from censusloom.runtime import written
+from censusloom.sources import records
 
 # tasks get these functions by value, wherever the package is installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -23,6 +31,13 @@ BATCH = 5_000
 # fixed values: names of the file format
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+# fixed values: numbers of the built-in formats that show a date
+_DATE_FORMATS = {*range(14, 18), 22, *range(27, 32), *range(34, 37), *range(50, 59)}
+#: SQL text for the bit of a cell's kind, of a struct ``c`` of its text ``cells`` and its ``kinds``.
+CELL_KIND = (
+    f"case c.kinds when 'n' then if(c.cells rlike '^-?[0-9]{{1,18}}$', {records.LONG}, {records.DOUBLE}) when 'b' then {records.BOOLEAN} "
+    f"when 'd' then {records.DATE} when 't' then {records.MOMENT} when 's' then {records.TEXT} else 0 end"
+)
 
 
 def _texts(node) -> str:
@@ -56,8 +71,39 @@ def _column(reference: str) -> int:
     return number - 1
 
 
-def _cell(node, shared: list[str]) -> tuple[str, str] | None:
-    """``(kind, text)`` of a cell: ``n`` number, ``b`` boolean, ``s`` text."""
+def _dated(book: zipfile.ZipFile) -> tuple[set[str], bool]:
+    """Numbers of the cell styles that show a date, and whether days count from 1904."""
+    old = ElementTree.fromstring(book.read("xl/workbook.xml")).find(_MAIN + "workbookPr")
+    from_1904 = old is not None and old.get("date1904") in ("1", "true")
+    if "xl/styles.xml" not in book.namelist():
+        return set(), from_1904
+    styles = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = set()
+    for node in styles.iter(_MAIN + "numFmt"):
+        shown = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]|_.|\*.', "", node.get("formatCode", "")).split(";")[0].lower()
+        if re.search("[yd]", shown) and not re.search("[0#?]", shown.replace(".0", "").replace(".00", "")):
+            own.add(int(node.get("numFmtId")))
+    formats = styles.find(_MAIN + "cellXfs")
+    shows = [int(xf.get("numFmtId", 0)) for xf in (formats if formats is not None else ())]
+    return {str(i) for i, number in enumerate(shows) if number in own or (number in _DATE_FORMATS and number < 164)}, from_1904
+
+
+def _moment(text: str, from_1904: bool) -> tuple[str, str]:
+    """A day number as ``d`` date or ``t`` date and time; one with no date stays a number."""
+    days = float(text)
+    # days before March 1900 are numbered as if that year had a leap day
+    begin = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30) + timedelta(days < 60)
+    try:
+        when = begin + timedelta(milliseconds=round(days * 86_400_000))
+    except OverflowError:
+        return "n", text
+    if days < 0 or days != days:
+        return "n", text
+    return ("d", when.date().isoformat()) if when.time() == datetime.min.time() else ("t", when.isoformat(" "))
+
+
+def _cell(node, shared: list[str], dated: set[str], from_1904: bool) -> tuple[str, str] | None:
+    """``(kind, text)`` of a cell: ``n`` number, ``b`` boolean, ``d`` date, ``t`` date and time, ``s`` text."""
     kind = node.get("t", "n")
     if kind == "inlineStr":
         return "s", _texts(node)
@@ -68,12 +114,14 @@ def _cell(node, shared: list[str]) -> tuple[str, str] | None:
         return "s", shared[int(value.text)]
     if kind == "b":
         return "b", "true" if value.text == "1" else "false"
+    if kind == "n" and node.get("s") in dated:
+        return _moment(value.text, from_1904)
     return ("n" if kind == "n" else "s"), value.text
 
 
 def _rows(content: bytes) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        shared = _shared(book)
+        shared, styles = _shared(book), _dated(book)
         for sheet_no, (name, part) in enumerate(_sheets(book), 1):
             with book.open(part) as xml:
                 line = 0
@@ -84,7 +132,7 @@ def _rows(content: bytes) -> Iterator[tuple]:
                     cells: dict[int, tuple[str, str] | None] = {}
                     for cell in node.iter(_MAIN + "c"):
                         at = _column(cell.get("r")) if cell.get("r") else len(cells)
-                        cells[at] = _cell(cell, shared)
+                        cells[at] = _cell(cell, shared, *styles)
                     node.clear()
                     filled = [cells.get(i) or (None, None) for i in range(max(cells, default=-1) + 1)]
                     yield name, sheet_no, line, [k for k, _ in filled], [t for _, t in filled]
@@ -101,7 +149,7 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if len(out) == BATCH:
                         yield pd.DataFrame(out, columns=names)
                         out = []
-            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+            except (zipfile.BadZipFile, KeyError, ValueError, ElementTree.ParseError):
                 # not a workbook: one row without a sheet says so
                 out.append((path, None, None, None, None, None))
             yield pd.DataFrame(out, columns=names)
@@ -126,51 +174,32 @@ def scan_workbooks(spark: SparkSession, path: str) -> DataFrame:
     return workbook_cells(files)
 
 
-def sheet_table(cells: DataFrame) -> DataFrame:
+def sheet_table(cells: DataFrame, schema: T.StructType | None = None) -> DataFrame:
     """Table of one sheet: its first row names the columns, the kinds of the cells type them.
 
-    Two aggregates reach the driver, the header and one type per column, both as long as the
-    sheet is wide.
+    One row reaches the driver for the header and one for the kinds, both as long as the sheet is wide.
+    Columns that ``schema`` names get its types.
     """
-    first = cells.agg(F.min("row")).first()[0]
-    if first is None:
+    head = cells.agg(F.min("row").alias("row"), F.min_by("cells", "row").alias("names")).first()
+    if head.row is None:
         return cells.sparkSession.createDataFrame([], "_ string").drop("_")
-    header = cells.where(F.col("row") == first).select("cells").first()[0]
-    body = cells.where(F.col("row") > first)
-    kinds = {
-        r.at: r
-        for r in body.select(F.posexplode(F.arrays_zip("kinds", "cells")).alias("at", "cell"))
-        .where("cell.kinds is not null")
-        .groupBy("at")
-        .agg(
-            F.expr("every(cell.kinds = 'n')").alias("number"),
-            F.expr("every(cell.kinds = 'b')").alias("boolean"),
-            F.expr("every(cell.cells rlike '^-?[0-9]{1,18}$')").alias("whole"),
-        )
-        .collect()
-    }
-
-    def dtype(at: int) -> str:
-        found = kinds.get(at)
-        if found is None:
-            return "string"
-        if found.number:
-            return "bigint" if found.whole else "double"
-        return "boolean" if found.boolean else "string"
-
-    columns = [
-        F.get("cells", F.lit(at)).cast(dtype(at)).alias(name or f"column_{at + 1}")
-        for at, name in enumerate(header)
-    ]
-    return body.select(*columns)
+    names = [name or f"column_{at + 1}" for at, name in enumerate(head.names)]
+    given = {f.name: f.dataType.simpleString() for f in schema or []}
+    body = cells.where(F.col("row") > head.row)
+    bits = records.kinds(body.select(F.arrays_zip("cells", "kinds").alias("cells")), [], len(names), CELL_KIND).first().kinds
+    types = [given.get(name, records.kind_type(bit)) for name, bit in zip(names, bits)]
+    return body.select(*records.typed(body, names, types, "get(cells, {0})"))
 
 
 def read_xlsx(
-    spark: SparkSession, path: str, sheet_id: int = 1
+    spark: SparkSession, path: str, sheet_id: int = 1, schema: T.StructType | None = None
 ) -> dict[str, DataFrame] | DataFrame | None:
-    """One sheet of a workbook by number, or all by name for ``sheet_id=0``; ``None`` on error."""
+    """One sheet of a workbook by number, or all by name for ``sheet_id=0``; ``None`` on error.
+
+    The workbook is unpacked once, and its cells are written to the scratch folder.
+    """
     try:
-        cells = scan_workbooks(spark, path)
+        cells = written(scan_workbooks(spark, path), "workbook-cells")
         named = cells.groupBy("sheet_no", "sheet").count().orderBy("sheet_no").collect()
     except AnalysisException:
         return None
@@ -180,7 +209,7 @@ def read_xlsx(
     if not sheets:
         return None
     tables = {
-        name: sheet_table(cells.where(F.col("sheet_no") == number))
+        name: sheet_table(cells.where(F.col("sheet_no") == number), schema)
         for number, name in sheets.items()
         if sheet_id in (0, number)
     }
