@@ -143,7 +143,7 @@ class _Texts:
         if not self.names:
             return {}
         width = max(map(len, self.names.values()))
-        rows = records.kinds(self.rows(list(self.names), width), ["path"], width)
+        rows = records.kinds(self.rows(self.quotes.paths, width), ["path"], width)
         return {r.path: r.kinds for r in rows.toLocalIterator()}
 
 

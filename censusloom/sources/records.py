@@ -40,9 +40,14 @@ def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 class Quotes:
-    """Which ranges of which files begin inside quotes: one aggregation, a few numbers a range back."""
+    """Which ranges of which files begin inside quotes: one aggregation, a few numbers a range back.
+
+    Spark cuts files at multiples of a length that depends on all files read together, so these facts hold for
+    the same paths only; tasks check that they got ranges that begin at such a multiple.
+    """
 
     def __init__(self, spark: SparkSession, paths: list[str]):
+        self.paths, self.step = sorted(paths), 0
         lines = _lines(spark, paths).withColumn("id", F.monotonically_increasing_id())
         quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"')))
         facts = lines.groupBy("file", "block").agg(
@@ -54,6 +59,7 @@ class Quotes:
         facts = facts.select("file", "block", "head", "odd", (F.col("before") % 2).alias("inside"), ((F.col("before") + F.col("quotes")) % 2).alias("open"))
         last = F.max(F.struct("block", "open")).over(Window.partitionBy("file"))
         rows = facts.withColumn("unclosed", F.when(F.struct("block", "open") == last, F.col("open")).otherwise(0))
+        rows = rows.withColumn("step", F.min(F.when(F.col("block") > 0, F.col("block"))).over(Window.partitionBy("file")))
         wanted = rows.where("block = 0 or odd = 1 or inside = 1 or unclosed = 1").toLocalIterator()
         self.heads: dict[str, str] = {}
         self.inside: set[tuple[str, int]] = set()
@@ -62,6 +68,7 @@ class Quotes:
         for row in wanted:
             if row.block == 0:
                 self.heads[row.file] = row.head
+                self.step = min(self.step or row.step or 0, row.step or self.step)
             if row.inside:
                 self.inside.add((row.file, row.block))
             if row.unclosed:
@@ -74,7 +81,7 @@ class Quotes:
         return sum(len(file) + 16 for file, _ in self.inside)
 
 
-def _cut(batches: Iterable[pa.RecordBatch], inside: set[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterable[pa.RecordBatch], inside: set[tuple[str, int]], step: int) -> Iterator[pa.RecordBatch]:
     """Records of the ranges of a task: ``(file, first, record, block, opens, closes)``.
 
     ``opens`` and ``closes`` are null for a whole record; a piece has one or the other, or neither if all of
@@ -108,6 +115,8 @@ def _cut(batches: Iterable[pa.RecordBatch], inside: set[tuple[str, int]]) -> Ite
             fresh = key != here
             if fresh:
                 yield from rest()
+                if key[1] and (not step or key[1] % step):
+                    raise ValueError(f"{key[0]} is not cut into ranges as it was when its quotes were counted")
                 here, open_, lines, begun = key, key in inside, [], False
                 first = key[1] == 0
             text = batch.column(2).slice(begin, end - begin)
@@ -148,9 +157,11 @@ def records(spark: SparkSession, paths: list[str], quotes: Quotes) -> DataFrame:
     Empty lines are no records. ``file`` is the path as Spark's file metadata has it. Each range is read by
     a task of its own; files are read once more if records go on from one range to the next.
     """
-    inside = quotes.inside
+    if sorted(paths) != quotes.paths:
+        quotes = Quotes(spark, paths)
+    inside, step = quotes.inside, quotes.step
     cut = _lines(spark, paths).mapInArrow(
-        lambda batches: _cut(batches, inside), "file string, first boolean, record string, block long, opens boolean, closes boolean"
+        lambda batches: _cut(batches, inside, step), "file string, first boolean, record string, block long, opens boolean, closes boolean"
     )
     found = cut.where("opens is null").select("file", "first", "record")
     if inside:

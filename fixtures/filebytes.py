@@ -6,6 +6,7 @@ import io
 import struct
 import sys
 import zipfile
+from datetime import date, datetime
 from xml.sax.saxutils import escape
 
 import numpy as np
@@ -38,6 +39,9 @@ def _sheet(rows: list[list]) -> str:
                 continue
             if isinstance(value, (bool, np.bool_)):
                 cells.append(f'<c {ref} t="b"><v>{int(value)}</v></c>')
+            elif isinstance(value, date):
+                days = (datetime(*value.timetuple()[:6]) - datetime(1899, 12, 30)).total_seconds() / 86_400
+                cells.append(f'<c {ref} s="{2 if isinstance(value, datetime) else 1}"><v>{days - (days < 61):.10f}</v></c>')
             elif isinstance(value, str):
                 cells.append(f'<c {ref} t="inlineStr"><is><t>{escape(value)}</t></is></c>')
             else:
@@ -56,6 +60,9 @@ def xlsx_bytes(sheets: dict[str, list[list]]) -> bytes:
             f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)
         )
         book.writestr("xl/workbook.xml", f'<workbook xmlns="{_NS}" xmlns:r="{_REL}"><sheets>{names}</sheets></workbook>')
+        shown = "".join(f'<xf numFmtId="{n}"/>' for n in (0, 14, 164))
+        formats = '<numFmts count="1"><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd hh:mm:ss"/></numFmts>'
+        book.writestr("xl/styles.xml", f'<styleSheet xmlns="{_NS}">{formats}<cellXfs count="3">{shown}</cellXfs></styleSheet>')
         book.writestr("xl/_rels/workbook.xml.rels", f"<Relationships>{links}</Relationships>")
         for i, rows in enumerate(sheets.values(), 1):
             book.writestr(f"xl/worksheets/sheet{i}.xml", _sheet(rows))

@@ -9,14 +9,26 @@ from censusloom.operators.numbering import number_rows, ordered_totals, running_
 COLS = "code_col string, long_col double, lat_col double"
 
 
-def assign_4(spark):
-    return spark.createDataFrame(
-        [("A", 1.0, 1.0, 7, 3, 5), ("A", 1.1, 1.1, 7, 3, 5), ("B", 2.0, 2.0, 12, 4, 6), ("B", 2.1, 2.1, 12, 4, 6)],
-        COLS + ", feature_1 long, feature_2 long, feature_3 long",
-    )
+FEATURES = ["babies", "school", "retired"]
+#: Persons of each code: more than homes, fewer, and none.
+WANTED = {"P1": (9, 2, 1), "P2": (0, 6, 0), "P3": (1, 1, 13)}
+HOMES = {"P1": 3, "P2": 5, "P3": 1}
+
 
+def homes(spark):
+    """Joined census rows, as many as a code has homes."""
+    data = [
+        (code, 140.0 + at / 8, -30.0 - n / 4, *WANTED[code]) for n, code in enumerate(WANTED) for at in range(HOMES[code])
+    ]
+    return spark.createDataFrame(data, COLS + "".join(f", {f} long" for f in FEATURES))
 
-FEATURES = ["feature_1", "feature_2", "feature_3"]
+
+def counted(persons):
+    sums = persons.groupBy("code_col").agg(*[F.count_if(F.col(f)).alias(f) for f in FEATURES])
+    return {r.code_col: tuple(r)[1:] for r in sums.collect()}
+
+
+PERSONS = sum(map(sum, WANTED.values()))
 
 
 def assign(census, **kwargs):
@@ -46,19 +58,17 @@ def test_filter_on_a_permutation_plans_quickly(spark):
     assert with_permuted(df, "id", "n", "keys", "p").where("p < 10").count() == 10
 
 
-@pytest.mark.parametrize("data", [
-    [("A", float(i), 10.0 * i, 4) for i in range(6)] + [("B", float(i), 10.0 * i, 2) for i in range(6, 10)],
-    [("A", 1.0, 10.0, 4), ("A", 2.0, 20.0, 4), ("A", 3.0, 30.0, 4), ("B", 4.0, 40.0, 2)],
-])
-def test_sample_has_the_counts(spark, data):
-    census = spark.createDataFrame(data, COLS + ", feature_col long")
-    drawn = sample_census_feature(census, "code_col", "long_col", "lat_col", "feature_col")
-    assert drawn.columns == ["code_col", "long_col", "lat_col", "feature_col"]
+@pytest.mark.parametrize("wanted", [{"P1": (5, 2), "P2": (1, 9)}, {"P1": (40, 1), "P2": (3, 3), "P3": (2, 30)}])
+def test_sample_has_the_counts(spark, wanted):
+    data = [(code, 140.0 + at, float(at), n) for code, (n, places) in wanted.items() for at in range(places)]
+    census = spark.createDataFrame(data, COLS + ", tenants long")
+    drawn = sample_census_feature(census, "code_col", "long_col", "lat_col", "tenants")
+    assert drawn.columns == ["code_col", "long_col", "lat_col", "tenants"]
     counts = {r.code_col: r["count"] for r in drawn.groupBy("code_col").count().collect()}
-    assert counts == {"A": 4, "B": 2}
-    assert drawn.where("feature_col").count() == 6
-    most = drawn.groupBy("code_col", "long_col").count().agg(F.max("count")).first()[0]
-    assert most <= 4
+    assert counts == {code: n for code, (n, _) in wanted.items()}
+    assert drawn.where("tenants").count() == sum(counts.values())
+    most = drawn.groupBy("code_col", "long_col").count().groupBy("code_col").agg(F.max("count").alias("n")).collect()
+    assert all(r.n <= wanted[r.code_col][0] for r in most)
 
 
 def test_sample_with_null_zero_negative_and_uneven_counts(spark):
@@ -77,24 +87,21 @@ def test_sample_with_null_zero_negative_and_uneven_counts(spark):
     assert len(per_code["C"]) <= 50 and per_code["C"].count(3.0) >= 44
 
 
-def test_assign(spark, rows):
-    persons = assign(assign_4(spark))
+def test_assign(spark):
+    persons = assign(homes(spark))
     assert persons.columns == ["person_id", "code_col", "long_col", "lat_col", *FEATURES]
-    sums = persons.groupBy("code_col").agg(*[F.count_if(F.col(f)).alias(f) for f in FEATURES])
-    assert rows(sums) == [("A", 7, 3, 5), ("B", 12, 4, 6)]
+    assert counted(persons) == WANTED
     got = persons.orderBy("person_id").collect()
-    assert [r.person_id for r in got] == list(range(37))
+    assert [r.person_id for r in got] == list(range(PERSONS))
     assert all(sum(r[f] for f in FEATURES) == 1 for r in got)
     order = [next(i for i, f in enumerate(FEATURES) if r[f]) for r in got]
     assert order == sorted(order)
-    used = persons.groupBy("code_col", "long_col", *FEATURES).count().collect()
-    limit = {("A", 0): 7, ("A", 1): 3, ("A", 2): 5, ("B", 0): 12, ("B", 1): 4, ("B", 2): 6}
-    for r in used:
-        assert r["count"] <= limit[r.code_col, next(i for i, f in enumerate(FEATURES) if r[f])]
+    for r in persons.groupBy("code_col", "long_col", *FEATURES).count().collect():
+        assert r["count"] <= next(n for f, n in zip(FEATURES, WANTED[r.code_col]) if r[f])
 
 
 def test_assign_is_repeatable(spark, rows):
-    census = assign_4(spark)
+    census = homes(spark)
     first = rows(assign(census, seed=5))
     assert rows(assign(census.repartition(5), seed=5)) == first
     assert rows(assign(census, seed=6)) != first
@@ -107,27 +114,26 @@ def test_assign_is_repeatable(spark, rows):
 
 
 def test_general_draw_equals_even_draw(spark, rows):
-    census = assign_4(spark)
+    census = homes(spark)
     even, general = assign(census, even_counts=True), assign(census, even_counts=False)
     assert rows(even.drop("person_id")) == rows(general.drop("person_id"))
-    assert sorted(r.person_id for r in general.collect()) == list(range(37))
+    assert sorted(r.person_id for r in general.collect()) == list(range(PERSONS))
 
 
-def test_split_groups_keep_the_counts(spark, rows):
-    census = assign_4(spark)
+def test_split_groups_keep_the_counts(spark):
+    census = homes(spark)
     for even in (True, False):
         persons = assign(census, hot_rows=1, even_counts=even)
-        sums = persons.groupBy("code_col").agg(*[F.count_if(F.col(f)).alias(f) for f in FEATURES])
-        assert rows(sums) == [("A", 7, 3, 5), ("B", 12, 4, 6)]
-        assert sorted(r.person_id for r in persons.collect()) == list(range(37))
+        assert counted(persons) == WANTED
+        assert sorted(r.person_id for r in persons.collect()) == list(range(PERSONS))
 
 
 def test_totals_cannot_be_asked_for(spark):
-    census = assign_4(spark).withColumnRenamed("feature_3", "Tot_3")
-    with pytest.raises(ValueError, match="Tot_3"):
-        randomly_assign_census_features(census, "code_col", "long_col", "lat_col", ["Tot_3"])
-    kept = randomly_assign_census_features(census, "code_col", "long_col", "lat_col", ["Tot_3"], ignore_total=False)
-    assert kept.count() == 11
+    census = homes(spark).withColumnRenamed("retired", "Tot_old")
+    with pytest.raises(ValueError, match="Tot_old"):
+        randomly_assign_census_features(census, "code_col", "long_col", "lat_col", ["Tot_old"])
+    kept = randomly_assign_census_features(census, "code_col", "long_col", "lat_col", ["Tot_old"], ignore_total=False)
+    assert kept.count() == 14
 
 
 def test_codes_without_addresses_place_nobody(spark, rows):
@@ -226,9 +232,9 @@ def test_census_is_read_once(spark):
             reads.add(batch.num_rows)
             yield batch
 
-    census = assign_4(spark)
-    counted = census.mapInArrow(seen, census.schema)
-    assert assign(counted).count() == 37 and reads.value == 4
+    census = homes(spark)
+    watched = census.mapInArrow(seen, census.schema)
+    assert assign(watched).count() == PERSONS and reads.value == sum(HOMES.values())
 
 
 def test_shuffled_index_is_a_permutation_per_group(spark):
@@ -249,19 +255,15 @@ def test_ordered_totals(spark):
         at += i % 3
 
 
-@pytest.mark.parametrize("codes,expected", [
-    (["123", "45", "3"], [(3, 234, 21.124, 12.124), (45, 65, 456.12, -23.12), (123, 24, 134.56, -34.56)]),
-    (["124", "45", "3"], [(3, 234, 21.124, 12.124), (45, 65, 456.12, -23.12)]),
-])
-def test_join_census_with_coords(spark, codes, expected):
-    census = spark.createDataFrame(list(zip(codes, [24, 65, 234])), "CODE_2021 string, feature1 long")
-    coords = spark.createDataFrame(
-        [(123, 134.56, -34.56), (45, 456.12, -23.12), (3, 21.124, 12.124)],
-        "CODE21 long, longitude double, latitude double",
-    )
+@pytest.mark.parametrize("codes,found", [(["7001", "7005", "7009"], [7001, 7005]), (["07005", "7002"], [7005]), ([], [])])
+def test_join_census_with_coords(spark, codes, found):
+    """Codes of the census take the type of the addresses' codes as text; several homes of a code all get its counts."""
+    census = spark.createDataFrame([(c, 10 * i) for i, c in enumerate(codes)], "CODE_2021 string, tenants long")
+    coords = spark.range(7001, 7008, 2).selectExpr("id as CODE21", "140D + id / 8D as longitude", "explode(array(-30D, -31D)) as latitude")
     joined = join_census_with_coords(census, coords, "CODE_2021", "CODE21")
-    assert joined.columns == ["CODE_2021", "feature1", "longitude", "latitude"]
-    assert sorted(tuple(r) for r in joined.collect()) == expected
+    assert joined.columns == ["CODE_2021", "tenants", "longitude", "latitude"]
+    expected = [(c, 10 * [int(k) for k in codes].index(c), 140 + c / 8, lat) for c in found for lat in (-31.0, -30.0)]
+    assert sorted((int(r[0]), *tuple(r)[1:]) for r in joined.collect()) == expected
 
 
 def test_ids_do_not_depend_on_the_number_of_ranges(spark):

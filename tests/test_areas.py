@@ -33,25 +33,29 @@ def found(df):
     return sorted((r.LONGITUDE, r.LATITUDE, r.index_right) for r in df.collect())
 
 
+#: Two overlapping diamonds and one far away, by centre and reach.
+DIAMONDS = [[(x - r, y), (x, y + r), (x + r, y), (x, y - r)] for x, y, r in ((10, 20, 4), (13, 20, 2.5), (-40, 7, 1))]
+
+
 def test_points_within(spark):
-    shapes = areas(spark, square(0, 3), square(1, 2), square(30, 35))
-    got = join_coords_with_area(points(spark, (1, 1), (2, 2), (31, 31)), shapes)
+    got = join_coords_with_area(points(spark, (8, 21), (12.5, 20.5), (-40, 7.5), (6, 23)), areas(spark, *DIAMONDS))
     assert got.columns == ["LONGITUDE", "LATITUDE", "geometry", "index_right", "name"]
-    assert found(got) == [(1, 1, 0), (2, 2, 0), (31, 31, 2)]
+    assert sorted((r.geometry, r.name) for r in got.collect() if r.name) == [
+        ("POINT (-40 7.5)", "a2"), ("POINT (12.5 20.5)", "a0"), ("POINT (12.5 20.5)", "a1"), ("POINT (8 21)", "a0"),
+    ]
+    assert [(r.geometry, r.index_right) for r in got.collect() if r.name is None] == [("POINT (6 23)", None)]
 
 
 def test_no_point_within(spark):
-    got = join_coords_with_area(points(spark, (10, 10), (20, 20)), areas(spark, square(0, 3)))
+    got = join_coords_with_area(points(spark, (0, 0), (10, 24.5)), areas(spark, *DIAMONDS))
     assert [(r.index_right, r.name) for r in got.collect()] == [(None, None)] * 2
 
 
-def test_nearest_strategy(spark):
-    got = join_coords_with_area(points(spark, (30, 30), (20, 20)), areas(spark, square(0, 3)), "join_nearest")
-    assert found(got) == [(20, 20, 0), (30, 30, 0)]
-    got = join_coords_with_area(
-        points(spark, (30, 30), (1, 1)), areas(spark, square(0, 3)), "join_nearest", cut_lineage=False
-    )
-    assert found(got) == [(1, 1, 0), (30, 30, 0)]
+@pytest.mark.parametrize("cut", [True, False])
+def test_nearest_strategy(spark, cut):
+    at = points(spark, (-30, 7), (30, 20), (10, 17), (9, 30))
+    got = join_coords_with_area(at, areas(spark, *DIAMONDS), "join_nearest", cut_lineage=cut)
+    assert found(got) == [(-30, 7, 2), (9, 30, 0), (10, 17, 0), (30, 20, 1)]
 
 
 def test_mapped_points_pass_by_the_search(spark):
@@ -117,9 +121,9 @@ def test_areas_of_odd_shapes(spark):
 
 def test_filter_strategy(spark):
     got = join_coords_with_area(
-        points(spark, (1, 1), (30, 30), (20, 20)), areas(spark, square(0, 3)), "filter"
+        points(spark, (-40.25, 7.5), (30, 20), (9, 30)), areas(spark, *DIAMONDS), "filter"
     ).collect()
-    assert [(r.geometry, r.index_right) for r in got] == [("POINT (1 1)", 0)]
+    assert [(r.geometry, r.index_right) for r in got] == [("POINT (-40.25 7.5)", 2)]
 
 
 def test_unknown_strategy_and_other_crs(spark):
