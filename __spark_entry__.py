@@ -331,6 +331,22 @@ def s4(spark, sf):
     )
 
 
+def _spreadsheets(rows: DataFrame, path: str) -> str:
+    """Write rows as spreadsheets, each to the file that ``path`` names; the folder they are in."""
+    folder = scratch_folder(rows.sparkSession, "query")
+    named = rows.select(F.expr(path).alias("__path"), "*")
+    files = named.groupBy("__path").applyInPandas(filebytes.spreadsheet, "path string, content binary")
+    filebytes.write_files(files, f"{folder}/in")
+    return folder
+
+
+@query("s4_read_xlsx", "select o_orderkey, cast(o_orderdate as date) as o_orderdate, o_totalprice, o_orderpriority from orders")
+def s4_files(spark, sf):
+    rows = table(spark, sf, "orders").selectExpr("o_orderkey", "to_date(o_orderdate) as o_orderdate", "o_totalprice", "o_orderpriority")
+    folder = _spreadsheets(rows, "concat('book', o_orderkey div 5000, '.xlsx')")
+    return tables.load(spark, f"{folder}/in", "xlsx")
+
+
 @query("s5_load_by_format", "select s_suppkey, s_name, s_nationkey, s_acctbal from supplier")
 def s5(spark, sf):
     source = table(spark, sf, "supplier")
@@ -368,7 +384,7 @@ def s6_scan(spark, sf):
 
 @query(
     "s7_placeholders",
-    "select doc_id, source, lang, cast(doc_id as varchar) as number from documents where lang <> 'zz'",
+    "select doc_id, source, lang, cast(doc_id as varchar) as number from documents",
 )
 def s7(spark, sf):
     paths = table(spark, sf, "documents").selectExpr(
@@ -419,14 +435,30 @@ def s9(spark, sf):
 def s10(spark, sf):
     from censusloom.sources.shapes import areas_from_files
 
-    rows = area_rows(spark, sf).select(F.lit(0).alias("file"), "*")
+    rows = area_rows(spark, sf).select(F.expr("cast(index_right div 100 as int)").alias("file"), "*")
     files = rows.groupBy("file").applyInPandas(filebytes.shapefile, "path string, content binary")
-    read = areas_from_files(files, CRS)
+    return _corners(areas_from_files(files, CRS))
+
+
+def _corners(read: DataFrame) -> DataFrame:
     return read.select(
         "index_right", "SA1_CODE21", F.posexplode(F.element_at("rings", 1)).alias("k", "p")
     ).select("index_right", "k", "p.x", "p.y", "SA1_CODE21")
 
 
+@query(
+    "s10_read_shapefile",
+    f"""with {_area_sql()} select area as index_right, k, x, y, area as "SA1_CODE21" from vertex""",
+)
+def s10_files(spark, sf):
+    from censusloom.sources.shapes import read_shapefile
+
+    rows = area_rows(spark, sf).select(F.expr("cast(index_right div 100 as int)").alias("file"), "*")
+    folder = scratch_folder(spark, "query")
+    filebytes.write_files(rows.groupBy("file").applyInPandas(filebytes.shapefile, "path string, content binary"), folder)
+    return _corners(read_shapefile(spark, folder, CRS))
+
+
 @query("k1_to_parquet", _CUSTOMER_SQL)
 def k1(spark, sf):
     folder = _stored(table(spark, sf, "customer"), "c.parquet", sinks.to_parquet)
@@ -447,13 +479,18 @@ def k3(spark, sf):
     return spark.read.schema(source.schema).option("header", True).csv(f"{folder}/c")
 
 
-@query("k4_convert_folder", "select s_suppkey, s_name, s_nationkey, s_acctbal from supplier")
+#: Extension of the file a row goes to, by its number; files hold 300 rows.
+_EXTENSION = "element_at(array('.csv', '.psv', '.xlsx'), cast({n} % 3 + 1 as int))"
+_NOTE = "concat('line ', s_suppkey, chr(10), '\"q\", | ', s_suppkey)"
+
+
+@query("k4_convert_folder", f"select s_suppkey, s_name, s_nationkey, s_acctbal, {_NOTE} as note from supplier")
 def k4(spark, sf):
-    source = table(spark, sf, "supplier")
-    folder = _stored(source, "in/supplier", _as_csv)
+    rows = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal", F.expr(_NOTE).alias("note"))
+    folder = _spreadsheets(rows, f"concat('s', s_suppkey div 900, '_', s_suppkey % 3, {_EXTENSION.format(n='s_suppkey')})")
     done = sinks.convert_to_parquet(spark, f"{folder}/in", f"{folder}/out")
     return reduce(DataFrame.unionByName, [spark.read.parquet(p) for p in done.values()]).select(
-        F.col("s_suppkey").cast("long"), "s_name", F.col("s_nationkey").cast("int"), F.col("s_acctbal").cast("double")
+        F.col("s_suppkey").cast("long"), "s_name", F.col("s_nationkey").cast("int"), F.col("s_acctbal").cast("double"), "note"
     )
 
 
@@ -843,14 +880,11 @@ def e3(spark, sf):
     regions = table(spark, sf, "region")
     rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.expr("c_nationkey = n_nationkey"))
     rows = rows.join(regions, F.expr("n_regionkey = r_regionkey")).select("r_regionkey", "r_name", "c_custkey")
-    folder = scratch_folder(spark, "query")
-    _as_psv(rows.where("r_regionkey < 2"), f"{folder}/in/a")
-    _as_csv(rows.where("r_regionkey >= 2"), f"{folder}/in/b")
-    # the pipe-separated files are told apart by their extension
-    done = jobs.spreadsheets_to_parquet(spark, f"{folder}/in/b", f"{folder}/out")
-    csv = reduce(DataFrame.unionByName, [spark.read.parquet(p) for p in done.values()])
-    psv = tables.read_psv(spark, f"{folder}/in/a", rows.schema)
-    return csv.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema]).unionByName(psv)
+    folder = _spreadsheets(rows, f"concat('r', r_regionkey, '/c', c_custkey div 900, '_', c_custkey % 3, {_EXTENSION.format(n='c_custkey')})")
+    schema = rows.select("c_custkey").schema
+    done = jobs.spreadsheets_to_parquet(spark, f"{folder}/in", f"{folder}/out", schema)
+    read = [spark.read.parquet(p) for p in done.values()]
+    return reduce(DataFrame.unionByName, [df.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema]) for df in read])
 
 
 @query(

@@ -72,11 +72,18 @@ def box_distances(px: str, py: str) -> tuple[str, str]:
 
 
 def _plain_number(value: str) -> str:
-    """Decimal text without exponent or trailing zeros."""
+    """Decimal text without exponent or trailing zeros, with all digits of the double's own text.
+
+    Where that has an exponent its digits are moved instead; nothing is rounded.
+    """
     text = f"cast({value} as string)"
-    wide = f"regexp_replace(cast(cast({text} as decimal(38, 18)) as string), '[.]?0+$', '')"
-    usual = f"({value} = 0 or abs({value}) between 1e-3D and 9999999D)"
-    return f"if({usual}, regexp_replace({text}, '[.]0$', ''), {wide})"
+    part = lambda k: f"regexp_extract({text}, '^(-?)([0-9])[.]([0-9]+)E(-?[0-9]+)$', {k})"
+    digits = f"concat({part(2)}, if({part(3)} = '0', '', {part(3)}))"
+    power = f"cast({part(4)} as int)"
+    left = f"if(length({digits}) > {power} + 1, concat(left({digits}, {power} + 1), '.', substring({digits}, {power} + 2)), rpad({digits}, {power} + 1, '0'))"
+    right = f"concat('0.', repeat('0', -{power} - 1), {digits})"
+    moved = f"concat({part(1)}, if({power} < 0, {right}, {left}))"
+    return f"if({text} like '%E%', {moved}, regexp_replace({text}, '[.]0$', ''))"
 
 
 def point_wkt(px: str, py: str) -> Column:

@@ -25,10 +25,10 @@ from censusloom.operators.counts import (
     join_census_frames,
     join_census_with_coords,
 )
-from censusloom.runtime import written
+from censusloom.runtime import scratch_folder, written
 from censusloom.sinks import convert_to_parquet, to_parquet, write_csv_in_chunks
 from censusloom.sources.folders import load_gnaf_files_by_states, read_spreadsheets
-from censusloom.sources.shapes import read_shapefile
+from censusloom.sources.shapes import stored_areas
 
 #: File names of the census tables at the finest level.
 CENSUS_PATTERN = r"2021Census_G\d+[A-Z]?_AUST_SA1"
@@ -36,8 +36,14 @@ CRS = "EPSG:7844"
 CODE, LONG, LAT = "SA1_CODE_2021", "LONGITUDE", "LATITUDE"
 
 
-def _areas(spark: SparkSession, source: str | DataFrame, crs: str) -> DataFrame:
-    return source if isinstance(source, DataFrame) else read_shapefile(spark, source, crs)
+def _areas(spark: SparkSession, source: str | DataFrame, crs: str, store: str | None = None) -> DataFrame:
+    """Areas of a job: a table already, or files that are parsed once and kept under ``store``.
+
+    Without a ``store`` the parsed table is written to the scratch folder, since the job reads it several times.
+    """
+    if isinstance(source, DataFrame):
+        return source
+    return stored_areas(spark, source, crs, store or scratch_folder(spark, "areas"))
 
 
 def map_addresses(
@@ -75,11 +81,13 @@ def join_gnaf_with_shapefile(
     crs: str = CRS,
     strategy: str | None = None,
     states: Sequence[str] = (),
+    area_store: str | None = None,
     **filters,
 ) -> DataFrame:
-    """``map_addresses`` from files."""
+    """``map_addresses`` from files; ``area_store`` is a folder where parsed areas are kept."""
     geocode, detail = load_gnaf_files_by_states(spark, gnaf_dir, states)
-    return map_addresses(geocode, detail, _areas(spark, shapefile_dir, crs), crs, strategy, **filters)
+    areas = _areas(spark, shapefile_dir, crs, area_store)
+    return map_addresses(geocode, detail, areas, crs, strategy, **filters)
 
 
 def build_address_cache(
@@ -89,14 +97,16 @@ def build_address_cache(
     output: str,
     crs: str = CRS,
     strategy: str | None = None,
+    area_store: str | None = None,
 ) -> None:
     """Join all addresses, details and areas once and keep the result, partitioned by state.
 
-    Areas come from a shapefile folder or are an area table already.
+    Areas come from a shapefile folder or are an area table already; ``area_store`` is a folder where
+    parsed areas are kept.
     """
     geocode, detail = load_gnaf_files_by_states(spark, gnaf_dir)
     addresses = filter_and_join_gnaf_frames(geocode, detail)
-    areas = _areas(spark, shapefile_dir, crs)
+    areas = _areas(spark, shapefile_dir, crs, area_store)
     mapped = join_coords_with_area(
         to_geo_dataframe(addresses, crs), areas, strategy
     )

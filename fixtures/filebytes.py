@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import io
+import os
+import re
 import struct
 import sys
+import uuid
 import zipfile
 from datetime import date, datetime
 from xml.sax.saxutils import escape
@@ -12,6 +15,7 @@ from xml.sax.saxutils import escape
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 
 # tasks get these functions by value, wherever the package is installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -76,6 +80,33 @@ def workbook(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"path": [f"book{pdf.iloc[0, 0]}.xlsx"], "content": [xlsx_bytes({"data": rows})]})
 
 
+def spreadsheet(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One file from the rows of a group; its first column is the file's path, whose extension says the format."""
+    path, data = pdf.iloc[0, 0], pdf.iloc[:, 1:]
+    if path.endswith(".xlsx"):
+        return pd.DataFrame({"path": [path], "content": workbook(pdf)["content"]})
+    text = data.to_csv(sep="|" if path.endswith(".psv") else ",", index=False, lineterminator="\n")
+    return pd.DataFrame({"path": [path], "content": [text.encode()]})
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write ``(path, content)`` rows as files under a folder that all tasks see as a local one."""
+    root = re.sub("^file:/+", "/", folder)
+
+    def write(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                target = os.path.join(root, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                part = f"{target}.{uuid.uuid4().hex}"
+                with open(part, "wb") as out:
+                    out.write(content)
+                os.replace(part, target)  # a task that runs again leaves the same file
+            yield batch[["path"]]
+
+    files.mapInPandas(write, "path string").count()
+
+
 def shp_bytes(areas: list[list[list[tuple[float, float]]]]) -> bytes:
     body = b""
     for number, rings in enumerate(areas, 1):
@@ -108,11 +139,15 @@ def dbf_bytes(fields: list[tuple[str, str, int]], rows: list[list]) -> bytes:
 
 
 def shapefile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A ``.shp`` and a ``.dbf`` from the area rows of a group, in ``index_right`` order."""
+    """A ``.shp``, a ``.dbf`` and a ``.prj`` from the area rows of a group, in ``index_right`` order; ``file`` names them."""
     pdf = pdf.sort_values("index_right")
+    stem = f"areas{pdf['file'].iloc[0]:05d}"
     areas = [[[(p["x"], p["y"]) for p in ring] for ring in rings] for rings in pdf["rings"]]
     rows = pdf[["SA1_CODE21", "SA2_CODE21"]].values.tolist()
     fields = [("SA1_CODE21", "N", 12), ("SA2_CODE21", "C", 9)]
     return pd.DataFrame(
-        {"path": ["areas.shp", "areas.dbf"], "content": [shp_bytes(areas), dbf_bytes(fields, rows)]}
+        {
+            "path": [f"{stem}.shp", f"{stem}.dbf", f"{stem}.prj"],
+            "content": [shp_bytes(areas), dbf_bytes(fields, rows), b'GEOGCS["GDA2020",DATUM["x"]]'],
+        }
     )

@@ -230,8 +230,23 @@ def test_no_cross_join_in_plans(spark):
 
 @pytest.mark.parametrize("value,text", [
     (1.0, "1"), (0.1, "0.1"), (-33.8688, "-33.8688"), (0.0005, "0.0005"), (12345678.0, "12345678"),
-    (123456789.25, "123456789.25"), (0.0, "0"), (150.0, "150"),
+    (123456789.25, "123456789.25"), (0.0, "0"), (150.0, "150"), (1e-5, "0.00001"), (-1.25e-7, "-0.000000125"), (-0.0, "-0"),
+    (1e300, "1" + "0" * 300), (1.7976931348623157e308, "17976931348623157" + "0" * 292), (1.5e7, "15000000"), (-98765432.125, "-98765432.125"),
 ])
 def test_wkt_numbers(spark, value, text):
     df = spark.createDataFrame([(value, value)], "x double, y double")
     assert df.select(point_wkt("x", "y")).first()[0] == f"POINT ({text} {text})"
+
+
+def test_wkt_keeps_every_double(spark):
+    """The text reads back as the same double, and has no exponent."""
+    rng = np.random.default_rng(8)
+    values = [5e-324, 2.2250738585072014e-308, *(rng.uniform(-1, 1, 300) * 10.0 ** rng.integers(-320, 308, 300)).tolist()]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", F.split(point_wkt("x", "x"), "[ ()]")[2].alias("t"))
+    for r in df.collect():
+        assert float(r.t) == r.x and "E" not in r.t and not (("." in r.t) and r.t.endswith("0"))
+
+
+def test_wkt_of_a_null(spark):
+    df = spark.createDataFrame([(None, 1.0)], "x double, y double")
+    assert df.select(point_wkt("x", "y")).first()[0] is None

@@ -278,6 +278,35 @@ def test_attribute_columns_once_by_name(spark, tmp_path):
     assert [(r.SA1, r.ONLY) for r in areas.select("SA1", "ONLY").collect()] == [("7", "x"), ("8A", None)]
 
 
+def test_one_large_shapefile_is_parsed_by_many_tasks(spark, tmp_path, monkeypatch):
+    from censusloom.sources import shapes
+
+    monkeypatch.setattr(shapes, "PIECE", 400)
+    count = 120
+    rings = [[[(i, 0), (i, 1), (i + 1, 1), (i, 0)]] for i in range(count)]
+    shapefile(tmp_path, "a", rings, [[i, f"n{i}"] for i in range(count)])
+    files = spark.read.format("binaryFile").load(str(tmp_path / "a.shp"))
+    parsed = shapes._parsed(files, shapes._shape_pieces, shapes._polygons, shapes.SHAPES)
+    assert parsed.groupBy(F.spark_partition_id()).count().count() > 4
+    areas = read_shapefile(spark, str(tmp_path), "EPSG:7844").orderBy("index_right").collect()
+    assert [(r.index_right, r.SA1_CODE21, r.SA2_NAME21, r.minx) for r in areas] == [(i, i, f"n{i}", float(i)) for i in range(count)]
+
+
+def test_stored_areas_are_parsed_once(spark, tmp_path):
+    from censusloom.sources.shapes import stored_areas
+
+    shapefile(tmp_path / "in", "a", RINGS, [[101, "Here"], [102, None]], "GDA2020")
+    store = str(tmp_path / "store")
+    first = stored_areas(spark, str(tmp_path / "in"), "EPSG:7844", store)
+    assert "MapInPandas" not in first._jdf.queryExecution().executedPlan().toString()
+    kept = sorted(p.name for p in (tmp_path / "store").iterdir())
+    again = stored_areas(spark, str(tmp_path / "in"), "EPSG:7844", store)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect())) and again.schema["rings"].metadata["crs"] == "EPSG:7844"
+    assert sorted(p.name for p in (tmp_path / "store").iterdir()) == kept and len(kept) == 1
+    shapefile(tmp_path / "in", "b", RINGS[:1], [[103, "There"]])
+    assert stored_areas(spark, str(tmp_path / "in"), "EPSG:7844", store).count() == 3
+
+
 def test_shapefile_in_another_crs(spark, tmp_path):
     shapefile(tmp_path, "a", RINGS[:1], [[101, "Here"]], "GDA94")
     with pytest.raises(ValueError, match="GDA94"):
