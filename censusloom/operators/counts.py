@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from censusloom.operators.addresses import rename_clashes
 from censusloom.operators.allocate import repeat_rows
 from censusloom.operators.areas import own_columns
+from censusloom.operators.numbering import number_rows
+from censusloom.runtime import broadcast_if, written
 
 
 def cast_like(df: DataFrame, column: str, other: DataFrame, other_column: str) -> DataFrame:
@@ -37,15 +39,69 @@ def join_census_with_coords(
     return left.join(right, left_code_col, "inner")
 
 
+#: Rows of the product of one key that one group of rows makes at most, and rows a table has in a group.
+PRODUCT, GROUP = 1_000_000, 1_000
+
+
+def _multiplicities(frames: Mapping[str, DataFrame], key: str) -> DataFrame:
+    """Rows of each table for each key, ``(key, __m array<long>)``. Counted before the shuffle; null keys are left out."""
+    keys = reduce(
+        DataFrame.unionByName,
+        [df.select(key, F.lit(i).alias("__table")) for i, df in enumerate(frames.values())],
+    ).where(F.col(key).isNotNull())
+    return keys.groupBy(key).agg(F.array(*[F.count_if(F.col("__table") == i) for i in range(len(frames))]).alias("__m"))
+
+
 def _repeats_a_key(frames: Mapping[str, DataFrame], key: str) -> bool:
     """Whether some table has a key twice. One job over the key columns, one row back."""
-    keys = reduce(
-        DataFrame.union,
-        [df.select(F.lit(name).alias("name"), F.col(key).cast("string").alias("key"))
-         for name, df in frames.items()],
-    ).where(F.col("key").isNotNull())
-    sizes = keys.groupBy("name", "key").count().where("count > 1").limit(1)
-    return not sizes.isEmpty()
+    return not _multiplicities(frames, key).where("array_max(__m) > 1").limit(1).isEmpty()
+
+
+def _hot_products(frames: Mapping[str, DataFrame], key: str) -> DataFrame:
+    """Keys whose rows make too large a product, with the number of blocks ``__b`` each table is cut into for them.
+
+    What a group of one block from each table makes is at most ``PRODUCT`` rows.
+    """
+    many = "size(filter(__m, m -> m > 1))"
+    rows = f"greatest(least(floor(power({PRODUCT}D, 1D / greatest({many}, 1)) + 1e-9), {GROUP}), 2)"
+    blocks = F.expr(f"transform(__m, m -> greatest(cast(ceil(m / {rows}) as bigint), 1L))")
+    return _multiplicities(frames, key).select(key, blocks.alias("__b")).where("array_max(__b) > 1")
+
+
+def _joined_products(frames: Mapping[str, DataFrame], key: str) -> DataFrame:
+    """Full outer join of tables that repeat keys, without a chain of joins.
+
+    The rows of all tables are stacked and meet in one shuffle, as one list a table, and the lists are
+    multiplied out. A key with many rows is cut: each table's rows of it are numbered and put in blocks, and a
+    group has one block of every table, so that the groups make all pairs once and none is large.
+    """
+    names = list(frames)
+    hot = written(_hot_products(frames, key), "hot-keys")
+    n_hot = hot.count()
+    listed = broadcast_if(hot, n_hot * 16 * (len(names) + 4))
+    parts = []
+    for i, df in enumerate(frames.values()):
+        own = [c for c in df.columns if c != key]
+        row = F.struct(*[F.col(f"`{c}`") for c in own]).alias(f"__t{i}")
+        known = df.where(F.col(key).isNotNull())
+        if not n_hot:
+            parts.append(known.select(key, F.lit(0).cast("long").alias("__cell"), row))
+            continue
+        parts.append(known.join(listed, key, "left_anti").select(key, F.lit(0).cast("long").alias("__cell"), row))
+        placed = number_rows(known.join(listed, key, "left_semi"), [key], own or [key], "__at").join(listed, key)
+        # all groups that have this row's block of this table
+        step = f"aggregate(slice(__b, 1, {i}), 1L, (a, b) -> a * b)"
+        above = f"aggregate(slice(__b, {i + 2}, {len(names)}), 1L, (a, b) -> a * b)"
+        cells = f"flatten(transform(sequence(0L, {above} - 1), h -> transform(sequence(0L, {step} - 1), l -> (h * __b[{i}] + __at % __b[{i}]) * {step} + l)))"
+        parts.append(placed.select(key, F.explode(F.expr(cells)).alias("__cell"), row))
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    lists = stacked.groupBy(key, "__cell").agg(*[F.collect_list(f"__t{i}").alias(f"__t{i}") for i in range(len(names))])
+    for i in range(len(names)):
+        lists = lists.withColumn(f"__t{i}", F.explode_outer(f"__t{i}"))
+    features = [F.col(f"__t{i}")[c].alias(c) for i, df in enumerate(frames.values()) for c in df.columns if c != key]
+    joined = lists.select(key, *features)
+    alone = [df.where(F.col(key).isNull()) for df in frames.values()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [joined, *alone])
 
 
 def _told_apart(frames: Mapping[str, DataFrame], key: str) -> dict[str, DataFrame]:
@@ -67,8 +123,8 @@ def join_census_frames(
     """Full outer join of count tables on their code.
 
     Tables that have each code once are stacked and grouped: one shuffle for any number of
-    tables. Where a table repeats a code the tables are joined one by one, which multiplies
-    rows. ``unique_keys=None`` looks this up. A null code never matches.
+    tables. Where a table repeats a code the rows of a code are multiplied, with one shuffle too.
+    ``unique_keys=None`` looks this up. A null code never matches.
     """
     tables = _told_apart(frames, join_col)
     if len(tables) == 1:
@@ -76,7 +132,9 @@ def join_census_frames(
     if unique_keys is None:
         unique_keys = not _repeats_a_key(tables, join_col)
     if not unique_keys:
-        return reduce(lambda a, b: a.join(b, join_col, "full"), tables.values())
+        kind = next(iter(tables.values())).schema[join_col].dataType
+        same = {n: df.withColumn(join_col, F.col(join_col).cast(kind)) for n, df in tables.items()}
+        return _joined_products(same, join_col)
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables.values())
     features = [c for c in stacked.columns if c != join_col]
     grouped = (

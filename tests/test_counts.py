@@ -106,3 +106,43 @@ def test_features_of_tables_named_like_files(spark, frames, rows):
     assert persons.count() == 2 and persons.columns[-1] == again
     wanted = spark.createDataFrame([(3, again, 2)], f"{KEY} long, feature string, n long")
     assert rows(reconcile(persons, wanted, KEY, [again])) == [(3, again, 2, 2)]
+
+
+def _five(spark, many):
+    """Five tables that repeat codes; one code has ``many`` rows in three of them."""
+    sizes = {"a": (many, 2, 0, 1), "b": (many // 4, 3, 2, 0), "c": (1, 1, 1, 1), "d": (3, 0, 5, 0), "e": (0, 2, 2, 1)}
+    frames = {}
+    for name, counts in sizes.items():
+        rows = [(code, 100 * code + i // 2) for code, n in enumerate(counts) for i in range(n)] + [(None, 7)]
+        frames[name] = spark.createDataFrame(rows, f"code long, {name} long")
+    return frames
+
+
+@pytest.mark.parametrize("many", [12, 400])
+def test_repeated_keys_in_five_tables(spark, monkeypatch, many):
+    from functools import reduce
+
+    from censusloom.operators import counts
+
+    monkeypatch.setattr(counts, "PRODUCT", 60)
+    frames = _five(spark, many)
+    joined = counts.join_census_frames(frames, "code")
+    chain = reduce(lambda a, b: a.join(b, "code", "full"), frames.values())
+    assert joined.columns == chain.columns
+    assert joined.exceptAll(chain).count() == chain.exceptAll(joined).count() == 0
+    assert joined.where("code = 0").count() == many * (many // 4) * 3
+
+
+def test_repeated_keys_meet_in_one_shuffle(spark, monkeypatch):
+    from censusloom.operators import counts
+
+    plan = counts.join_census_frames(_five(spark, 12), "code")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    monkeypatch.setattr(counts, "PRODUCT", 2000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hot = counts.join_census_frames(_five(spark, 400), "code").where("code = 0")
+        tasks = [r["count"] for r in hot.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) == 8 and max(tasks) < 2 * min(tasks) and sum(tasks) == 120_000
