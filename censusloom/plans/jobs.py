@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from censusloom.operators.addresses import (
@@ -25,8 +27,8 @@ from censusloom.operators.counts import (
     join_census_frames,
     join_census_with_coords,
 )
-from censusloom.runtime import scratch_folder, written
-from censusloom.sinks import convert_to_parquet, to_parquet, write_csv_in_chunks
+from censusloom.runtime import scratch_folder
+from censusloom.sinks import FILE_BYTES, convert_to_parquet, to_parquet, write_csv_in_order
 from censusloom.sources.folders import load_gnaf_files_by_states, read_spreadsheets
 from censusloom.sources.shapes import stored_areas
 
@@ -36,6 +38,38 @@ CRS = "EPSG:7844"
 CODE, LONG, LAT = "SA1_CODE_2021", "LONGITUDE", "LATITUDE"
 
 
+class JobSummary(NamedTuple):
+    """What a job did, gathered while its rows were written.
+
+    ``addresses`` were read, ``unmapped`` of them lie in no area; of each feature ``wanted`` persons were counted and
+    ``placed`` ones written, fewer where a code has counts but no address.
+    """
+
+    addresses: int
+    unmapped: int
+    wanted: dict[str, int]
+    placed: dict[str, int]
+
+    @property
+    def unplaced(self) -> dict[str, int]:
+        return {f: n - self.placed.get(f, 0) for f, n in self.wanted.items()}
+
+
+def _mapped_facts(df: DataFrame, area: str) -> tuple[DataFrame, Observation]:
+    """The rows, counted as they pass."""
+    watch = Observation()
+    return df.observe(watch, F.count(F.lit(1)).alias("addresses"), F.count_if(F.col(area).isNull()).alias("unmapped")), watch
+
+
+def _seen(watch: Observation, *names: str) -> list[int]:
+    """What was counted. A plan that Spark finds to be empty has no counts at all: no row passed."""
+    try:
+        found = watch.get
+    except Py4JError:
+        found = {}
+    return [found.get(name) or 0 for name in names]
+
+
 def _areas(spark: SparkSession, source: str | DataFrame, crs: str, store: str | None = None) -> DataFrame:
     """Areas of a job: a table already, or files that are parsed once and kept under ``store``.
 
@@ -98,7 +132,7 @@ def build_address_cache(
     crs: str = CRS,
     strategy: str | None = None,
     area_store: str | None = None,
-) -> None:
+) -> JobSummary:
     """Join all addresses, details and areas once and keep the result, partitioned by state.
 
     Areas come from a shapefile folder or are an area table already; ``area_store`` is a folder where
@@ -107,10 +141,10 @@ def build_address_cache(
     geocode, detail = load_gnaf_files_by_states(spark, gnaf_dir)
     addresses = filter_and_join_gnaf_frames(geocode, detail)
     areas = _areas(spark, shapefile_dir, crs, area_store)
-    mapped = join_coords_with_area(
-        to_geo_dataframe(addresses, crs), areas, strategy
-    )
+    mapped = join_coords_with_area(to_geo_dataframe(addresses, crs), areas, strategy)
+    mapped, facts = _mapped_facts(mapped, "index_right")
     to_parquet(mapped, output, partition_by="STATE")
+    return JobSummary(*_seen(facts, "addresses", "unmapped"), {}, {})
 
 
 def place_census(
@@ -157,13 +191,13 @@ def allocate(
     region_codes: Sequence[str] = (),
     sa2_codes: Sequence[str] = (),
     seed: int = 0,
-    chunk_size: int = 10_000,
-) -> None:
+    chunk_size: int | None = None,
+    file_bytes: int = FILE_BYTES,
+) -> JobSummary:
     """Place census features on addresses and write the persons as CSV.
 
-    With a ``cache`` of mapped addresses the address and area files are not needed.
-    Without one the mapping is computed and written to the scratch folder once, since the
-    draw reads it more than once.
+    With a ``cache`` of mapped addresses the address and area files are not needed. Files have about
+    ``file_bytes``, at most ``chunk_size`` rows if that is given, and follow the person ids.
     """
     areas = {"region_codes": region_codes, "sa2_codes": sa2_codes}
     if cache is not None:
@@ -172,15 +206,21 @@ def allocate(
             states=states, flat_type_codes=building_types, postcodes=postcodes, **areas,
         )
     else:
-        mapped = written(
-            join_gnaf_with_shapefile(
-                spark, gnaf_dir, shapefile_dir, crs, strategy, states,
-                building_types=building_types, postcodes=postcodes, **areas,
-            ),
-            "mapped-addresses",
+        mapped = join_gnaf_with_shapefile(
+            spark, gnaf_dir, shapefile_dir, crs, strategy, states,
+            building_types=building_types, postcodes=postcodes, **areas,
         )
+    # the draw reads places once, where they are counted too
+    mapped, facts = _mapped_facts(mapped.select("SA1_CODE21", LONG, LAT), "SA1_CODE21")
     census = read_spreadsheets(spark, census_dir, "parquet", census_pattern)
-    write_csv_in_chunks(place_census(mapped, census, census_features, seed), output_path, chunk_size)
+    counted = census_long(census, census_features, CODE).groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    wanted = {f: 0 for f in census_features} | {r.feature: r.n for r in counted}
+    persons, placed = place_census(mapped, census, census_features, seed), Observation()
+    each = [F.count_if(F.col(f"`{f}`")).alias(f"f{i}") for i, f in enumerate(census_features)]
+    persons = persons.observe(placed, F.count(F.lit(1)).alias("n"), *each)
+    write_csv_in_order(persons, output_path, "person_id", sum(wanted.values()), file_bytes, chunk_size)
+    found = _seen(placed, *[f"f{i}" for i in range(len(census_features))])
+    return JobSummary(*_seen(facts, "addresses", "unmapped"), wanted, dict(zip(census_features, found)))
 
 
 def spreadsheets_to_parquet(

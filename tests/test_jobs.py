@@ -1,6 +1,8 @@
 import csv
 
 
+from pyspark.sql import functions as F
+
 from censusloom.plans import jobs
 from tests.test_sources import put, shapefile
 
@@ -74,6 +76,39 @@ def test_allocate_from_files_and_from_cache(spark, tmp_path):
     assert sums(placed(tmp_path / "wa")) == {("102", AGES[0]): 2}
 
 
+def test_job_summaries(spark, tmp_path):
+    """Counted while writing; equal to what the tables say afterwards."""
+    from censusloom import reconcile
+    from censusloom.operators.areas import unmapped_count
+
+    homes, shapes, census = inputs(spark, tmp_path)
+    told = jobs.build_address_cache(spark, homes, shapes, str(tmp_path / "cache"))
+    cache = spark.read.parquet(str(tmp_path / "cache"))
+    assert (told.addresses, told.unmapped) == (cache.count(), unmapped_count(cache)) == (4, 1)
+    told = jobs.allocate(spark, census, str(tmp_path / "out"), AGES, cache=str(tmp_path / "cache"), seed=3)
+    assert (told.addresses, told.unmapped) == (4, 1)
+    persons = spark.read.csv(str(tmp_path / "out"), header=True, inferSchema=True)
+    tables = jobs.read_spreadsheets(spark, census, "parquet", jobs.CENSUS_PATTERN)
+    counts = jobs.census_long(tables, AGES, jobs.CODE).select(F.col(jobs.CODE).cast("int").alias(jobs.CODE), "feature", "n")
+    both = reconcile(persons, counts, jobs.CODE, AGES).groupBy("feature").agg(F.sum("wanted"), F.sum("placed")).collect()
+    assert {r[0]: (r[1], r[2]) for r in both} == {f: (told.wanted[f], told.placed[f]) for f in AGES if told.wanted[f]}
+    none = jobs.allocate(spark, census, str(tmp_path / "none"), AGES, cache=str(tmp_path / "cache"), states=["TAS"])
+    assert none.addresses == 0 and none.placed == dict.fromkeys(AGES, 0) and none.unplaced == told.wanted
+
+
+def test_files_follow_ids_and_bytes(spark, tmp_path):
+    from censusloom.sinks import write_csv_in_order
+
+    df = spark.range(5000).repartition(7).selectExpr("id as person_id", "id % 2 = 0 as f")
+    for size, chunk in ((18 * 600, None), (18 * 600, 100), (1 << 20, None)):
+        out = tmp_path / f"{size}-{chunk}"
+        write_csv_in_order(df, str(out), "person_id", 5000, size, chunk)
+        files = sorted(out.glob("part-*.csv"))
+        ids = [[int(line.split(",")[0]) for line in f.read_text().splitlines()[1:]] for f in files]
+        assert sum(ids, []) == list(range(5000))
+        assert len(files) == {None: -(-5000 // (size // 18)), 100: 54}[chunk] or chunk == 100 and max(map(len, ids)) == 100
+
+
 def test_nearest_gives_every_address_an_area(spark, tmp_path):
     homes, shapes, _ = inputs(spark, tmp_path)
     mapped = jobs.join_gnaf_with_shapefile(
