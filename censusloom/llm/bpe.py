@@ -2,13 +2,16 @@
 
 Texts are cut before every space that a visible character follows. The pattern of byte-level BPE
 always starts a new piece there, so the ids of a text are the ids of its parts, one after another;
-ids of parts that come again are looked up.
+ids of parts that come again are looked up. A part seen for the first time is cut further, where letters end and
+where they begin after something other than a space or an apostrophe; the pattern starts a new piece there
+too. A run of letters is a single piece, so it goes to the library's BPE model itself.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import gc
 import hashlib
 import re
 import struct
@@ -21,8 +24,11 @@ from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 from censusloom.llm.common import mapped, texts
 
 CUT = re.compile(r" (?=\S)")
-#: Parts remembered by a task, and the longest part that is remembered; memory only, never results.
-REMEMBERED, LONGEST = 300_000, 40
+LETTERS = re.compile(r"[^\W\d_]+|[\W\d_]+")
+#: Characters that may be one piece with letters behind them: the apostrophe, and what only here counts as white space.
+UNCLEAR = "'\x1c\x1d\x1e\x1f"
+#: Bytes of text and ids remembered by a worker in each of its two tables, and the longest part that is; memory only, never results.
+REMEMBERED, LONGEST = 8 << 20, 40
 
 
 @functools.lru_cache(maxsize=4)
@@ -76,31 +82,127 @@ def rank_tokenizer(path: str, pattern: str) -> Tokenizer:
     return tokenizer
 
 
+class Remembered(dict):
+    """Ids by text. When the texts take more than ``REMEMBERED`` bytes the older half is forgotten."""
+
+    size = 0
+
+    def add(self, text: str, ids: bytes) -> None:
+        self[text] = ids
+        self.size += len(text) + len(ids)
+
+    def trim(self) -> None:
+        if self.size > REMEMBERED:
+            for text in list(self)[: len(self) // 2]:
+                del self[text]
+            self.size = sum(len(text) + len(ids) for text, ids in self.items())
+
+
+def _piecewise(tokenizer: Tokenizer) -> bool:
+    """Whether a run of letters, with a space before it or not, is one piece for this tokenizer."""
+    if tokenizer.normalizer is not None or tokenizer.pre_tokenizer is None:
+        return False
+    pieces = ["a", " bc", ".", " \u00e9", "12", "e", "'", "\n", "F", "_", "g"]
+    return [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str("".join(pieces))] == [_shown(p) for p in pieces]
+
+
+_SHOWN: dict[int, str] = {}
+
+
+def _shown(text: str) -> str:
+    """The text as the characters that stand for its bytes."""
+    if not _SHOWN:
+        _SHOWN.update(enumerate(byte_characters()))
+    return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SHOWN)
+
+
 class Encoder:
     """Ids of texts as bytes of little-endian unsigned 32-bit integers."""
 
     def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
-        self.known: dict[str, bytes] = {}
-
-    def _new(self, parts: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return {p: struct.pack(f"<{len(e.ids)}I", *e.ids) for p, e in zip(parts, found)}
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.known, self.units = Remembered(), Remembered()
+        self.piecewise = _piecewise(tokenizer)
+
+    def _letters(self, word: str, space: str) -> bytes:
+        """Ids of a run of letters, with a space before it or not."""
+        table, key = (self.known, word) if space else (self.units, word)
+        ids = table.get(key)
+        if ids is None:
+            found = self.model.tokenize(space + word if word.isascii() else space + _shown(word))
+            ids = struct.pack(f"<{len(found)}I", *[token.id for token in found])
+            if len(word) <= LONGEST:
+                table.add(key, ids)
+        return ids
+
+    def _unit(self, text: str) -> bytes:
+        """Ids of any other stretch between two places where pieces begin."""
+        ids = self.units.get(text)
+        if ids is None:
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(text) <= LONGEST:
+                self.units.add(text, ids)
+        return ids
+
+    def _part(self, text: str) -> bytes:
+        """Ids of a part, unit by unit."""
+        if not self.piecewise:
+            return self._unit(text)
+        out, held = [], ""
+        for run in LETTERS.findall(text):
+            if not run.isalpha():
+                held += run
+                continue
+            last = held[-1:]
+            if last and last in UNCLEAR:
+                held += run  # may be one piece with what is before it
+                continue
+            if last.isspace():
+                # the last of several spaces is a piece of its own, or goes with the letters if it is U+0020
+                held = held[:-1]
+                if held:
+                    out.append(self._unit(held))
+                if last != " ":
+                    out.append(self._unit(last))
+            elif held:
+                out.append(self._unit(held))
+            out.append(self._letters(run, "\u0120" if last == " " else ""))
+            held = ""
+        if held:
+            out.append(self._unit(held))
+        return b"".join(out)
 
     def __call__(self, batch: list[str | None]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        cuts = []
+        known, out, piecewise = self.known, [], self.piecewise
+        collecting = gc.isenabled()
+        gc.disable()  # nothing made here refers back to itself; looking through the tables costs a fifth of the time
         for text in batch:
             head, *rest = CUT.split(text or "")
-            cuts.append((head, rest))
-        wanted = {part for _, rest in cuts for part in set(rest).difference(self.known)}
-        fresh = self._new([" " + part for part in wanted])
-        fresh = {part[1:]: ids for part, ids in fresh.items()}
-        self.known |= {part: ids for part, ids in fresh.items() if len(part) <= LONGEST}
-        lookup = self.known if len(fresh) == sum(len(p) <= LONGEST for p in fresh) else self.known | fresh
-        heads = self._new(list({head for head, _ in cuts}))
-        return [heads[head] + b"".join(map(lookup.__getitem__, rest)) for head, rest in cuts]
+            ids = list(map(known.get, rest))
+            if None in ids:
+                for at, found in enumerate(ids):
+                    if found is None:
+                        part = rest[at]
+                        if piecewise and part.isalpha():
+                            found = self._letters(part, "\u0120")
+                        else:
+                            found = known.get(part) or self._part(" " + part)
+                            if len(part) <= LONGEST and part not in known:
+                                known.add(part, found)
+                        ids[at] = found
+            out.append((self._part(head) if head else b"") + b"".join(ids))
+        known.trim()
+        self.units.trim()
+        if collecting:
+            gc.enable()
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, pattern: str | None = None) -> Encoder:
+    """The encoder of a worker process: tasks that follow each other there find what was remembered."""
+    return Encoder(rank_tokenizer(path, pattern) if pattern else json_tokenizer(path))
 
 
 def encode(
@@ -116,7 +218,7 @@ def encode(
 
     def make():
         tokenizer = rank_tokenizer(path, pattern) if pattern else json_tokenizer(path)
-        coder = Encoder(tokenizer)
+        coder = encoder(path, pattern)
 
         def step(rows):
             if not offsets:
@@ -157,7 +259,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Digests of ids and of the decoded bytes: ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``."""
 
     def make():
-        coder = Encoder(rank_tokenizer(path, pattern))
+        coder = encoder(path, pattern)
         pieces = {rank: token for token, rank in read_ranks(path).items()}
 
         def step(rows):

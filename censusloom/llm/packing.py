@@ -17,7 +17,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from censusloom.llm.bpe import Encoder, json_tokenizer
+from censusloom.llm.bpe import encoder
 from censusloom.llm.common import cut, mapped, numbered, texts
 
 WINDOW = 2048
@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, wi
     """
 
     def make():
-        coder = Encoder(json_tokenizer(path))
+        coder = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
 
         def step(rows):

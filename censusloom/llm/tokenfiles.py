@@ -8,32 +8,45 @@ writer adds page indexes, so a reader that wants few documents or only their len
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from censusloom.llm.bpe import Encoder, json_tokenizer
-from censusloom.llm.common import mapped, texts
+from censusloom.llm.bpe import encoder
+from censusloom.llm.common import SLICE, small, texts
 from censusloom.runtime import scratch_folder
 
-FIELDS = {"doc_id": "long", "n_tokens": "long", "ids": "array<int>"}
+#: What the files hold. ``part`` and ``place`` give a row's place in the order of all, ``before`` the ids of its part before it.
+SCHEMA = "doc_id long, n_tokens long, part int, place long, before long, ids array<int>"
 
 
-def with_end(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
-    """``(doc_id, n_tokens, ids)`` of whole texts, each with ``end_id`` behind it."""
+def encoded_parts(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
+    """Whole texts as ids, each with ``end_id`` behind it, in the order and the parts they come in."""
 
-    def make():
-        coder = Encoder(json_tokenizer(path))
-        end = [] if end_id is None else [end_id]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, part, place, before = encoder(path), TaskContext.get().partitionId(), 0, 0
+        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                rows = batch.slice(at, SLICE)
+                found = coder(rows.column(1).to_pylist())
+                lengths = np.fromiter((len(ids) + len(end) for ids in found), np.int64, len(found)) // 4
+                ends = np.cumsum(lengths)
+                values = np.frombuffer(b"".join(found) if not end else end.join(found) + end, "<i4")
+                offsets = np.concatenate([[0], ends]).astype(np.int32)
+                columns = [
+                    rows.column(0), pa.array(lengths), pa.array(np.full(len(found), part, np.int32)),
+                    pa.array(np.arange(place, place + len(found))), pa.array(before + ends - lengths),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "part", "place", "before", "ids"])
+                place, before = place + len(found), before + int(ends[-1])
 
-        def step(rows):
-            ids = [np.append(np.frombuffer(b, "<u4").astype(np.int32), np.array(end, np.int32)) for b in coder(rows["text"])]
-            return {"doc_id": rows["doc_id"], "n_tokens": [len(i) for i in ids], "ids": ids}
-
-        return step
-
-    return mapped(texts(docs), make, FIELDS)
+    return texts(docs).mapInArrow(run, SCHEMA)
 
 
 def write_tokens(
@@ -41,19 +54,14 @@ def write_tokens(
 ) -> None:
     """Write the ids of all documents in ascending order of ``doc_id`` (nulls first).
 
-    Texts are dealt by ranges of ``doc_id`` and encoded after that. ``part`` and ``place`` give a row's
-    place in that order; rows with equal ``doc_id`` follow each other. A null text has only the end id;
-    other columns are left out; an empty table gives a folder that reads as empty.
+    Texts are dealt by ranges of ``doc_id`` and encoded after that; the task that writes a part counts its ids.
+    Rows with equal ``doc_id`` follow each other. A null text has only the end id; other columns are left out; an
+    empty table gives a folder that reads as empty.
     """
     ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    placed = (
-        with_end(ordered, path, end_id)
-        .withColumn("_row", F.monotonically_increasing_id())
-        .select("doc_id", "n_tokens", F.expr("shiftright(_row, 33)").cast("int").alias("part"),
-                F.col("_row").bitwiseAND((1 << 33) - 1).alias("place"), "ids")
-    )
     (
-        placed.write.option("compression", "zstd")
+        encoded_parts(ordered, path, end_id)
+        .write.option("compression", "zstd")
         .option("parquet.block.size", row_group_bytes)
         .option("parquet.page.row.count.limit", page_rows)
         .option("parquet.writer.version", "PARQUET_2_0")
@@ -66,36 +74,36 @@ def write_tokens(
 def read_tokens(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
     """Rows of the files, with ``start``, the number of ids of all documents before.
 
-    Without ``ids`` only the number columns are read. Starts inside a part are running sums, and
-    parts are added up from one row a part.
+    Without ``ids`` only the number columns are read. Parts are added up from one row a part, and a row's place in
+    its part was stored with it, so no row is shuffled.
     """
-    rows = spark.read.schema("doc_id long, n_tokens long, part int, place long, ids array<int>").parquet(folder)
-    return _with_start(rows if ids else rows.drop("ids"), rows.select("part", "n_tokens"))
+    rows = spark.read.schema(SCHEMA).parquet(folder)
+    return _with_start(rows if ids else rows.drop("ids"), rows)
 
 
-def _with_start(rows: DataFrame, lengths: DataFrame) -> DataFrame:
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    totals = lengths.groupBy("part").agg(F.sum("n_tokens").alias("_sum"))
-    bases = totals.select("part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
-    return rows.join(bases, "part").withColumn("start", start).drop("_base")
+def _with_start(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    totals = stored.groupBy("part").agg(F.max(F.col("before") + F.col("n_tokens")).alias("_sum"))
+    bases = small(totals.select("part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base")), 16)
+    return rows.join(bases, "part").withColumn("start", F.col("_base") + F.col("before")).drop("_base", "before")
 
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of the files in a folder; ids are read where they lie."""
 
-    def make():
-        def step(rows):
-            crc = [zlib.crc32(np.asarray(i, dtype="<u4").tobytes()) for i in rows["ids"]]
-            return {k: rows[k] for k in ("doc_id", "part", "place")} | {"n_tokens": [len(i) for i in rows["ids"]], "ids_crc32": crc}
-
-        return step
-
-    rows = spark.read.schema("doc_id long, n_tokens long, part int, place long, ids array<int>").parquet(folder)
-    fields = {"doc_id": "long", "part": "int", "place": "long", "n_tokens": "long", "ids_crc32": "long"}
-    found = mapped(rows.select("doc_id", "part", "place", "ids"), make, fields)
-    return _with_start(found, rows.select("part", "n_tokens")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            values = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<i4").view(np.uint8)
+            edges = (lists.offsets.to_numpy().astype(np.int64) * 4).tolist()
+            crc = [zlib.crc32(values[a:b]) for a, b in zip(edges, edges[1:])]
+            n = (np.diff(edges) // 4).astype(np.int64)
+            columns = [*(batch.column(i) for i in range(3)), pa.array(n), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "before", "n_tokens", "ids_crc32"])
+
+    rows = spark.read.schema(SCHEMA).parquet(folder)
+    found = rows.select("doc_id", "part", "before", "ids").mapInArrow(run, "doc_id long, part int, before long, n_tokens long, ids_crc32 long")
+    return _with_start(found, rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op9_token_files(spark, sf_dir):

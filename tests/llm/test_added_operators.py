@@ -238,3 +238,73 @@ def test_pruned_tree_keeps_its_parents(spark):
     whole, small = languages.fit(words)["x"], languages.fit(words, nodes=40)["x"]
     assert len(small.levels[-1].strings) <= 40 < len(whole.levels[-1].strings)
     assert np.isfinite(languages.code_lengths([b"the rarest \xff"], [small])).all()
+
+
+# --- byte-level BPE, part by part ----------------------------------------------------------------
+
+
+def _tiktoken():
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+POOLS = ["ab É", "ab'sdre ll", "a1 ,.\n", " \t\n\r a", "a²bⅧ1_", "'tT' re ve ", "日本 áb", "\x1c\x1d a　b' \xa0", "<|endoftext|> x", "́a ́"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(POOLS), st.lists(st.integers(0, 40), max_size=12)), max_size=5))
+def test_units_have_the_ids_of_the_whole_text(parts):
+    """Texts of letters, digits, apostrophes and all kinds of spaces, against the library on the whole text."""
+    import public_tokenizers
+
+    from censusloom.llm import bpe
+
+    text = "".join(pool[i % len(pool)] for pool, picks in parts for i in picks)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = bpe.json_tokenizer(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(bpe.encoder(path)([text])[0], "<u4").tolist() == want
+
+
+def test_forgetting_changes_no_ids(monkeypatch):
+    import public_tokenizers
+
+    from censusloom.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [f"word{i} Wörter, {i * 7919} the\nend's " * 3 for i in range(400)]
+    want = bpe.Encoder(bpe.json_tokenizer(path))(texts)
+    monkeypatch.setattr(bpe, "REMEMBERED", 500)
+    small = bpe.Encoder(bpe.json_tokenizer(path))
+    assert [small([t])[0] for t in texts] == want and small.known.size < 2000
+
+
+def test_round_trip_of_all_documents(spark):
+    """The query against tiktoken on every text, and the decoded bytes against the texts."""
+    coder = _tiktoken()
+    found = {r.doc_id: tuple(r)[1:] for r in queries.QUERIES["op10_byte_bpe"](spark, SF).collect()}
+    for doc_id, text in documents(spark):
+        ids = np.array(coder.encode_ordinary(text or ""), "<u4")
+        sha = hashlib.sha256((text or "").encode()).hexdigest()
+        assert found.pop(doc_id) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), sha)
+    assert not found
+
+
+def test_token_files_of_all_documents(spark):
+    import tokenizers
+
+    import public_tokenizers
+
+    plain = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    found, at = {r.doc_id: tuple(r)[1:] for r in queries.QUERIES["op9_token_files"](spark, SF).collect()}, 0
+    for doc_id, text in sorted(documents(spark)):
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        assert found.pop(doc_id) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert not found
