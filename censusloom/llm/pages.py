@@ -38,19 +38,27 @@ ENDS = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
 }
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
+#: Headings belong to what follows, whatever they are called.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of other languages, which may close themselves.
+FOREIGN = frozenset("svg math".split())
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("tag", "words", "children", "apart", "key")
+    __slots__ = ("tag", "words", "children", "apart", "named", "key", "size")
 
     def __init__(self, tag: str, attrs: list[tuple[str, str | None]]):
-        self.tag, self.children, self.key = tag, [], 0
+        self.tag, self.children, self.key, self.size = tag, [], 0, 0
         said = [v.lower() for k, v in attrs if k in ("class", "id", "role") and v]
         self.words = " ".join(said)
-        hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-        self.apart = tag in APART or tag in HIDDEN or hidden or any(not APART_WORDS.isdisjoint(WORD.findall(s)) for s in said)
+        hidden = any(
+            k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and UNSEEN.search(v.lower()) for k, v in attrs
+        )
+        self.apart = tag in APART or tag in HIDDEN or hidden
+        self.named = tag not in HEADINGS and any(not APART_WORDS.isdisjoint(WORD.findall(s)) for s in said)
 
 
 class Reader(HTMLParser):
@@ -84,7 +92,15 @@ class Reader(HTMLParser):
             self.open.append(element)
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+        if tag in HIDDEN or tag in FOREIGN:
+            self.open[-1].children.append(Element(tag, attrs))  # holds nothing
+        else:
+            self.handle_starttag(tag, attrs)
+
+    def parse_marked_section(self, i, report=1):
+        """A marked section, of whatever kind, is a comment up to the next ``>``."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
 
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, 0, -1):
@@ -103,6 +119,7 @@ def parse(html: str | None) -> Element:
     reader.feed(html or "")
     reader.close()
     hashed(reader.root)
+    measured(reader.root)
     return reader.root
 
 
@@ -124,6 +141,16 @@ def hashed(root: Element) -> None:
         element.key = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def measured(root: Element) -> None:
+    """Set aside elements that name themselves something else than the article, but none that holds most of the text."""
+    for element in _walk(root):
+        own = (c.size if isinstance(c, Element) else len(c.strip()) for c in element.children)
+        element.size = 0 if element.apart and element is not root else sum(own)
+    for element in _walk(root):
+        if element.named and 2 * element.size <= root.size:
+            element.apart = True
+
+
 def article(root: Element) -> list[Element]:
     """The outermost articles, else the outermost main parts, else the whole page."""
     for wanted in ("article", "main"):

@@ -289,8 +289,11 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFr
             out.append(b" ".join(parts).decode("utf-8", "surrogatepass"))
         return pd.Series(out, dtype=object)
 
-    ranged = _with_ranges(docs, window, run)
-    return ranged.withColumn("text", shortened("text", "_begins", "_ends")).select(*docs.columns)
+    # other columns travel as one, so that their names meet no other
+    others = [c for c in docs.columns if c != "text"]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_others"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ranged = _with_ranges(own, window, run).select("_others", shortened("text", "_begins", "_ends").alias("text"))
+    return ranged.select(*[F.col("text") if c == "text" else F.col("_others")[c].alias(c) for c in docs.columns])
 
 
 def op8_repeated_passages(spark, sf_dir):

@@ -308,3 +308,46 @@ def test_token_files_of_all_documents(spark):
         assert found.pop(doc_id) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert not found
+
+
+# --- pages and passages: odd input -----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<![ x]><p>a</p>", "a"), ("<![CDATA[x]]><p>b", "b"), ("<![if IE]><p>c</p><![endif]>", "c"),
+    ('<div class="content-with-sidebar"><p>main text</p></div>', "main text"),
+    ('<div class="search-page"><p>whole page</p></div>', "whole page"),
+    ('<div><h1 class="header-title">T</h1><p id="x">long enough text</p></div>', "T\nlong enough text"),
+    ("<svg/><p>rest</p>", "rest"), ("<object/><p>rest</p>", "rest"), ("<template><p>t</template><p>u</p>", "u"),
+    ('<div style="Display: none">x</div><p>shown</p>', "shown"), ("<!DOCTYPE html><!-><?php x ?><p>g", "g"),
+    ('<div class="sidebar"><p>few</p></div><p>much more than that</p>', "much more than that"), (None, ""), ("", ""),
+])
+def test_odd_pages(html, text):
+    from censusloom.llm import pages
+
+    assert pages.main_text(html, set()) == text
+
+
+MARKUP = ["<", ">", "!", "[", "]", "--", "/", "?", "p", "div", "svg", " class='ad'", "<!", "<![", "<!--", "</", "<p>", "</div>", "&amp;", "&#x;", "é", " ", "\n", "<script>", "<li>", "<td", "CDATA["]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(MARKUP), max_size=40))
+def test_no_markup_ends_the_job(parts):
+    from censusloom.llm import pages
+
+    text = pages.main_text("".join(parts), set())
+    assert text == "\n".join(line.strip() for line in text.split("\n") if line.strip()) and pages.subtrees("".join(parts))
+
+
+def test_cutting_passages_with_clashing_names(spark):
+    from censusloom.llm import repeats
+
+    passage = " ".join(f"w{i}" for i in range(30))
+    names = ["doc_id", "_id", "_version", "_begins", "_ends", "text", "_others", "id", "key"]
+    rows = [(i, 10 + i, "v", 1, 2, text, "o", 5, 6) for i, text in enumerate([f"one {passage}", f"two {passage} end", None])]
+    found = repeats.cut_repeats(spark.createDataFrame(rows, names))
+    assert found.columns == names
+    assert {r.doc_id: (r["_id"], r.text, r["_others"]) for r in found.collect()} == {
+        0: (10, f"one {passage}", "o"), 1: (11, "two end", "o"), 2: (12, None, "o"),
+    }
