@@ -3,11 +3,12 @@
 A window is a number of consecutive words. Each window is represented by the least hash of the short
 word runs inside it, which equal windows share; consecutive windows with the same least hash are a
 segment. Segments whose hash comes only once can't hold a repeated window. Equal segments are put
-together: all but the first repeat it whole. The different ones are cut out of the texts; their windows
-are counted, and those that come again are confirmed phrases, each with its first place. Phrases and
-segments are dealt to shards by the least hash; each shard compiles its phrases into an Aho-Corasick
-automaton over words and streams its segments through it, which gives every place of every phrase,
-word for word. All places but the first are removed.
+together: all but the first repeat it whole. The different ones are cut out of the texts. Where very many
+of them share a least hash, as around a common saying, they are cut again into single windows, and those
+that come only once are let go. Windows are counted, and those that come again are confirmed phrases, each
+with its first place. Phrases and segments are dealt to shards by the least hash, or by the window's own;
+each shard compiles its phrases into an Aho-Corasick automaton over words and streams its segments through
+it, which gives every place of every phrase, word for word. All places but the first are removed.
 """
 
 from __future__ import annotations
@@ -126,6 +127,38 @@ def with_words(keyed: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
     return mapped(keyed.join(wanted, ["id", "version"]), make, fields)
 
 
+def split_common(found: DataFrame, window: int) -> DataFrame:
+    """The segments, but those of a hash that more than ``STREAM`` of them share are cut into single windows.
+
+    A window goes by its own hash from there on, and windows whose hash comes only once are left out.
+    So a shard holds few phrases of a common hash, however many segments there are.
+    """
+    common = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > STREAM).select("key")
+    common = cut(common, "common")
+    if common.isEmpty():
+        return found
+
+    def make():
+        def step(rows):
+            out = {name: [] for name in fields}
+            for id_, version, first, words in zip(*(rows[k] for k in ("id", "version", "first", "words"))):
+                data = utf8(words)
+                starts, ends = bounds(data)
+                for at, key in enumerate(sequences(hashes(data, starts, ends), window).view(np.int64).tolist()):
+                    own = data[starts[at] : ends[at + window - 1]].decode("utf-8", "surrogatepass")
+                    for name, value in zip(fields, (id_, version, first + at, key, own)):
+                        out[name].append(value)
+            return out
+
+        return step
+
+    fields = {"id": "long", "version": "long", "first": "long", "key": "long", "words": "string"}
+    common = small(common, 16)
+    single = cut(mapped(found.join(common, "key").select("id", "version", "first", "words"), make, fields), "single")
+    again = single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return cut(found.join(common, "key", "left_anti").unionByName(single.join(again, "key")), "split")
+
+
 def confirmed_phrases(found: DataFrame, window: int) -> DataFrame:
     """``(id, version, first, starts)``: the windows that come again, at their first place, by segment."""
 
@@ -190,20 +223,11 @@ def _locate(window: int):
     return make
 
 
-def removed_words(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """``(id, version, begins, ends)``: word ranges to remove, of the documents that have any.
+def _sharded(found: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Segments, and phrases with their ``starts``, dealt to shards; a shard of many segments has several streams.
 
-    A range is covered by windows whose words also start earlier: in a smaller ``doc_id``, or in the
-    same document before. A missing ``doc_id`` comes last; rows with equal ``doc_id`` and start are the
-    same place.
+    The phrases of a shard go to each of its streams.
     """
-    keyed = _keyed(docs)
-    places = cut(repeated_segments(keyed, window, run), "places")
-    place = F.struct("id", "first", "version", "many").alias("p")
-    different = places.select("key", "own", place).groupBy("key", "own").agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("n"))
-    different = cut(different.select("key", "own", "p.*", "n"), "different")
-    found = cut(with_words(keyed, different, window), "segments")
-    phrases = cut(confirmed_phrases(found, window), "phrases")
     shards = max(1, -(-found.count() // SHARD))
     shard = F.pmod("key", F.lit(shards)).alias("shard")
     busy = found.groupBy(shard).agg(F.ceil(F.count(F.lit(1)) / STREAM).alias("streams")).where("streams > 1")
@@ -217,8 +241,25 @@ def removed_words(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Data
     spoken = spoken.join(busy, "shard", "left").select(
         "shard", F.explode(F.sequence(F.lit(0).cast("long"), several - 1)).alias("stream"), "id", "version", "first", "words", "starts",
     )
+    return stream.unionByName(spoken)
+
+
+def removed_words(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
+    """``(id, version, begins, ends)``: word ranges to remove, of the documents that have any.
+
+    A range is covered by windows whose words also start earlier: in a smaller ``doc_id``, or in the
+    same document before. A missing ``doc_id`` comes last; rows with equal ``doc_id`` and start are the
+    same place.
+    """
+    keyed = _keyed(docs)
+    places = cut(repeated_segments(keyed, window, run), "places")
+    place = F.struct("id", "first", "version", "many").alias("p")
+    different = places.select("key", "own", place).groupBy("key", "own").agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("n"))
+    different = cut(different.select("key", "own", "p.*", "n"), "different")
+    found = split_common(cut(with_words(keyed, different, window), "segments"), window)
+    phrases = cut(confirmed_phrases(found, window), "phrases")
     fields = {"id": "long", "version": "long", "begin": "long", "end": "long"}
-    ranges = runs(stream.unionByName(spoken), ["shard", "stream"], _locate(window), fields, least=2)
+    ranges = runs(_sharded(found, phrases), ["shard", "stream"], _locate(window), fields, least=2)
     first = different.where("n > 1").select("key", "own", F.col("id").alias("_id"), F.col("first").alias("_first"))
     again = places.join(first, ["key", "own"]).where("id <> _id or first <> _first")
     again = again.select("id", "version", F.col("first").alias("begin"), (F.col("first") + F.col("many") + window - 1).alias("end"))

@@ -213,6 +213,37 @@ def test_repeats(docs, none):
     assert repeats.without_repeats(none).count() == 0
 
 
+def test_passages_around_a_common_run(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SHARD", 50)
+    monkeypatch.setattr(repeats, "STREAM", 100)
+    rng, dealt, plain_dealt = random.Random(4), [], repeats._sharded
+
+    def counted(*args):
+        out = plain_dealt(*args).cache()
+        sizes = [r["count"] for r in out.groupBy("shard", "stream").count().collect()]
+        dealt.append((sum(sizes), max(sizes)))
+        return out
+
+    def run_hash(run):
+        data = run.encode()
+        return int(repeats.sequences(repeats.hashes(data, *repeats.bounds(data)), 6)[0])
+
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    # the least of many hashes, so that it is the least in each window that has it
+    common = min((" ".join(fresh(6)) for _ in range(3000)), key=run_hash).split()
+    monkeypatch.setattr(repeats, "_sharded", counted)
+    for contexts in (150, 600):
+        inner = [[*fresh(10), *common, *fresh(10)] for _ in range(contexts)]
+        docs = [(i, " ".join([*fresh(8), *inner[i % contexts], *fresh(8)])) for i in range(2 * contexts)]
+        docs += [(5000 + i, " ".join([*fresh(9), *common, *inner[0][:10], *fresh(9)])) for i in range(5)]
+        want = plain.kept_words(docs)
+        found = repeats.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert {r.doc_id: r.kept_text for r in found} == {i: " ".join(w for w, k in zip(*want[i]) if k) for i in want}
+        assert sum(r.n_removed for r in found) >= 26 * contexts
+    (rows, _), (many, largest) = dealt
+    assert many < 6 * rows and largest < 8 * 100
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 16))
