@@ -105,22 +105,28 @@ def estimates(one: np.ndarray, many: np.ndarray, minima: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, like: Likeness) -> DataFrame:
-    """``(doc_id, n_shingles, set_key, bands)`` of whole texts; without words the last two are null."""
+    """``(doc_id, version, n_shingles, set_key, bands, signature)`` of whole texts; without words the last three are null.
+
+    ``version`` is a hash of the text, and ``signature`` the low bits of all minima, packed.
+    """
 
     def make():
         signer = Signer(like)
 
         def step(rows):
             sets = [signer.shingles(t) for t in rows["text"]]
+            minima = [signer.minima(s) if len(s) else None for s in sets]
             return {
-                "doc_id": rows["doc_id"], "n_shingles": [len(s) for s in sets],
+                "doc_id": rows["doc_id"], "version": rows["version"], "n_shingles": [len(s) for s in sets],
                 "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                "bands": [signer.bands(signer.minima(s)) if len(s) else None for s in sets],
+                "bands": [None if m is None else signer.bands(m) for m in minima],
+                "signature": [None if m is None else signer.low_bits(m).tobytes() for m in minima],
             }
 
         return step
 
-    return mapped(texts(docs), make, {"doc_id": "long", "n_shingles": "long", "set_key": "binary", "bands": "array<long>"})
+    fields = {"doc_id": "long", "version": "long", "n_shingles": "long", "set_key": "binary", "bands": "array<long>", "signature": "binary"}
+    return mapped(texts(docs).withColumn("version", F.xxhash64("text")), make, fields)
 
 
 def families(sets: DataFrame) -> DataFrame:
@@ -135,8 +141,6 @@ def families(sets: DataFrame) -> DataFrame:
 
 def _links(like: Likeness):
     def make():
-        signer = Signer(like)
-
         def step(key, group: pa.Table):
             _, lo, hi = key
             node = group["node"].to_numpy()
@@ -146,7 +150,7 @@ def _links(like: Likeness):
             sets = [np.frombuffer(data[i], np.uint64) for i in order]
             node = node[order]
             size = np.array([len(s) for s in sets])
-            signs = np.array([signer.low_bits(signer.minima(s)) for s in sets])
+            signs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint64).reshape(len(sets), -1)[order]
             forest, a, b = Forest(len(sets)), [], []
             first: dict[int, int] = {}
             for i, known in enumerate(group["known"].to_numpy()[order].tolist()):
@@ -192,7 +196,7 @@ def _dealt(members: DataFrame, linked: DataFrame) -> DataFrame:
     ).where("not inner or others > 0")
     block = F.expr("if(inner, pmod(xxhash64(node), mains), mains + pmod(xxhash64(node), others))").alias("block")
     placed = placed.select("node", "known", block, F.expr("if(inner, mains, 0L)").alias("from"), (F.col("mains") + F.col("others") - 1).alias("to"))
-    dealt = members.select("node", "family", "shingles").join(placed, "node")
+    dealt = members.select("node", "family", "signature", "shingles").join(placed, "node")
     dealt = dealt.withColumn("_other", F.explode(F.sequence("from", "to"))).drop("from", "to")
     return dealt.withColumn("lo", F.least("block", "_other")).withColumn("hi", F.greatest("block", "_other")).drop("_other")
 
@@ -203,24 +207,27 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     Linked are documents whose full sets of shingles are alike; ``component_id`` is the smallest
     ``doc_id`` reachable by links. Words are runs of characters other than space and U+0009 to U+000D,
     with A to Z in lower case. A null text or one without words has no shingles and links with nothing.
-    Rows are kept one for one: rows with equal ``doc_id`` are told apart by their texts, and rows with
-    a null ``doc_id`` link with nothing, have a null component and are kept. Other columns are left out;
-    an empty table gives an empty table.
+    Rows are kept one for one: rows with equal ``doc_id`` and different sets are linked on their own, and
+    rows with a null ``doc_id`` link with nothing, have a null component and are kept. Other columns are
+    left out; an empty table gives an empty table.
     """
     found = cut(features(docs, like), "minhash")
     known = found.where("doc_id is not null and set_key is not null")
-    sets = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands")).alias("s"))
-    sets = cut(sets.select("set_key", F.col("s.doc_id").alias("node"), "s.bands"), "sets")
+    sets = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "version", "bands", "signature")).alias("s"))
+    # numbers of sets are fixed by being written
+    sets = cut(sets.select("set_key", "s.*", F.monotonically_increasing_id().alias("node")), "sets")
     family = cut(families(sets), "families")
-    members = texts(docs).join(small(family, 40), F.col("doc_id") == F.col("node")).select("node", "text", "family", "blocks")
+    chosen = sets.select("node", "doc_id", "version", "signature").join(small(family, 40), "node")
+    own = texts(docs).withColumn("version", F.xxhash64("text"))
+    members = own.join(chosen, ["doc_id", "version"]).select("node", "text", "family", "blocks", "signature")
 
     def make():
         signer = Signer(like)
-        return lambda rows: {k: rows[k] for k in ("node", "family", "blocks")} | {
+        return lambda rows: {k: rows[k] for k in ("node", "family", "blocks", "signature")} | {
             "shingles": [signer.shingles(t).tobytes() for t in rows["text"]]
         }
 
-    members = mapped(members, make, {"node": "long", "family": "long", "blocks": "long", "shingles": "binary"})
+    members = mapped(members, make, {"node": "long", "family": "long", "blocks": "long", "signature": "binary", "shingles": "binary"})
     members = cut(members, "members")
     fields = {"a": "long", "b": "long"}
     inside = []
@@ -231,8 +238,10 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     inside = inside[0].unionByName(inside[1])
     dealt = _dealt(members, components(inside, "inside"))
     edges = cut(runs(dealt, ["family", "lo", "hi"], _links(like), fields, least=2), "edges").unionByName(inside)
-    linked = components(edges, "links")
-    labels = sets.join(linked, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
+    linked = cut(sets.select("node", "set_key", "doc_id").join(components(edges, "links"), "node"), "linked")
+    lowest = linked.groupBy("component").agg(F.min("doc_id").alias("lowest"))
+    lone = sets.select("set_key", F.col("doc_id").alias("component")).join(linked, "set_key", "left_anti")
+    labels = lone.unionByName(linked.join(lowest, "component").select("set_key", F.col("lowest").alias("component")))
     out = found.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(

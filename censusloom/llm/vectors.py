@@ -191,12 +191,14 @@ def near_vectors(rows: DataFrame, views: Views = Views()) -> DataFrame:
     Linked are vectors with equal labels and a cosine of at least the threshold. Vectors that are null,
     zero or hold null or non-finite entries, and rows with a null label, link with nothing, as do rows
     with a null ``vec_id``, whose component is null and which are kept; vectors of different lengths
-    don't link. Equal vectors are linked and worked on once. Rows are kept one for one; other columns
-    are left out; an empty table gives an empty table.
+    don't link. Equal vectors are linked and worked on once. Rows are kept one for one; rows with equal
+    ``vec_id`` and different vectors are linked on their own; other columns are left out; an empty table
+    gives an empty table.
     """
     found = cut(features(rows), "vectors")
     own = found.where("vec_key is not null").groupBy("vec_key").agg(F.min(F.struct("vec_id", "label", "dim", "data")).alias("v"), F.count(F.lit(1)).alias("copies"))
-    distinct = cut(own.select("vec_key", F.col("v.vec_id").alias("node"), "v.label", "v.dim", "v.data", "copies"), "distinct")
+    # numbers of vectors are fixed by being written
+    distinct = cut(own.select("vec_key", "v.*", "copies", F.monotonically_increasing_id().alias("node")), "distinct")
     sizes = cut(distinct.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size")), "labels")
     celled = _celled(distinct.join(small(sizes, 64), ["label", "dim"]).select("label", "dim", "node", "copies", "size", "data"), views)
     cells = ["label", "dim", "view", "cell"]
@@ -207,9 +209,11 @@ def near_vectors(rows: DataFrame, views: Views = Views()) -> DataFrame:
     part = cut(runs(dealt, [*cells, "lo", "hi"], _links(views), fields, least=2), "links")
     linked = components(part.select(F.col("node").alias("a"), F.col("peer").alias("b")), "clusters")
     links = part.groupBy("node").agg(F.sum("links").alias("links"))
-    facts = distinct.select("vec_key", "node", "copies").join(links, "node", "left").join(linked, "node", "left")
-    facts = facts.select(
-        "vec_key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")
+    facts = distinct.select("vec_key", "vec_id", "node", "copies").join(links, "node", "left").join(linked, "node", "left")
+    facts = cut(facts.withColumn("component", F.coalesce("component", "node")), "facts")
+    lowest = facts.groupBy("component").agg(F.min("vec_id").alias("lowest"))
+    facts = facts.join(lowest, "component").select(
+        "vec_key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("lowest").alias("component")
     )
     out = found.select("vec_id", "vec_key").join(facts, "vec_key", "left")
     component = F.coalesce("component", "vec_id")

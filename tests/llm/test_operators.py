@@ -265,6 +265,17 @@ def test_vectors(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_equal_ids_are_linked_on_their_own(spark):
+    one, two = ([f"{side}{i}" for i in range(60)] for side in "ab")
+    rows = [(1, " ".join(one)), (5, " ".join(one + ["end"])), (5, " ".join(two)), (7, " ".join(two + ["end"])), (7, "alone here now")]
+    found = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == [(1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False), (7, 7, True)]
+    rows = [(1, [1.0, 0.0]), (5, [1.0, 0.1]), (5, [0.0, 1.0]), (7, [0.1, 1.0])]
+    rows = [(i, v, 1) for i, v in rows]
+    found = sorted(tuple(r) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert found == [(1, 1, 1, True), (5, 1, 1, False), (5, 1, 5, True), (7, 1, 5, False)]
+
+
 def test_near_duplicates_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
     rng = random.Random(3)
