@@ -883,7 +883,7 @@ def e3(spark, sf):
     folder = _spreadsheets(rows, f"concat('r', r_regionkey, '/c', c_custkey div 900, '_', c_custkey % 3, {_EXTENSION.format(n='c_custkey')})")
     schema = rows.select("c_custkey").schema
     done = jobs.spreadsheets_to_parquet(spark, f"{folder}/in", f"{folder}/out", schema)
-    read = [spark.read.parquet(p) for p in done.values()]
+    read = sinks.read_converted(spark, done)
     return reduce(DataFrame.unionByName, [df.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema]) for df in read])
 
 

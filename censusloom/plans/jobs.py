@@ -28,7 +28,7 @@ from censusloom.operators.counts import (
     join_census_with_coords,
 )
 from censusloom.runtime import scratch_folder
-from censusloom.sinks import FILE_BYTES, convert_to_parquet, to_parquet, write_csv_in_order
+from censusloom.sinks import Converted, FILE_BYTES, convert_to_parquet, to_parquet, write_csv_in_order
 from censusloom.sources.folders import load_gnaf_files_by_states, read_spreadsheets
 from censusloom.sources.shapes import stored_areas
 
@@ -225,6 +225,6 @@ def allocate(
 
 def spreadsheets_to_parquet(
     spark: SparkSession, input_dir: str, output_dir: str, schema: StructType | None = None
-) -> dict[str, str]:
+) -> Converted:
     """Convert a folder of spreadsheets to Parquet; ``schema`` fixes the types of the columns it names."""
     return convert_to_parquet(spark, input_dir, output_dir, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
@@ -20,6 +21,8 @@ log = logging.getLogger(__name__)
 
 #: Spark's own ``lz4`` uses another framing that few Parquet readers know.
 CODECS = {"gzip": "gzip", "lz4": "lz4_raw", "zstd": "zstd"}
+#: Folders moved at a time; a move is one short call to the file system.
+MOVES = 16
 
 
 def to_parquet(
@@ -114,9 +117,25 @@ def _finished(spark: SparkSession, output_dir: str) -> DataFrame:
     return list_files(spark, output_dir).select(root.alias("target")).where("target != ''").distinct()
 
 
+class Converted(dict[str, str]):
+    """Target by source of what was converted; ``columns`` has the names and types of each target."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.columns: dict[str, tuple[Sequence[str], Sequence[str]]] = {}
+
+
+def read_converted(spark: SparkSession, done: Converted) -> list[DataFrame]:
+    """What was converted, as one scan for all files with the same columns and types."""
+    groups: dict[tuple, list[str]] = {}
+    for target in done.values():
+        groups.setdefault(done.columns[target], []).append(target)
+    return [spark.read.schema(_no_rows(spark, *columns).schema).parquet(*targets) for columns, targets in groups.items()]
+
+
 def convert_to_parquet(
     spark: SparkSession, input_dir: str, output_dir: str, schema: T.StructType | None = None
-) -> dict[str, str]:
+) -> Converted:
     """Convert every spreadsheet under a folder to Parquet at the mirrored path.
 
     Finished targets are skipped, and a file that cannot be read is logged and passed over. Columns that
@@ -136,11 +155,11 @@ def convert_to_parquet(
         log.error("cannot convert %s: no reader for .xls", path)
     given = {f.name.lower(): f.dataType.simpleString() for f in schema or []}
     staging = f"{qualified(spark, output_dir)}/_converting-{uuid.uuid4().hex}"
-    done: dict[str, str] = {}
+    done = Converted()
     try:
         for extension, targets in sorted(work.items()):
             kind = _Workbooks if extension == ".xlsx" else _Texts
-            done |= _converted(kind(spark, list(targets), extension), targets, given, staging)
+            _convert(kind(spark, list(targets), extension), targets, given, staging, done)
     finally:
         _delete(spark, staging)
     return done
@@ -197,8 +216,8 @@ class _Workbooks:
         return {r.path: r.kinds for r in records.kinds(rows, ["path"], width, CELL_KIND).toLocalIterator()}
 
 
-def _converted(source: _Texts | _Workbooks, targets: dict[str, str], given: dict[str, str], staging: str) -> dict[str, str]:
-    """Convert the files of one format, those with the same columns together."""
+def _convert(source: _Texts | _Workbooks, targets: dict[str, str], given: dict[str, str], staging: str, done: Converted) -> None:
+    """Convert the files of one format, those with the same columns together, and add them to ``done``."""
     kinds, groups = source.kinds(), {}
     for path in targets:
         if path not in source.names:
@@ -208,7 +227,6 @@ def _converted(source: _Texts | _Workbooks, targets: dict[str, str], given: dict
         bits = kinds.get(path) or [0] * len(names)
         types = tuple(given.get(n.lower(), records.kind_type(b)) for n, b in zip(names, bits))
         groups.setdefault((names, types), []).append(path)
-    done: dict[str, str] = {}
     for (names, types), paths in groups.items():
         todo = [paths]
         while todo:
@@ -216,12 +234,12 @@ def _converted(source: _Texts | _Workbooks, targets: dict[str, str], given: dict
             try:
                 _write_group(source, names, types, {p: targets[p] for p in some}, f"{staging}/{uuid.uuid4().hex}")
                 done |= {p: targets[p] for p in some}
+                done.columns |= {targets[p]: (names, types) for p in some}
             except (PySparkException, Py4JError) as error:
                 if len(some) == 1:
                     log.error("cannot convert %s: %s", some[0], error)
                 else:  # the others of the group are converted without the one that can't be
                     todo += [some[: len(some) // 2], some[len(some) // 2 :]]
-    return done
 
 
 def _write_group(
@@ -234,41 +252,57 @@ def _write_group(
     numbers = broadcast_if(numbers, sum(map(len, order)) + 64 * len(order))
     rows = source.rows(order, len(names)).join(numbers, "path")
     columns = records.typed(rows, names, types, "get(cells, {0})")
-    rows.select("__file", *columns).write.partitionBy("__file").parquet(staging)
-    with_rows = {name.split("=")[1] for name in _children(spark, staging) if name.startswith("__file=")}
+    # the staging folder is private to this write, so tasks may move what they wrote to it by themselves
+    writer = rows.select("__file", *columns).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.partitionBy("__file").parquet(staging)
+    files = _Files(spark, staging)
+    with_rows = files.numbers("__file")
     if len(with_rows) < len(order):
-        none = spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in zip(names, types)])
-        none.write.parquet(f"{staging}/empty")
-    for number, path in enumerate(order):
-        if str(number) in with_rows:
-            _move(spark, f"{staging}/__file={number}", targets[path])
-        else:
-            _move(spark, f"{staging}/empty", targets[path], copy=True)
+        _no_rows(spark, names, types).write.parquet(f"{staging}/empty")
+    files.make({target.rsplit("/", 1)[0] for target in targets.values()})
 
+    def move(number: int, path: str) -> None:
+        if number in with_rows:
+            files.move(f"{staging}/__file={number}", targets[path])
+        else:
+            files.move(f"{staging}/empty", targets[path], copy=True)
 
-def _hadoop(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    with ThreadPoolExecutor(MOVES) as pool:
+        list(pool.map(move, range(len(order)), order))
 
 
-def _children(spark: SparkSession, folder: str) -> list[str]:
-    path, system = _hadoop(spark, folder)
-    return [status.getPath().getName() for status in system.listStatus(path)]
+def _no_rows(spark: SparkSession, names: Sequence[str], types: Sequence[str]) -> DataFrame:
+    return spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in zip(names, types)])
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
-    path, system = _hadoop(spark, folder)
-    system.delete(path, True)
-
-
-def _move(spark: SparkSession, folder: str, target: str, copy: bool = False) -> None:
-    """Put a finished folder in the place of what a cut-off conversion may have left there."""
-    source, system = _hadoop(spark, folder)
-    path, _ = _hadoop(spark, target)
-    system.delete(path, True)
-    system.mkdirs(path.getParent())
-    if copy:
-        conf = spark._jsc.hadoopConfiguration()
-        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(system, source, system, path, False, conf)
-    elif not system.rename(source, path):
-        raise PySparkException(f"cannot move {folder} to {target}")
+    files = _Files(spark, folder)
+    files.system.delete(files.path(folder), True)
+
+
+class _Files:
+    """The file system of a folder. What each call needs from the JVM is looked up once, as every look-up is a round trip."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        fs = spark._jvm.org.apache.hadoop.fs
+        self.path, self.util, self.conf = fs.Path, fs.FileUtil, spark._jsc.hadoopConfiguration()
+        self.folder = self.path(folder)
+        self.system = self.folder.getFileSystem(self.conf)
+
+    def numbers(self, column: str) -> set[int]:
+        """Values of the folders that a write by a column of numbers left."""
+        names = [path.getName() for path in self.util.stat2Paths(self.system.listStatus(self.folder))]
+        return {int(name.split("=")[1]) for name in names if name.startswith(f"{column}=")}
+
+    def make(self, folders: set[str]) -> None:
+        for folder in folders:
+            self.system.mkdirs(self.path(folder))
+
+    def move(self, folder: str, target: str, copy: bool = False) -> None:
+        """Put a finished folder in the place of what a cut-off conversion may have left there."""
+        source, path = self.path(folder), self.path(target)
+        self.system.delete(path, True)
+        if copy:
+            self.util.copy(self.system, source, self.system, path, False, self.conf)
+        elif not self.system.rename(source, path):
+            raise PySparkException(f"cannot move {folder} to {target}")

@@ -48,7 +48,8 @@ class Quotes:
 
     def __init__(self, spark: SparkSession, paths: list[str]):
         self.paths, self.step = sorted(paths), 0
-        lines = _lines(spark, paths).withColumn("id", F.monotonically_increasing_id())
+        self.lines = _lines(spark, paths)  # files are listed once
+        lines = self.lines.withColumn("id", F.monotonically_increasing_id())
         quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"')))
         facts = lines.groupBy("file", "block").agg(
             F.sum(quotes).alias("quotes"), F.max(quotes % 2).alias("odd"),
@@ -160,7 +161,7 @@ def records(spark: SparkSession, paths: list[str], quotes: Quotes) -> DataFrame:
     if sorted(paths) != quotes.paths:
         quotes = Quotes(spark, paths)
     inside, step = quotes.inside, quotes.step
-    cut = _lines(spark, paths).mapInArrow(
+    cut = quotes.lines.mapInArrow(
         lambda batches: _cut(batches, inside, step), "file string, first boolean, record string, block long, opens boolean, closes boolean"
     )
     found = cut.where("opens is null").select("file", "first", "record")

@@ -466,3 +466,28 @@ def test_conversion_of_a_relative_folder_and_equal_targets(spark, tmp_path, monk
         file.write("id|note\n1|x\n")
     with pytest.raises(ValueError, match="both become"):
         sinks.convert_to_parquet(spark, f"{tmp_path}/in", f"{tmp_path}/other")
+
+
+def test_converted_spreadsheets_are_read_by_their_columns(spark, tmp_path, rows):
+    """The conversion query reads files of the same columns as one scan, however many there are."""
+    import __spark_entry__ as entry
+
+    customers = [(i * 450, f"n{i}", i % 3) for i in range(40)]
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(3)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(0, "AFRICA"), (1, "ASIA")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    found = entry.queries()["e3_spreadsheets_to_parquet"](spark, str(tmp_path))
+    regions = {0: (0, "AFRICA"), 1: (1, "ASIA"), 2: (0, "AFRICA")}
+    assert rows(found) == sorted(((*regions[n], k) for k, _, n in customers), key=lambda r: [(False, str(v)) for v in r])
+    assert found._jdf.queryExecution().analyzed().collectLeaves().size() <= 2
+
+
+def test_converted_files_of_other_columns_are_apart(spark, tmp_path, rows):
+    from censusloom.sinks import read_converted
+
+    source = tmp_path / "in"
+    for name, text in (("a", "k,v\n1,x\n"), ("b", "k,v\n2,y\n"), ("c", "k,v\n2.5,z\n"), ("d", "k,v\n")):
+        put(source / f"{name}.csv", text)
+    done = convert_to_parquet(spark, str(source), str(tmp_path / "out"))
+    frames = {tuple(t for _, t in df.dtypes): rows(df) for df in read_converted(spark, done)}
+    assert frames == {("int", "string"): [(1, "x"), (2, "y")], ("double", "string"): [(2.5, "z")], ("string", "string"): []}
