@@ -27,8 +27,10 @@ CUT = re.compile(r" (?=\S)")
 LETTERS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 #: Characters that may be one piece with letters behind them: the apostrophe, and what only here counts as white space.
 UNCLEAR = "'\x1c\x1d\x1e\x1f"
-#: Bytes of text and ids remembered by a worker in each of its two tables, and the longest part that is; memory only, never results.
-REMEMBERED, LONGEST = 8 << 20, 40
+#: Marks that are pieces of their own right behind letters, at the end of a part.
+MARKS = frozenset(",.;:!?")
+#: Bytes of text and ids remembered by a worker, of parts and of units, and the longest part that is; memory only, never results.
+REMEMBERED, REMEMBERED_UNITS, LONGEST = 24 << 20, 6 << 20, 40
 
 
 @functools.lru_cache(maxsize=4)
@@ -83,19 +85,30 @@ def rank_tokenizer(path: str, pattern: str) -> Tokenizer:
 
 
 class Remembered(dict):
-    """Ids by text. When the texts take more than ``REMEMBERED`` bytes the older half is forgotten."""
+    """Ids by text. When they take half of ``limit`` bytes they become the older ones, and what was older is forgotten.
 
-    size = 0
+    A text found among the older ones is taken over, so one that comes again and again is never forgotten.
+    """
+
+    def __init__(self, limit: int) -> None:
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.limit, self.size = limit, 0
+
+    def __missing__(self, text: str) -> bytes | None:
+        ids = self.older.get(text)
+        if ids is not None:
+            self.add(text, ids)
+        return ids
 
     def add(self, text: str, ids: bytes) -> None:
         self[text] = ids
         self.size += len(text) + len(ids)
 
     def trim(self) -> None:
-        if self.size > REMEMBERED:
-            for text in list(self)[: len(self) // 2]:
-                del self[text]
-            self.size = sum(len(text) + len(ids) for text, ids in self.items())
+        if self.size > self.limit // 2:
+            self.older, self.size = dict(self), 0
+            self.clear()
 
 
 def _piecewise(tokenizer: Tokenizer) -> bool:
@@ -121,23 +134,23 @@ class Encoder:
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer, self.model = tokenizer, tokenizer.model
-        self.known, self.units = Remembered(), Remembered()
+        self.known, self.units = Remembered(REMEMBERED), Remembered(REMEMBERED_UNITS)
         self.piecewise = _piecewise(tokenizer)
 
     def _letters(self, word: str, space: str) -> bytes:
         """Ids of a run of letters, with a space before it or not."""
-        table, key = (self.known, word) if space else (self.units, word)
-        ids = table.get(key)
+        table = self.known if space else self.units
+        ids = table[word]
         if ids is None:
             found = self.model.tokenize(space + word if word.isascii() else space + _shown(word))
             ids = struct.pack(f"<{len(found)}I", *[token.id for token in found])
             if len(word) <= LONGEST:
-                table.add(key, ids)
+                table.add(word, ids)
         return ids
 
     def _unit(self, text: str) -> bytes:
         """Ids of any other stretch between two places where pieces begin."""
-        ids = self.units.get(text)
+        ids = self.units[text]
         if ids is None:
             found = self.tokenizer.encode(text, add_special_tokens=False).ids
             ids = struct.pack(f"<{len(found)}I", *found)
@@ -184,12 +197,18 @@ class Encoder:
                 for at, found in enumerate(ids):
                     if found is None:
                         part = rest[at]
-                        if piecewise and part.isalpha():
-                            found = self._letters(part, "\u0120")
-                        else:
-                            found = known.get(part) or self._part(" " + part)
-                            if len(part) <= LONGEST and part not in known:
-                                known.add(part, found)
+                        found = known[part]  # may be an older one, or have come before in this text
+                        if found is None:
+                            if piecewise and part.isalpha():
+                                found = self._letters(part, "\u0120")
+                            elif piecewise and part[-1] in MARKS and part[:-1].isalpha():
+                                found = self._letters(part[:-1], "\u0120") + self._unit(part[-1])
+                                if len(part) <= LONGEST:
+                                    known.add(part, found)
+                            else:
+                                found = self._part(" " + part)
+                                if len(part) <= LONGEST:
+                                    known.add(part, found)
                         ids[at] = found
             out.append((self._part(head) if head else b"") + b"".join(ids))
         known.trim()

@@ -351,3 +351,26 @@ def test_cutting_passages_with_clashing_names(spark):
     assert {r.doc_id: (r["_id"], r.text, r["_others"]) for r in found.collect()} == {
         0: (10, f"one {passage}", "o"), 1: (11, "two end", "o"), 2: (12, None, "o"),
     }
+
+
+def test_words_that_come_again_are_not_forgotten(monkeypatch):
+    """A word of every text is encoded once, however many others come between."""
+    import public_tokenizers
+
+    from censusloom.llm import bpe
+
+    monkeypatch.setattr(bpe, "REMEMBERED", 2000)
+    tokenizer = bpe.json_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    coder, asked = bpe.Encoder(tokenizer), []
+
+    class Model:
+        def tokenize(self, text):
+            asked.append(text)
+            return tokenizer.model.tokenize(text)
+
+    coder.model = Model()
+    letters = "abcdefghij"
+    batches = [[f"x again {letters[i % 10]}q{letters[i // 10]}{letters[k]}z again, ends." for k in range(10)] for i in range(40)]
+    plain = [[bytes(np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4")) for t in batch] for batch in batches]
+    assert [coder(batch) for batch in batches] == plain
+    assert asked.count("Ġagain") == 1 and len(asked) > 400
