@@ -13,6 +13,8 @@ from censusloom.runtime import BROADCAST_LIMIT, broadcast_if, written
 
 #: Rows handed to Python code at a time, so that its memory follows the longest texts only.
 SLICE = 256
+#: Edges of a part while components are found.
+EDGES = 100_000
 
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
@@ -164,29 +166,38 @@ def _smaller_first(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(*pair).mapInArrow(_contracted, "a long, b long").distinct()
 
 
+def _few_files(edges: DataFrame, rows: int) -> DataFrame:
+    """At most a file for each ``EDGES`` rows, and eight, as every file written has a cost of its own."""
+    return edges.coalesce(max(8, -(-rows // EDGES)))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every edge ``(a, b)`` leads from a node without other edges to one that leads nowhere."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.agg(F.coalesce(F.max(F.col("up") + F.least("up", "down")), F.lit(0)).alias("most")).first()["most"] <= 1
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Smallest node reachable from each node of ``edges (a, b)``: ``(node, component)``.
 
-    Alternates two steps until nothing changes: every node hands its larger neighbours to the
+    Alternates two steps until all edges lead to such a node: every node hands its larger neighbours to the
     smallest node it sees, then its smaller ones. Minima are aggregated before the shuffle and
-    joined back, so no neighbour list is ever held; edges are contracted inside each task.
-    Nodes without an edge are not in the result.
+    joined back, by a broadcast if there are few, so no neighbour list is ever held; edges are contracted
+    inside each task. Nodes without an edge are not in the result.
     """
     edges = cut(_smaller_first(edges.select(F.col("a").cast("long"), F.col("b").cast("long"))), label)
-    facts = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
-    state = edges.agg(*facts).first()
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = large.where("a <> b").distinct()
+    while not _stars(edges):
+        rows = edges.count()
+        size = rows * 64  # of the minima in a task's memory, at most
+        lowest = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("low"))
+        large = edges.join(broadcast_if(lowest, size), "b", "left").select("a", F.coalesce("low", "b").alias("b"))
         # every node a now has only smaller neighbours b
         lowest = large.groupBy("a").agg(F.min("b").alias("low"))
-        moved = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
-        edges = cut(_smaller_first(lowest.select("a", F.col("low").alias("b")).unionByName(moved)), label)
-        before, state = state, edges.agg(*facts).first()
-        if before == state:
-            break
+        both = F.explode(F.array("a", "b")).alias("a")
+        pairs = large.join(broadcast_if(lowest, size), "a").select(both, F.col("low").alias("b"))
+        edges = cut(_few_files(_smaller_first(pairs), rows), label)
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 

@@ -7,8 +7,8 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from censusloom.llm import bpe, minhash, packing, pages, personal, quality, queries, repeats, secrets, tokenfiles, vectors
-from censusloom.llm.common import components
+from censusloom.llm import bpe, common, minhash, packing, pages, personal, quality, queries, repeats, secrets, tokenfiles, vectors
+from censusloom.llm.common import components, cut
 from tests.compare import compare, duck
 from tests.llm import plain
 
@@ -190,6 +190,34 @@ def test_signatures_estimate_similarity():
     assert abs(minhash.estimates(signs[0], signs[1][None], like.minima)[0] - 1800 / 2200) < 0.15
 
 
+def test_components_stop_at_stars_and_write_few_files(spark, monkeypatch):
+    sizes = []
+
+    def counted(df, label):
+        out = cut(df, label)
+        sizes.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(common, "cut", counted)
+    star = spark.createDataFrame([(0, n) for n in range(1, 200)], "a long, b long")
+    assert {r.component for r in components(star).collect()} == {0}
+    assert len(sizes) == 1  # written once, without a round that changes nothing
+    path = spark.createDataFrame([(n, n + 1) for n in range(0, 400)], "a long, b long").repartition(40)
+    assert {r.component for r in components(path).collect()} == {0}
+    assert max(sizes[2:]) <= 8
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_components_of_random_links(spark, monkeypatch, sent):
+    if not sent:
+        monkeypatch.setattr(common, "broadcast_if", lambda df, size: df)
+    draw = random.Random(3)
+    links = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(7, 7), (299, 0), (299, 0)]
+    nodes = sorted({n for a, b in links if a != b for n in (a, b)})
+    edges = spark.createDataFrame(links, "a long, b long").repartition(9)
+    assert {r.node: r.component for r in components(edges).collect()} == plain.components(nodes, [x for x in links if x[0] != x[1]])
+
+
 def test_components_of_long_paths(spark):
     path = spark.range(60).selectExpr("id + 1 as a", "id as b").unionByName(spark.sql("select 100L a, 101L b"))
     found = {r.node: r.component for r in components(path).collect()}
