@@ -1,8 +1,8 @@
 """Byte-level BPE encoding with the tokenizers library, and decoding.
 
-Texts are cut before every space that a visible character follows. The pattern of byte-level BPE
-always starts a new piece there, so the ids of a text are the ids of its parts, one after another;
-ids of parts that come again are looked up. A part seen for the first time is cut further, where letters end and
+Texts are cut before every space, and every line break, that a visible character follows. The pattern of
+byte-level BPE always starts a new piece there, and one behind such a line break, so the ids of a text are the
+ids of its parts, one after another; ids of parts that come again are looked up. A part seen for the first time is cut further, where letters end and
 where they begin after something other than a space or an apostrophe; the pattern starts a new piece there
 too. A run of letters is a single piece, so it goes to the library's BPE model itself.
 """
@@ -31,6 +31,8 @@ UNCLEAR = "'\x1c\x1d\x1e\x1f"
 MARKS = frozenset(",.;:!?")
 #: Bytes of text and ids remembered by a worker, of parts and of units, and the longest part that is; memory only, never results.
 REMEMBERED, REMEMBERED_UNITS, LONGEST = 24 << 20, 6 << 20, 40
+#: Little-endian unsigned 32-bit integers, by how many.
+PACKED = [struct.Struct(f"<{n}I") for n in range(16)]
 
 
 @functools.lru_cache(maxsize=4)
@@ -115,7 +117,7 @@ def _piecewise(tokenizer: Tokenizer) -> bool:
     """Whether a run of letters, with a space before it or not, is one piece for this tokenizer."""
     if tokenizer.normalizer is not None or tokenizer.pre_tokenizer is None:
         return False
-    pieces = ["a", " bc", ".", " \u00e9", "12", "e", "'", "\n", "F", "_", "g"]
+    pieces = ["a", " bc", ".", " \u00e9", "12", "e", "'", "\n", "F", "_", "g", ".", "\n", "h", "\t", "\n", "3", "\n", "!"]
     return [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str("".join(pieces))] == [_shown(p) for p in pieces]
 
 
@@ -142,8 +144,8 @@ class Encoder:
         table = self.known if space else self.units
         ids = table[word]
         if ids is None:
-            found = self.model.tokenize(space + word if word.isascii() else space + _shown(word))
-            ids = struct.pack(f"<{len(found)}I", *[token.id for token in found])
+            found = [token.id for token in self.model.tokenize(space + word if word.isascii() else space + _shown(word))]
+            ids = PACKED[len(found)].pack(*found) if len(found) < len(PACKED) else struct.pack(f"<{len(found)}I", *found)
             if len(word) <= LONGEST:
                 table.add(word, ids)
         return ids
@@ -186,32 +188,55 @@ class Encoder:
             out.append(self._unit(held))
         return b"".join(out)
 
+    def _new(self, part: str) -> bytes:
+        """Ids of a part that is not known: of one that begins with a line break, or else of the part with a space before it."""
+        if not self.piecewise:
+            found = self._part(" " + part)
+        else:
+            space, word = ("", part[1:]) if part[0] == "\n" else ("\u0120", part)
+            if word.isalpha():
+                found = self._letters(word, space)
+                if space:
+                    return found
+            elif word[-1] in MARKS and word[:-1].isalpha():
+                found = self._letters(word[:-1], space) + self._unit(word[-1])
+            else:
+                found = self._part(" " + word if space else word)
+            if not space:
+                found = self._unit("\n") + found
+        if len(part) <= LONGEST:
+            self.known.add(part, found)
+        return found
+
+    def _text(self, text: str) -> bytes:
+        """Ids of a whole text."""
+        known, older, piecewise = self.known, self.known.older, self.piecewise
+        # a line break that something visible follows is a piece of its own
+        head, *rest = (text.replace("\n", " \n") if piecewise else text).split(" ")
+        ids, at = list(map(known.get, rest)), -1
+        for _ in range(ids.count(None)):
+            at = ids.index(None, at + 1)
+            part = rest[at]
+            found = known.get(part)  # may have come before in this text
+            if found is None:
+                found = older.get(part)
+                if found is not None:
+                    known.add(part, found)
+                else:
+                    first = part[1:2] if piecewise and part[:1] == "\n" else part[:1]
+                    if not first or first.isspace():  # white space in a row is cut before its last space only
+                        head, *rest = CUT.split(text)
+                        ids = [known[part] or self._new(part) for part in rest]
+                        break
+                    found = self._new(part)
+            ids[at] = found
+        return (self._part(head) if head else b"") + b"".join(ids)
+
     def __call__(self, batch: list[str | None]) -> list[bytes]:
-        known, out, piecewise = self.known, [], self.piecewise
         collecting = gc.isenabled()
         gc.disable()  # nothing made here refers back to itself; looking through the tables costs a fifth of the time
-        for text in batch:
-            head, *rest = CUT.split(text or "")
-            ids = list(map(known.get, rest))
-            if None in ids:
-                for at, found in enumerate(ids):
-                    if found is None:
-                        part = rest[at]
-                        found = known[part]  # may be an older one, or have come before in this text
-                        if found is None:
-                            if piecewise and part.isalpha():
-                                found = self._letters(part, "\u0120")
-                            elif piecewise and part[-1] in MARKS and part[:-1].isalpha():
-                                found = self._letters(part[:-1], "\u0120") + self._unit(part[-1])
-                                if len(part) <= LONGEST:
-                                    known.add(part, found)
-                            else:
-                                found = self._part(" " + part)
-                                if len(part) <= LONGEST:
-                                    known.add(part, found)
-                        ids[at] = found
-            out.append((self._part(head) if head else b"") + b"".join(ids))
-        known.trim()
+        out = [self._text(text or "") for text in batch]
+        self.known.trim()
         self.units.trim()
         if collecting:
             gc.enable()

@@ -218,6 +218,16 @@ def test_components_of_random_links(spark, monkeypatch, sent):
     assert {r.node: r.component for r in components(edges).collect()} == plain.components(nodes, [x for x in links if x[0] != x[1]])
 
 
+def test_words_behind_line_breaks_are_remembered():
+    tokenizer = bpe.json_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    coder = bpe.Encoder(tokenizer)
+    draw = random.Random(4)
+    stuff = ["word", "Line", ".", ",", "'s", " ", "\n", "\r\n", "\t", "\x1c", "\u0085", "1", "\u00e9", "\u3000", "\U0001f600", "_"]
+    batch = ["some words.\nLine two,\nLine three", *("".join(draw.choices(stuff, k=draw.randrange(16))) for _ in range(3000))]
+    assert coder(batch) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in batch]
+    assert {"\nLine", "two,"} <= coder.known.keys()
+
+
 def test_components_of_long_paths(spark):
     path = spark.range(60).selectExpr("id + 1 as a", "id as b").unionByName(spark.sql("select 100L a, 101L b"))
     found = {r.node: r.component for r in components(path).collect()}
