@@ -30,7 +30,7 @@ UNCLEAR = "'\x1c\x1d\x1e\x1f"
 #: Marks that are pieces of their own right behind letters, at the end of a part.
 MARKS = frozenset(",.;:!?")
 #: Bytes of text and ids remembered by a worker, of parts and of units, and the longest part that is; memory only, never results.
-REMEMBERED, REMEMBERED_UNITS, LONGEST = 24 << 20, 6 << 20, 40
+REMEMBERED, REMEMBERED_UNITS, LONGEST = 12 << 20, 6 << 20, 40
 #: Little-endian unsigned 32-bit integers, by how many.
 PACKED = [struct.Struct(f"<{n}I") for n in range(16)]
 

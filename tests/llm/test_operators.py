@@ -1,6 +1,7 @@
 import random
 import hashlib
 import math
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -228,6 +229,16 @@ def test_words_behind_line_breaks_are_remembered():
     assert {"\nLine", "two,"} <= coder.known.keys()
 
 
+def test_memory_of_remembered_words_is_bounded():
+    coder = bpe.Encoder(bpe.json_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
+    letters = "abcdefghijklmnopqrst"
+    names = ["".join(letters[n // 20**i % 20] for i in range(5)) for n in range(600_000)]
+    for at in range(0, len(names), 10_000):
+        coder([" " + " ".join(names[at : at + 10_000])])
+    tables = (coder.known, coder.known.older, coder.units, coder.units.older)
+    assert sum(sys.getsizeof(t) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in t.items()) for t in tables) < 100 << 20
+
+
 def test_components_of_long_paths(spark):
     path = spark.range(60).selectExpr("id + 1 as a", "id as b").unionByName(spark.sql("select 100L a, 101L b"))
     found = {r.node: r.component for r in components(path).collect()}
