@@ -4,7 +4,8 @@ Texts are cut before every space, and every line break, that a visible character
 byte-level BPE always starts a new piece there, and one behind such a line break, so the ids of a text are the
 ids of its parts, one after another; ids of parts that come again are looked up. A part seen for the first time is cut further, where letters end and
 where they begin after something other than a space or an apostrophe; the pattern starts a new piece there
-too. A run of letters is a single piece, so it goes to the library's BPE model itself.
+too. A run of letters is a single piece, so it goes to the library's BPE model itself; runs with a space before
+them go there many at a time, as no token of the model reaches from one into the next.
 """
 
 from __future__ import annotations
@@ -14,10 +15,14 @@ import functools
 import gc
 import hashlib
 import re
+import string
 import struct
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
@@ -29,8 +34,14 @@ LETTERS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 UNCLEAR = "'\x1c\x1d\x1e\x1f"
 #: Marks that are pieces of their own right behind letters, at the end of a part.
 MARKS = frozenset(",.;:!?")
+#: What may follow letters up to the end of a part, and is cut off there; other marks only take longer.
+TAIL = string.punctuation + string.digits
 #: Bytes of text and ids remembered by a worker, of parts and of units, and the longest part that is; memory only, never results.
 REMEMBERED, REMEMBERED_UNITS, LONGEST = 12 << 20, 6 << 20, 40
+#: Runs of letters that go to the model together, at most; fewer than ``FEW`` go alone.
+TOGETHER, FEW = 256, 16
+#: Bytes of text, from one text on, whose different parts are looked up together.
+BYTES = 1 << 21
 #: Little-endian unsigned 32-bit integers, by how many.
 PACKED = [struct.Struct(f"<{n}I") for n in range(16)]
 
@@ -107,6 +118,11 @@ class Remembered(dict):
         self[text] = ids
         self.size += len(text) + len(ids)
 
+    def take(self, found: dict[str, bytes]) -> None:
+        found = {text: ids for text, ids in found.items() if len(text) <= LONGEST}
+        self.update(found)
+        self.size += sum(map(len, found)) + sum(map(len, found.values()))
+
     def trim(self) -> None:
         if self.size > self.limit // 2:
             self.older, self.size = dict(self), 0
@@ -121,6 +137,21 @@ def _piecewise(tokenizer: Tokenizer) -> bool:
     return [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str("".join(pieces))] == [_shown(p) for p in pieces]
 
 
+def _crossing(model: models.Model) -> tuple[str, ...] | None:
+    """What must not stand where a run ends and the space before the next begins; None if the model needs every run alone.
+
+    Merges only make tokens of the vocabulary. So runs can't affect each other where no token holds the end of one and the next space.
+    """
+    if not isinstance(model, models.BPE) or model.dropout or model.ignore_merges or model.unk_token is not None:
+        return None
+    if model.continuing_subword_prefix or model.end_of_word_suffix or model.byte_fallback:
+        return None
+    tokens = Tokenizer(model).get_vocab()
+    if not tokens.keys() >= set(byte_characters()):
+        return None
+    return tuple({before + "\u0120" for token in tokens for before in token.split("\u0120")[:-1] if before})
+
+
 _SHOWN: dict[int, str] = {}
 
 
@@ -134,10 +165,14 @@ def _shown(text: str) -> str:
 class Encoder:
     """Ids of texts as bytes of little-endian unsigned 32-bit integers."""
 
-    def __init__(self, tokenizer: Tokenizer):
+    def __init__(self, tokenizer: Tokenizer, less: int = 1):
         self.tokenizer, self.model = tokenizer, tokenizer.model
-        self.known, self.units = Remembered(REMEMBERED), Remembered(REMEMBERED_UNITS)
+        self.known, self.units = Remembered(REMEMBERED // less), Remembered(REMEMBERED_UNITS // less)
         self.piecewise = _piecewise(tokenizer)
+        self.crossing = _crossing(self.model) if self.piecewise else None
+        #: Whether a token begins with a space, by id.
+        self.spaced = np.zeros(max(tokenizer.get_vocab().values(), default=-1) + 1, bool)
+        self.spaced[[i for token, i in tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
 
     def _letters(self, word: str, space: str) -> bytes:
         """Ids of a run of letters, with a space before it or not."""
@@ -208,45 +243,112 @@ class Encoder:
             self.known.add(part, found)
         return found
 
+    def _together(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of runs of letters, each with a space before it."""
+        for at in range(0, len(words), TOGETHER):
+            own = words[at : at + TOGETHER]
+            shown = [_shown(" " + " ".join(own))]
+            if len(words) < FEW or any(end in shown[0] for end in self.crossing):
+                shown = [_shown(" " + word) for word in own]
+            ids = np.array([token.id for text in shown for token in self.model.tokenize(text)], "<u4")
+            data, edges = ids.tobytes(), (4 * np.flatnonzero(self.spaced[ids])).tolist()
+            yield from (data[a:b] for a, b in zip(edges, [*edges[1:], len(data)]))
+
+    def _unknown(self, parts: Iterable[str]) -> dict[str, bytes]:
+        """Ids of parts that are not among the newer ones known; runs of letters that begin them go to the model together."""
+        if self.crossing is None:
+            return {part: self.known[part] or self._new(part) for part in parts}
+        known, older, found, new, marked = self.known, self.known.older, {}, {}, []
+        for part in parts:
+            ids = older.get(part)
+            if ids is not None:
+                found[part] = ids
+            elif part.isalpha():
+                new[part] = None
+            elif (word := part.rstrip(TAIL)).isalpha():
+                marked.append((part, word))
+                if word not in known and word not in older:
+                    new[word] = None
+            else:
+                found[part] = self._new(part)
+        if new:
+            found.update(zip(new, self._together(list(new))))
+        for part, word in marked:
+            found[part] = (found.get(word) or known[word]) + self._unit(part[len(word) :])
+        known.take(found)
+        return found
+
     def _text(self, text: str) -> bytes:
-        """Ids of a whole text."""
-        known, older, piecewise = self.known, self.known.older, self.piecewise
-        # a line break that something visible follows is a piece of its own
-        head, *rest = (text.replace("\n", " \n") if piecewise else text).split(" ")
-        ids, at = list(map(known.get, rest)), -1
-        for _ in range(ids.count(None)):
-            at = ids.index(None, at + 1)
-            part = rest[at]
-            found = known.get(part)  # may have come before in this text
-            if found is None:
-                found = older.get(part)
-                if found is not None:
-                    known.add(part, found)
-                else:
-                    first = part[1:2] if piecewise and part[:1] == "\n" else part[:1]
-                    if not first or first.isspace():  # white space in a row is cut before its last space only
-                        head, *rest = CUT.split(text)
-                        ids = [known[part] or self._new(part) for part in rest]
-                        break
-                    found = self._new(part)
-            ids[at] = found
+        """Ids of a whole text, cut at spaces only."""
+        head, *rest = CUT.split(text)  # white space in a row is cut before its last space
+        ids = [self.known[part] or self._new(part) for part in rest]
         return (self._part(head) if head else b"") + b"".join(ids)
 
-    def __call__(self, batch: list[str | None]) -> list[bytes]:
+    @staticmethod
+    def _blank(part: str) -> bool:
+        """Whether a part comes from white space in a row, which is cut before its last space only."""
+        first = part[1:2] if part[:1] == "\n" else part[:1]
+        return not first or first.isspace()
+
+    def _texts(self, batch: pa.StringArray) -> list[bytes]:
+        """Ids of texts; each different part is looked up once, and ids are put in their places as arrays."""
+        cuts = pc.split_pattern(pc.replace_substring(batch, "\n", " \n"), " ")  # a line break is a piece of its own
+        edges = cuts.offsets.to_numpy().astype(np.int64) - cuts.offsets[0].as_py()
+        coded = cuts.flatten().dictionary_encode()
+        parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        which = coded.indices.to_numpy().astype(np.int64)
+        heads, first = pc.list_element(cuts, 0).to_pylist(), len(parts)
+        which[edges[:-1]] = first + np.arange(len(heads))  # no space is before them
+        used = np.zeros(first + len(heads), bool)
+        used[which] = True
+        ids = list(map(self.known.get, parts))
+        missing = [at for at, (found, here) in enumerate(zip(ids, used.tolist())) if found is None and here]
+        blank = [at for at in missing if self._blank(parts[at])]
+        unknown = {parts[at]: at for at in (missing if not blank else sorted(set(missing).difference(blank)))}
+        for part, own in self._unknown(unknown).items():
+            if part in unknown:
+                ids[unknown[part]] = own
+        ids = [own or b"" for own in ids]  # of blank parts, and of those that only are heads
+        ids += [self._part(head) if head else b"" for head in heads]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        many = sizes[which]
+        ends = np.concatenate(([0], np.cumsum(many)))
+        place = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], many)
+        place += np.arange(len(place))
+        data, ends = np.frombuffer(b"".join(ids), "<u4")[place].tobytes(), (4 * ends[edges]).tolist()
+        out = [data[a:b] for a, b in zip(ends, ends[1:])]
+        if blank:  # white space in a row, which is not cut like this
+            used[:] = False
+            used[blank] = True
+            for i in np.unique(np.searchsorted(edges, np.flatnonzero(used[which]), "right") - 1).tolist():
+                out[i] = self._text(batch[i].as_py())
+        return out
+
+    def __call__(self, batch: list[str | None] | pa.StringArray) -> list[bytes]:
         collecting = gc.isenabled()
         gc.disable()  # nothing made here refers back to itself; looking through the tables costs a fifth of the time
-        out = [self._text(text or "") for text in batch]
-        self.known.trim()
-        self.units.trim()
+        texts, out, at = pc.fill_null(pa.array(batch, pa.string()) if isinstance(batch, list) else batch, ""), [], 0
+        if not self.piecewise:
+            out, at = [self._text(text) for text in texts.to_pylist()], len(texts)
+        before = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)))
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(before, before[at] + BYTES, "right")) - 1)
+            out += self._texts(texts.slice(at, end - at))
+            self.known.trim()
+            self.units.trim()
+            at = end
         if collecting:
             gc.enable()
         return out
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, pattern: str | None = None) -> Encoder:
-    """The encoder of a worker process: tasks that follow each other there find what was remembered."""
-    return Encoder(rank_tokenizer(path, pattern) if pattern else json_tokenizer(path))
+def encoder(path: str, pattern: str | None = None, less: int = 1) -> Encoder:
+    """The encoder of a worker process: tasks that follow each other there find what was remembered.
+
+    It remembers a part, one by ``less``, of the usual bytes; what is remembered stays in the worker when other work follows.
+    """
+    return Encoder(rank_tokenizer(path, pattern) if pattern else json_tokenizer(path), less)
 
 
 def encode(

@@ -17,9 +17,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from censusloom.llm.bpe import encoder
-from censusloom.llm.common import SLICE, small, texts
+from censusloom.llm.common import small, texts
 from censusloom.runtime import scratch_folder
 
+#: Rows encoded at a time; the encoder takes less of them at once if their texts are long.
+ROWS = 1024
 #: What the files hold. ``part`` and ``place`` give a row's place in the order of all, ``before`` the ids of its part before it.
 SCHEMA = "doc_id long, n_tokens long, part int, place long, before long, ids array<int>"
 
@@ -31,9 +33,9 @@ def encoded_parts(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
         coder, part, place, before = encoder(path), TaskContext.get().partitionId(), 0, 0
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                rows = batch.slice(at, SLICE)
-                found = coder(rows.column(1).to_pylist())
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                found = coder(rows.column(1))
                 lengths = np.fromiter((len(ids) + len(end) for ids in found), np.int64, len(found)) // 4
                 ends = np.cumsum(lengths)
                 values = np.frombuffer(b"".join(found) if not end else end.join(found) + end, "<i4")

@@ -374,3 +374,29 @@ def test_words_that_come_again_are_not_forgotten(monkeypatch):
     plain = [[bytes(np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4")) for t in batch] for batch in batches]
     assert [coder(batch) for batch in batches] == plain
     assert asked.count("Ġagain") == 1 and len(asked) > 400
+
+
+def test_new_words_go_to_the_model_together(monkeypatch):
+    """Ids are those of the whole text, and a text of new words asks the model far less often than once a word."""
+    import public_tokenizers
+
+    from censusloom.llm import bpe
+
+    tokenizer = bpe.json_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    coder, asked = bpe.Encoder(tokenizer), []
+
+    class Model:
+        def tokenize(self, text):
+            asked.append(text)
+            return tokenizer.model.tokenize(text)
+
+    coder.model = Model()
+    letters = "abcdefghij"
+    words = [f"é{letters[i % 10]}o{letters[i // 10 % 10]}à{letters[i // 100]}" + (",", "", "$$", " x")[i % 4] for i in range(1000)]
+    batch = [" ".join(words[i : i + 50]) + end for i, end in zip(range(0, 1000, 50), ("", "\n", "\nend of it", "  two", "    ", "\n\n") * 4)]
+    batch += ["", None, " ", "\n", "a", " a", "\na", "a\n a"]
+    plain = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in batch]
+    assert coder(batch) == plain and coder(batch) == plain
+    assert len(asked) < 500
+    monkeypatch.setattr(bpe, "BYTES", 100)
+    assert bpe.Encoder(tokenizer)(batch) == plain
