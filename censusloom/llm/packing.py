@@ -21,6 +21,8 @@ from censusloom.llm.bpe import encoder
 from censusloom.llm.common import cut, mapped, numbered, texts
 
 WINDOW = 2048
+#: An encoder remembers this many times fewer bytes here, as its worker goes on to other stages of a pipeline with them.
+LESS = 2
 
 
 def best_fill(room: int, counts: dict[int, int]) -> dict[int, int]:
@@ -87,7 +89,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, wi
     """
 
     def make():
-        coder = encoder(path)
+        coder = encoder(path, less=LESS)
         end = np.array([end_id], "<u4").tobytes()
 
         def step(rows):

@@ -400,3 +400,12 @@ def test_new_words_go_to_the_model_together(monkeypatch):
     assert len(asked) < 500
     monkeypatch.setattr(bpe, "BYTES", 100)
     assert bpe.Encoder(tokenizer)(batch) == plain
+
+
+def test_packing_remembers_less():
+    import public_tokenizers
+
+    from censusloom.llm import bpe, packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert bpe.encoder(path, less=packing.LESS).known.limit * packing.LESS == bpe.encoder(path).known.limit
