@@ -4,8 +4,12 @@ Texts are cut before every space, and every line break, that a visible character
 byte-level BPE always starts a new piece there, and one behind such a line break, so the ids of a text are the
 ids of its parts, one after another; ids of parts that come again are looked up. A part seen for the first time is cut further, where letters end and
 where they begin after something other than a space or an apostrophe; the pattern starts a new piece there
-too. A run of letters is a single piece, so it goes to the library's BPE model itself; runs with a space before
-them go there many at a time, as no token of the model reaches from one into the next.
+too. A run of letters is a single piece, so it goes to the library's BPE model itself; runs with a space or a line
+break before them go there many at a time, as no token of the model reaches from one into the next.
+
+A slice of texts with many different parts looks nothing up: its parts stay Arrow arrays, those that are letters and marks are
+told apart there, and every different run of letters goes to the model once a slice. That takes less time than a table of words
+that grows with the texts, and less memory; the larger the slice, the fewer the runs.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
-from censusloom.llm.common import mapped, texts
+from censusloom.llm.common import byte_cuts, mapped, texts
 
 CUT = re.compile(r" (?=\S)")
 LETTERS = re.compile(r"[^\W\d_]+|[\W\d_]+")
@@ -39,9 +43,9 @@ TAIL = string.punctuation + string.digits
 #: Bytes of text and ids remembered by a worker, of parts and of units, and the longest part that is; memory only, never results.
 REMEMBERED, REMEMBERED_UNITS, LONGEST = 12 << 20, 6 << 20, 40
 #: Runs of letters that go to the model together, at most; fewer than ``FEW`` go alone.
-TOGETHER, FEW = 256, 16
-#: Bytes of text, from one text on, whose different parts are looked up together.
-BYTES = 1 << 21
+TOGETHER, FEW = 64, 16
+#: Bytes of text, from one text on, whose different parts are encoded together, and the number of parts from which none is looked up.
+BYTES, MANY = 1 << 24, 1 << 12
 #: Little-endian unsigned 32-bit integers, by how many.
 PACKED = [struct.Struct(f"<{n}I") for n in range(16)]
 
@@ -138,9 +142,10 @@ def _piecewise(tokenizer: Tokenizer) -> bool:
 
 
 def _crossing(model: models.Model) -> tuple[str, ...] | None:
-    """What must not stand where a run ends and the space before the next begins; None if the model needs every run alone.
+    """What must not stand where a run ends and the space or line break before the next begins; None if the model needs every run alone.
 
-    Merges only make tokens of the vocabulary. So runs can't affect each other where no token holds the end of one and the next space.
+    Merges only make tokens of the vocabulary. So runs can't affect each other where no token holds the end of one and the next space,
+    or a line break and anything else.
     """
     if not isinstance(model, models.BPE) or model.dropout or model.ignore_merges or model.unk_token is not None:
         return None
@@ -149,7 +154,8 @@ def _crossing(model: models.Model) -> tuple[str, ...] | None:
     tokens = Tokenizer(model).get_vocab()
     if not tokens.keys() >= set(byte_characters()):
         return None
-    return tuple({before + "\u0120" for token in tokens for before in token.split("\u0120")[:-1] if before})
+    spaces = {before + "\u0120" for token in tokens for before in token.split("\u0120")[:-1] if before}
+    return tuple(spaces | {token for token in tokens if "\u010a" in token and token.strip("\u010a")})
 
 
 _SHOWN: dict[int, str] = {}
@@ -162,6 +168,20 @@ def _shown(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SHOWN)
 
 
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    """Little-endian 32-bit integers as one list for each."""
+    ends = np.cumsum([0, *map(len, ids)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
+def _ends(texts: pa.StringArray, sizes: np.ndarray) -> pa.StringArray:
+    """The last bytes of texts, by how many."""
+    ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    stops = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset + 1 : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[np.repeat(stops - ends[1:], sizes) + np.arange(ends[-1])]
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
+
+
 class Encoder:
     """Ids of texts as bytes of little-endian unsigned 32-bit integers."""
 
@@ -170,9 +190,9 @@ class Encoder:
         self.known, self.units = Remembered(REMEMBERED // less), Remembered(REMEMBERED_UNITS // less)
         self.piecewise = _piecewise(tokenizer)
         self.crossing = _crossing(self.model) if self.piecewise else None
-        #: Whether a token begins with a space, by id.
+        #: Whether a token begins with a space or a line break, by id.
         self.spaced = np.zeros(max(tokenizer.get_vocab().values(), default=-1) + 1, bool)
-        self.spaced[[i for token, i in tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+        self.spaced[[i for token, i in tokenizer.get_vocab().items() if token.startswith(("\u0120", "\u010a"))]] = True
 
     def _letters(self, word: str, space: str) -> bytes:
         """Ids of a run of letters, with a space before it or not."""
@@ -290,34 +310,73 @@ class Encoder:
         first = part[1:2] if part[:1] == "\n" else part[:1]
         return not first or first.isspace()
 
-    def _texts(self, batch: pa.StringArray) -> list[bytes]:
-        """Ids of texts; each different part is looked up once, and ids are put in their places as arrays."""
-        cuts = pc.split_pattern(pc.replace_substring(batch, "\n", " \n"), " ")  # a line break is a piece of its own
-        edges = cuts.offsets.to_numpy().astype(np.int64) - cuts.offsets[0].as_py()
-        coded = cuts.flatten().dictionary_encode()
-        parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        which = coded.indices.to_numpy().astype(np.int64)
-        heads, first = pc.list_element(cuts, 0).to_pylist(), len(parts)
-        which[edges[:-1]] = first + np.arange(len(heads))  # no space is before them
-        used = np.zeros(first + len(heads), bool)
-        used[which] = True
-        ids = list(map(self.known.get, parts))
+    def _looked_up(self, parts: pa.StringArray, used: np.ndarray) -> tuple[pa.ListArray, np.ndarray]:
+        """Ids of the parts that are used, and which of them are blank."""
+        names = parts.to_pylist()
+        ids = list(map(self.known.get, names))
         missing = [at for at, (found, here) in enumerate(zip(ids, used.tolist())) if found is None and here]
-        blank = [at for at in missing if self._blank(parts[at])]
-        unknown = {parts[at]: at for at in (missing if not blank else sorted(set(missing).difference(blank)))}
+        blank = [at for at in missing if self._blank(names[at])]
+        unknown = {names[at]: at for at in (missing if not blank else sorted(set(missing).difference(blank)))}
         for part, own in self._unknown(unknown).items():
             if part in unknown:
                 ids[unknown[part]] = own
-        ids = [own or b"" for own in ids]  # of blank parts, and of those that only are heads
-        ids += [self._part(head) if head else b"" for head in heads]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        many = sizes[which]
-        ends = np.concatenate(([0], np.cumsum(many)))
-        place = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], many)
-        place += np.arange(len(place))
-        data, ends = np.frombuffer(b"".join(ids), "<u4")[place].tobytes(), (4 * ends[edges]).tolist()
-        out = [data[a:b] for a, b in zip(ends, ends[1:])]
-        if blank:  # white space in a row, which is not cut like this
+        return _lists([own or b"" for own in ids]), np.array(blank, np.int64)
+
+    def _runs(self, runs: pa.StringArray) -> pa.ListArray:
+        """Ids of runs of letters, each with a space or a line break before it."""
+        cuts = np.append(np.arange(0, len(runs), TOGETHER), len(runs)).astype(np.int32)
+        found = [np.zeros(0, np.int32)]
+        for at, text in enumerate(pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), runs), "").to_pylist()):
+            shown = _shown(text)
+            if any(end in shown for end in self.crossing):
+                own = [run[1:] if run[0] == " " else run for run in runs.slice(at * TOGETHER, TOGETHER).to_pylist()]
+                found.append(np.frombuffer(b"".join([self.known[run] or self._new(run) for run in own]), "<i4"))
+            else:
+                found.append(np.array([token.id for token in self.model.tokenize(shown)], np.int32))
+        ids = np.concatenate(found)
+        edges = np.append(np.flatnonzero(self.spaced[ids]), len(ids)).astype(np.int32)  # a run has one space or line break
+        return pa.ListArray.from_arrays(pa.array(edges), pa.array(ids))
+
+    def _many(self, parts: pa.StringArray, used: np.ndarray) -> tuple[pa.ListArray, np.ndarray]:
+        """The same for many parts: letters with marks behind them or not are cut up as arrays, and each run of letters is encoded once."""
+        body = pc.utf8_ltrim(parts, "\n")
+        word = pc.utf8_rtrim(body, TAIL)
+        plain = pc.utf8_is_alpha(word).to_numpy(zero_copy_only=False) & used
+        # letters newer than the library's are not letters to it
+        wide = np.flatnonzero(plain & ~pc.string_is_ascii(word).to_numpy(zero_copy_only=False))
+        plain[wide] = [own.isalpha() for own in word.take(pa.array(wide)).to_pylist()]
+        before = pc.if_else(pc.starts_with(parts, "\n"), "\n", " ")
+        runs = pc.binary_join_element_wise(before, word, "").filter(pa.array(plain)).dictionary_encode()
+        tails = _ends(body, pc.binary_length(body).to_numpy() - pc.binary_length(word).to_numpy()).filter(pa.array(plain)).dictionary_encode()
+        other = np.flatnonzero(used & ~plain)
+        names = parts.take(pa.array(other)).to_pylist()
+        blank = [self._blank(name) for name in names]
+        rest = [self._unit(tail) if tail else b"" for tail in tails.dictionary.to_pylist()]
+        rest += [b"" if no else self.known[name] or self._new(name) for name, no in zip(names, blank)]
+        # a part is a run and a tail, or something else and nothing
+        units = pa.concat_arrays([_lists([b""]), self._runs(runs.dictionary), _lists(rest)])
+        two = np.zeros((len(parts), 2), np.int32)
+        two[plain, 0] = 1 + runs.indices.to_numpy()
+        two[plain, 1] = 1 + len(runs.dictionary) + tails.indices.to_numpy()
+        two[other, 0] = 1 + len(runs.dictionary) + len(tails.dictionary) + np.arange(len(other))
+        found = units.take(pa.array(two.ravel()))
+        return pa.ListArray.from_arrays(found.offsets[::2], found.values), other[np.array(blank, bool)]
+
+    def _texts(self, batch: pa.StringArray) -> list[bytes]:
+        """Ids of texts; each different part is encoded once, and ids are put in their places as arrays."""
+        cuts = pc.split_pattern(pc.replace_substring(batch, "\n", " \n"), " ")  # a line break is a piece of its own
+        edges = cuts.offsets.to_numpy().astype(np.int64) - cuts.offsets[0].as_py()
+        coded, heads = cuts.flatten().dictionary_encode(), pc.list_element(cuts, 0).to_pylist()
+        del cuts
+        parts, which = coded.dictionary, coded.indices.to_numpy().copy()
+        which[edges[:-1]] = len(parts) + np.arange(len(heads))  # no space is before them
+        used = np.zeros(len(parts) + len(heads), bool)
+        used[which] = True  # some parts only are heads
+        ids, blank = (self._looked_up if len(parts) < MANY or self.crossing is None else self._many)(parts, used[: len(parts)])
+        found = pa.concat_arrays([ids, _lists([self._part(head) if head else b"" for head in heads])]).take(pa.array(which))
+        ends, data = found.offsets.to_numpy()[edges].tolist(), found.values.to_numpy()
+        out = [data[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+        if len(blank):  # white space in a row, which is not cut like this
             used[:] = False
             used[blank] = True
             for i in np.unique(np.searchsorted(edges, np.flatnonzero(used[which]), "right") - 1).tolist():
@@ -327,16 +386,13 @@ class Encoder:
     def __call__(self, batch: list[str | None] | pa.StringArray) -> list[bytes]:
         collecting = gc.isenabled()
         gc.disable()  # nothing made here refers back to itself; looking through the tables costs a fifth of the time
-        texts, out, at = pc.fill_null(pa.array(batch, pa.string()) if isinstance(batch, list) else batch, ""), [], 0
+        texts, out = pc.fill_null(pa.array(batch, pa.string()) if isinstance(batch, list) else batch, ""), []
         if not self.piecewise:
-            out, at = [self._text(text) for text in texts.to_pylist()], len(texts)
-        before = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)))
-        while at < len(texts):
-            end = max(at + 1, int(np.searchsorted(before, before[at] + BYTES, "right")) - 1)
+            out = [self._text(text) for text in texts.to_pylist()]
+        for at, end in byte_cuts(texts, BYTES) if self.piecewise else ():
             out += self._texts(texts.slice(at, end - at))
             self.known.trim()
             self.units.trim()
-            at = end
         if collecting:
             gc.enable()
         return out
@@ -378,7 +434,7 @@ def encode(
         return step
 
     fields = {key: "long", "ids": "array<int>"} | ({"starts": "array<int>", "ends": "array<int>"} if offsets else {})
-    return mapped(texts(docs, key, text), make, fields)
+    return mapped(texts(docs, key, text), make, fields, by=None if offsets else (text, BYTES))
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -420,7 +476,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         return step
 
     fields = {"doc_id": "long", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
-    return mapped(texts(docs), make, fields)
+    return mapped(texts(docs), make, fields, by=("text", BYTES))
 
 
 def op10_byte_bpe(spark, sf_dir):

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from censusloom.runtime import BROADCAST_LIMIT, broadcast_if, written
@@ -37,8 +38,20 @@ def _batch(columns: dict, fields: dict[str, str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=list(fields))
 
 
-def mapped(df: DataFrame, make: Callable[[], Callable[[dict], dict]], fields: dict[str, str], size: int = SLICE) -> DataFrame:
-    """Apply a function of column lists to slices of rows.
+def byte_cuts(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """First rows and ends of slices of at most ``size`` bytes of text, or of one text."""
+    before = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(before, before[at] + size, "right")) - 1)
+        yield at, end
+        at = end
+
+
+def mapped(
+    df: DataFrame, make: Callable[[], Callable[[dict], dict]], fields: dict[str, str], size: int = SLICE, by: tuple[str, int] | None = None,
+) -> DataFrame:
+    """Apply a function of column lists to slices of rows, of ``size`` rows or ``by`` the bytes of a text column.
 
     ``make`` runs once a task and returns the function, so what it loads is loaded once a task.
     """
@@ -46,8 +59,9 @@ def mapped(df: DataFrame, make: Callable[[], Callable[[dict], dict]], fields: di
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
+            cuts = byte_cuts(batch.column(by[0]), by[1]) if by else ((at, at + size) for at in range(0, batch.num_rows, size))
+            for at, end in cuts:
+                part = batch.slice(at, end - at)
                 yield _batch(step({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}), fields)
 
     return df.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in fields.items()))

@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from censusloom.llm.bpe import encoder
-from censusloom.llm.common import small, texts
+from censusloom.llm.bpe import BYTES, encoder
+from censusloom.llm.common import byte_cuts, small, texts
 from censusloom.runtime import scratch_folder
 
-#: Rows encoded at a time; the encoder takes less of them at once if their texts are long.
+#: Rows handed on at a time.
 ROWS = 1024
 #: What the files hold. ``part`` and ``place`` give a row's place in the order of all, ``before`` the ids of its part before it.
 SCHEMA = "doc_id long, n_tokens long, part int, place long, before long, ids array<int>"
@@ -33,20 +33,21 @@ def encoded_parts(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
         coder, part, place, before = encoder(path), TaskContext.get().partitionId(), 0, 0
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                rows = batch.slice(at, ROWS)
-                found = coder(rows.column(1))
-                lengths = np.fromiter((len(ids) + len(end) for ids in found), np.int64, len(found)) // 4
-                ends = np.cumsum(lengths)
-                values = np.frombuffer(b"".join(found) if not end else end.join(found) + end, "<i4")
-                offsets = np.concatenate([[0], ends]).astype(np.int32)
-                columns = [
-                    rows.column(0), pa.array(lengths), pa.array(np.full(len(found), part, np.int32)),
-                    pa.array(np.arange(place, place + len(found))), pa.array(before + ends - lengths),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "part", "place", "before", "ids"])
-                place, before = place + len(found), before + int(ends[-1])
+            for at, stop in byte_cuts(batch.column(1), BYTES):
+                ids = coder(batch.column(1).slice(at, stop - at))
+                for first in range(0, stop - at, ROWS):
+                    found = ids[first : first + ROWS]
+                    lengths = np.fromiter((len(one) + len(end) for one in found), np.int64, len(found)) // 4
+                    ends = np.cumsum(lengths)
+                    values = np.frombuffer(b"".join(found) if not end else end.join(found) + end, "<i4")
+                    offsets = np.concatenate([[0], ends]).astype(np.int32)
+                    columns = [
+                        batch.column(0).slice(at + first, len(found)), pa.array(lengths), pa.array(np.full(len(found), part, np.int32)),
+                        pa.array(np.arange(place, place + len(found))), pa.array(before + ends - lengths),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "part", "place", "before", "ids"])
+                    place, before = place + len(found), before + int(ends[-1])
 
     return texts(docs).mapInArrow(run, SCHEMA)
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -409,3 +410,56 @@ def test_packing_remembers_less():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert bpe.encoder(path, less=packing.LESS).known.limit * packing.LESS == bpe.encoder(path).known.limit
+
+
+def test_a_slice_of_many_words_is_encoded_without_a_table_of_words(monkeypatch):
+    """Every different run of letters goes to the model once, whatever marks are behind it, and none is remembered."""
+    import public_tokenizers
+
+    from censusloom.llm import bpe
+
+    tokenizer = bpe.json_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    coder, asked = bpe.Encoder(tokenizer), []
+
+    class Model:
+        def tokenize(self, text):
+            asked.append(text)
+            return tokenizer.model.tokenize(text)
+
+    coder.model = Model()
+    letters = "abcdefghij"
+    words = ["z" + "".join(letters[i // 10**k % 10] for k in range(4)) for i in range(5000)]
+    batch = ["x " + " ".join(word + mark for word in words[at : at + 100]) for mark in ("", ",", "!!") for at in range(0, 5000, 100)]
+    plain = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in batch]
+    assert coder(batch) == plain
+    assert "".join(asked).count("Ġz") == len(words) and len(asked) < 200
+    assert not coder.known and not coder.known.older
+
+
+@pytest.mark.parametrize("size", [60, 1 << 20])
+def test_slices_of_many_parts_have_the_ids_of_whole_texts(monkeypatch, size):
+    import public_tokenizers
+
+    from censusloom.llm import bpe
+
+    monkeypatch.setattr(bpe, "MANY", 0)
+    monkeypatch.setattr(bpe, "BYTES", size)
+    draw = random.Random(6)
+    stuff = ["word", "Line", ".", ",", "'s", "'", "!!", "$$", "12", "_", "\r\n", "\t", "\x1c", "\u0085", "Â", " ", "　"]
+    stuff += ["ª", "漢字", "\U0001f600", "\U00010d4a", "́", "\x00", *[" ", "\n", "é"] * 4]
+    batch = [None, "", " ", "\n", "a", " a", "\na", "a\n a", *("".join(draw.choices(stuff, k=draw.randrange(20))) for _ in range(2000))]
+    paths = public_tokenizers.path
+    for tokenizer in (bpe.json_tokenizer(paths("byte_bpe_50k.json")), bpe.rank_tokenizer(paths("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)):
+        plain = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in batch]
+        assert bpe.Encoder(tokenizer)(batch) == plain
+
+
+def test_slices_by_bytes(spark):
+    from censusloom.llm.common import byte_cuts, mapped
+
+    assert list(byte_cuts(pa.array(["ab", None, "c", "dddddd", "", "e"]), 3)) == [(0, 3), (3, 4), (4, 6)]
+    assert list(byte_cuts(pa.array([], pa.string()), 3)) == []
+    docs = spark.createDataFrame([(i, "x" * i) for i in range(10)], "doc_id long, text string").coalesce(1)
+    count = lambda: lambda rows: {"doc_id": rows["doc_id"], "n": [len(rows["text"])] * len(rows["text"])}
+    found = {r.doc_id: r.n for r in mapped(docs, count, {"doc_id": "long", "n": "long"}, by=("text", 9)).collect()}
+    assert found == {0: 4, 1: 4, 2: 4, 3: 4, 4: 2, 5: 2, 6: 1, 7: 1, 8: 1, 9: 1}
