@@ -17,11 +17,11 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from censusloom.llm.bpe import encoder
+from censusloom.llm.bpe import BYTES, encoder
 from censusloom.llm.common import cut, mapped, numbered, texts
 
 WINDOW = 2048
-#: An encoder remembers this many times fewer bytes here, as its worker goes on to other stages of a pipeline with them.
+#: An encoder takes and remembers this many times fewer bytes here, as its worker goes on to other stages of a pipeline with them.
 LESS = 2
 
 
@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, wi
 
     fields = {"doc_id": "long", "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long"}
     fields |= {"ids": "array<int>"} if with_ids else {}
-    return mapped(texts(docs), make, fields)
+    return mapped(texts(docs), make, fields, by=("text", BYTES // LESS))
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, with_ids: bool = False) -> DataFrame:

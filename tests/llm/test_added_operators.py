@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from censusloom.llm import languages, middles, periods, queries
+from censusloom.llm import common, languages, middles, periods, queries
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i * 7919 % 99991}" for i in range(4000))
@@ -463,3 +463,16 @@ def test_slices_by_bytes(spark):
     count = lambda: lambda rows: {"doc_id": rows["doc_id"], "n": [len(rows["text"])] * len(rows["text"])}
     found = {r.doc_id: r.n for r in mapped(docs, count, {"doc_id": "long", "n": "long"}, by=("text", 9)).collect()}
     assert found == {0: 4, 1: 4, 2: 4, 3: 4, 4: 2, 5: 2, 6: 1, 7: 1, 8: 1, 9: 1}
+
+
+def test_packing_encodes_many_rows_at_a_time(spark, monkeypatch):
+    """Slices go by the bytes of their texts, as many short texts together have fewer different words than a few at a time."""
+    import public_tokenizers
+
+    from censusloom.llm import bpe, packing
+
+    asked = []
+    monkeypatch.setattr(packing, "mapped", lambda df, make, fields, **by: asked.append(by) or common.mapped(df, make, fields, **by))
+    docs = spark.createDataFrame([(i, f"word{i} is one") for i in range(600)], "doc_id long, text string")
+    found = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert len(found) == 600 and asked == [{"by": ("text", bpe.BYTES // packing.LESS)}]
