@@ -393,6 +393,7 @@ class Encoder:
             out += self._texts(texts.slice(at, end - at))
             self.known.trim()
             self.units.trim()
+        pa.default_memory_pool().release_unused()  # else the worker keeps it while other work goes on there
         if collecting:
             gc.enable()
         return out
